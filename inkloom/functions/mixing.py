@@ -35,7 +35,7 @@ def unit_noise(x, y, seed) -> Column:
 
 def smooth_noise(x, y, cell, seed) -> Column:
     """Bilinear blend of unit_noise on a lattice with the given spacing (own generator)."""
-    fx, fy = as_col(x).cast("double") / F.lit(float(cell)), as_col(y).cast("double") / F.lit(float(cell))
+    fx, fy = as_col(x).cast("double") / as_col(cell), as_col(y).cast("double") / as_col(cell)
     x0, y0 = F.floor(fx), F.floor(fy)
     tx, ty = fx - x0, fy - y0
     one = F.lit(1)

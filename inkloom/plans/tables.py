@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import ANGLE_PRESETS, PLATES, SHEETS
 from ..operators.separate import coverage
-from ..session import fan_out
+from ..session import fan_out, prepare
 from ..sources.rasters import bin_raster, densify_raster, frame_pixels
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    return prepare(spark).read.parquet(f"{sf}/{table}.parquet")
 
 
 def raster_ship(spark: SparkSession, sf: str) -> DataFrame:

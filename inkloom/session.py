@@ -22,6 +22,7 @@ def build_session(app: str = "inkloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -29,6 +30,12 @@ def build_session(app: str = "inkloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Pin the time zone on a session made elsewhere: hours and days must not depend on the machine."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a narrow table over all cores before its rows are expanded into many.
 
