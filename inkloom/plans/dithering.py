@@ -1 +1,160 @@
-"""Queries (to come)."""
+"""Queries over quantising, dithering and diffusion."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..functions.fixed_values import CLUSTER_4, CLUSTER_8
+from ..functions.numeric import six
+from ..operators import dither as d
+from ..operators.separate import luminance
+from .fixture_sql import COV, FIELD, PARTS, PLATE_DIM, half_up, separated, unit_noise, with_
+from .registry import register
+from .separation import long
+from .tables import field_emb, parts_coverage
+
+GRAY = [PLATE_DIM, PARTS, separated(grayscale=True)]
+MAP_MODES = ["column", "row", "dispersed", "medium", "heavy", "circuit", "tilt", "grid"]
+
+
+def _list(matrix):
+    return "[" + ",".join(str(v) for row in matrix for v in row) + "]"
+
+
+_bit = lambda c, b: f"(({c} >> {b}) & 1)"
+MAP_SQL = {
+    "column": "(x % 8) / 8e0 - 0.5e0",
+    "row": "(y % 8) / 8e0 - 0.5e0",
+    "dispersed": "(" + " + ".join(f"{w} * xor(3 * {_bit('y', b)}, 2 * {_bit('x', b)})" for b, w in ((0, 16), (1, 4), (2, 1))) + ") / 64e0 - 0.5e0",
+    "medium": f"list_extract({_list(CLUSTER_4)}, (y % 4) * 4 + x % 4 + 1) / 16e0 - 0.5e0",
+    "heavy": f"list_extract({_list(CLUSTER_8)}, (y % 8) * 8 + x % 8 + 1) / 64e0 - 0.5e0",
+    "circuit": "CASE WHEN y % 16 < 8 THEN (x % 8) / 8e0 ELSE (y % 8) / 8e0 END - 0.5e0",
+    "tilt": "((x + y) % 8) / 8e0 - 0.5e0",
+    "grid": "greatest((x % 8) / 8e0, (y % 8) / 8e0) - 0.5e0",
+}
+OFFSET_SQL = {
+    "column": "((x % 4) - 1.5e0) / 3", "row": "((y % 4) - 1.5e0) / 3", "dispersed": "(((x * 17 + y * 31) % 7) - 3) / 3e0",
+    "medium": "sin((x + y) * 0.8e0)", "heavy": "sin(x * 1.7e0 + y * 1.3e0)",
+    "circuit": "CASE WHEN x % 6 = 0 THEN 1e0 ELSE 0e0 END - CASE WHEN y % 6 = 0 THEN 1e0 ELSE 0e0 END",
+    "tilt": "((x - y) % 8) / 8e0",
+    "grid": "CASE WHEN x % 4 = 0 THEN 1e0 ELSE 0e0 END + CASE WHEN y % 4 = 0 THEN 1e0 ELSE 0e0 END - 0.5e0",
+}
+
+
+@register("quantize_levels", with_(COV, """
+SELECT image_id, x, y, plate, round(floor(cov * 4 + 0.5e0) / 4, 6) AS web, round(round_even(cov / (1e0 / 4), 0) * (1e0 / 4), 6) AS desktop FROM cov"""))
+def quantize_levels(spark, sf):
+    cov = F.col("cov")
+    return parts_coverage(spark, sf).select("image_id", "x", "y", "plate", six(d.quantize_levels(cov, 5)).alias("web"),
+                                            six(d.quantize_levels(cov, 5, "desktop")).alias("desktop"))
+
+
+@register("threshold_maps", with_(COV, "SELECT image_id, x, y, " + ", ".join(
+    f"round(({MAP_SQL[m]}) * 0.4e0, 6) + 0e0 AS map_{m}" for m in MAP_MODES) + " FROM cov WHERE plate = 'black'"))
+def threshold_maps(spark, sf):
+    cov = parts_coverage(spark, sf, plates=["black"])
+    return cov.select("image_id", "x", "y", *[six(d.threshold_map(m, 0.8)).alias(f"map_{m}") for m in MAP_MODES])
+
+
+@register("ordered_dither", with_(COV, f"""
+SELECT image_id, x, y, plate, round(least(1e0, round_even(least(1e0, greatest(0e0, cov + ({MAP_SQL['heavy']}) * 0.45e0)) / (1e0 / 3), 0) * (1e0 / 3)), 6) AS cov FROM cov"""))
+def ordered_dither(spark, sf):
+    return long(parts_coverage(spark, sf).withColumn("cov", d.ordered_dither(F.col("cov"), "heavy", 0.9, 4)))
+
+
+@register("diffusion_offset", with_(COV, "SELECT image_id, x, y, " + ", ".join(
+    f"round(({OFFSET_SQL[m]}) * 0.5e0, 6) + 0e0 AS off_{m}" for m in MAP_MODES) + " FROM cov WHERE plate = 'black'"))
+def diffusion_offset(spark, sf):
+    cov = parts_coverage(spark, sf, plates=["black"])
+    return cov.select("image_id", "x", "y", *[six(d.diffusion_offset(m, 0.5)).alias(f"off_{m}") for m in MAP_MODES])
+
+
+PATTERN_SQL = {"none": "0e0", "floyd-steinberg": "CASE WHEN (x + y) % 2 = 1 THEN 1e0 ELSE -1e0 END",
+               "jarvis-judice-ninke": "sin(x * 0.7e0 + y * 0.4e0)", "stucki": "cos(x * 0.5e0 - y * 0.8e0)",
+               "burkes": "((x % 3) - 1) * 0.8e0", "atkinson": "sin((x + y) * 1.4e0)"}
+
+
+def _positional_sql(algorithm):
+    adjusted = (f"cov + (((x * 13 + y * 29) % 11) - 5) / 5e0 * 0.3e0 + (({OFFSET_SQL['tilt']}) * 0.15e0) + "
+                f"({PATTERN_SQL[algorithm]}) * 0.7e0 * 0.14e0")
+    tone = f"(floor(least(1e0, greatest(0e0, {adjusted})) * 5 + 0.5e0) / 5e0)"
+    gain = 1 + 0.4 * 2.0 / 3
+    return (f"round(least(1e0, greatest(0e0, cov * {1 - 0.7 * 0.35!r}e0 + (({tone} - 0.5e0) * {gain!r}e0 + 0.5e0) * "
+            f"{0.7 * 0.65!r}e0)), 6) AS v_{algorithm.replace('-', '_')}")
+
+
+@register("positional_diffusion", with_(COV, "SELECT image_id, x, y, plate, " + ", ".join(
+    _positional_sql(a) for a in PATTERN_SQL) + " FROM cov WHERE plate IN ('cyan', 'black')"))
+def positional_diffusion(spark, sf):
+    cov = parts_coverage(spark, sf, plates=["cyan", "black"])
+    return cov.select("image_id", "x", "y", "plate", *[six(d.positional_diffusion(
+        F.col("cov"), a, 0.7, 6, denoise=0.3, modulation="tilt", mod_strength=0.6, sharpen=0.4, sharpen_radius=2.0)
+    ).alias(f"v_{a.replace('-', '_')}") for a in PATTERN_SQL])
+
+
+@register("error_diffusion")
+def error_diffusion(spark, sf):
+    return long(d.error_diffusion(parts_coverage(spark, sf), "jarvis-judice-ninke", 4, 0.9, "tilt", 0.5, bias=0.4,
+                                  bias_angle=30, broken=0.5, overflow=0.5, reset=0.9, bleed=0.3))
+
+
+@register("error_diffusion_desktop")
+def error_diffusion_desktop(spark, sf):
+    return long(d.error_diffusion_desktop(parts_coverage(spark, sf), "stucki", 4, 0.9, "circuit", 0.4))
+
+
+@register("glitch_diffusion")
+def glitch_diffusion(spark, sf):
+    return long(d.glitch_diffusion(parts_coverage(spark, sf), "atkinson", 4, 0.8, broken=0.4, bias=0.5, bias_angle=60,
+                                   overflow=0.3, reset=0.8))
+
+
+def blur_sql(source: str, sigma: float, out: str) -> str:
+    """CTEs for a separable blur of (image_id, plate, w, h, x, y, cov) with mirrored borders."""
+    radius = int(4 * sigma + 0.5)
+    mirror = lambda p, n: (f"(CASE WHEN (({p}) % (2 * {n}) + 2 * {n}) % (2 * {n}) < {n} THEN (({p}) % (2 * {n}) + 2 * {n}) % (2 * {n}) "
+                           f"ELSE 2 * {n} - 1 - (({p}) % (2 * {n}) + 2 * {n}) % (2 * {n}) END)")
+    return (f"{out}_k AS (SELECT k, exp(-0.5e0 * k * k / {sigma * sigma!r}e0) / sum(exp(-0.5e0 * k * k / {sigma * sigma!r}e0)) OVER () AS wt "
+            f"FROM (SELECT CAST(unnest(range({-radius}, {radius + 1})) AS INT) AS k)), "
+            f"{out}_v AS (SELECT a.image_id, a.plate, a.w, a.h, a.x, a.y, sum(b.cov * wt) AS cov FROM (SELECT s.*, k, wt, {mirror('y + k', 'h')} AS yy FROM {source} s, {out}_k) a "
+            f"JOIN {source} b ON b.image_id = a.image_id AND b.plate = a.plate AND b.x = a.x AND b.y = a.yy GROUP BY ALL), "
+            f"{out} AS (SELECT a.image_id, a.plate, a.w, a.h, a.x, a.y, sum(b.cov * wt) AS cov FROM (SELECT s.*, k, wt, {mirror('x + k', 'w')} AS xx FROM {out}_v s, {out}_k) a "
+            f"JOIN {out}_v b ON b.image_id = a.image_id AND b.plate = a.plate AND b.x = a.xx AND b.y = a.y GROUP BY ALL)")
+
+
+@register("gaussian_blur", with_(*GRAY, blur_sql("cov", 1.2, "soft"),
+                                 "SELECT image_id, x, y, plate, round(cov, 6) AS cov FROM soft"))
+def gaussian_blur(spark, sf):
+    return long(d.gaussian_blur(parts_coverage(spark, sf, grayscale=True), 1.2))
+
+
+@register("unsharp_sharpen", with_(*GRAY, blur_sql("cov", 1.0, "soft"), """
+SELECT c.image_id, c.x, c.y, c.plate, round(least(1e0, greatest(0e0, c.cov + (c.cov - s.cov) * 1.5e0)), 6) AS cov
+FROM cov c JOIN soft s USING (image_id, plate, x, y)"""))
+def unsharp_sharpen(spark, sf):
+    return long(d.unsharp_sharpen(parts_coverage(spark, sf, grayscale=True), 0.5, 1.0))
+
+
+@register("add_noise", with_(*GRAY, f"""
+SELECT image_id, x, y, plate, round(least(1e0, greatest(0e0, cov + sqrt(-2e0 * ln(1e0 - {unit_noise('x', 'y', '42')})) * cos({2 * math.pi!r}e0 * {unit_noise('x', 'y', '43')}) * {0.5 * 0.3!r}e0)), 6) AS cov FROM cov"""))
+def add_noise(spark, sf):
+    return long(d.add_noise(parts_coverage(spark, sf, grayscale=True), 0.5))
+
+
+@register("cross_channel_bleed", with_(COV, """
+SELECT a.image_id, a.x, a.y, a.plate, round(least(1e0, greatest(0e0, a.cov + (b.cov - round_even(b.cov / (1e0 / 3), 0) * (1e0 / 3)) * 0.24e0)), 6) AS cov
+FROM cov a JOIN cov b ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y AND b.i = (a.i + 1) % 4"""))
+def cross_channel_bleed(spark, sf):
+    return long(d.cross_channel_bleed(parts_coverage(spark, sf), 0.8, 4, noise=False))
+
+
+@register("coalesce_runs", with_(COV, FIELD, """,
+ink AS (SELECT image_id, plate, x, y FROM cov WHERE cov >= 0.5 UNION ALL SELECT -1 - image_id, plate, x, y FROM field WHERE cov >= 0.5),
+isl AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, plate, y ORDER BY x) AS g FROM ink)
+SELECT image_id, plate, y, min(x) AS x0, CAST(count(*) AS INT) AS length FROM isl GROUP BY image_id, plate, y, g"""))
+def coalesce_runs(spark, sf):
+    cols = ["image_id", "plate", "x", "y", "cov"]
+    field = field_emb(spark, sf).withColumn("image_id", -1 - F.col("image_id"))
+    return d.coalesce_runs(parts_coverage(spark, sf).select(cols).unionByName(field.select(cols)))

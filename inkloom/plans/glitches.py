@@ -1 +1,162 @@
-"""Queries (to come)."""
+"""Queries over coordinate and block effects."""
+
+from __future__ import annotations
+
+from ..operators import glitch as g
+from .fixture_sql import COV, block_hash, half_up, scramble, unit_noise, with_
+from .registry import register
+from .separation import long
+from .tables import parts_coverage
+
+
+def inside(expr: str, side: str) -> str:
+    return f"CAST(least({side} - 1, greatest(0, {half_up(expr)})) AS INT)"
+
+
+def remap(sx: str, sy: str, source: str = "cov", name: str = "moved") -> str:
+    """CTE: every position of ``source`` reads the value at (sx, sy), expressions over x, y, w, h, i."""
+    return (f"{name}_at AS (SELECT *, {sx} AS sx, {sy} AS sy FROM {source}), "
+            f"{name} AS (SELECT t.image_id, t.w, t.h, t.x, t.y, t.plate, t.i, s.cov FROM {name}_at t JOIN {source} s "
+            f"ON s.image_id = t.image_id AND s.plate = t.plate AND s.x = t.sx AND s.y = t.sy)")
+
+
+OUT = "SELECT image_id, x, y, plate, round(cov, 6) AS cov FROM {}"
+SLICE = "((y // 3) * 37) % 5 - 2"
+VSLICE = "((x // 4) * 53) % 5 - 2"
+
+
+@register("slice_shift", with_(COV, remap(inside(f"x + {SLICE}", "w"), "y"), OUT.format("moved")))
+def slice_shift(spark, sf):
+    return long(g.slice_shift(parts_coverage(spark, sf), 2, 3))
+
+
+@register("slice_roll", with_(COV, f""",
+b AS (SELECT *, CAST(floor((y * cos(radians(10)) - x * sin(radians(10))) / 3) AS BIGINT) AS band FROM cov),
+m AS (SELECT *, CAST(floor({unit_noise('band', '0', '7')} * 7) AS BIGINT) - 3 AS amt FROM b)
+SELECT image_id, CAST(((x + amt) % w + w) % w AS INT) AS x, y, plate, round(cov, 6) AS cov FROM m"""))
+def slice_roll(spark, sf):
+    return long(g.slice_roll(parts_coverage(spark, sf), 3, 3, angle=10.0))
+
+
+@register("vertical_slice_shift", with_(COV, remap("x", inside(f"y + {VSLICE}", "h")), OUT.format("moved")))
+def vertical_slice_shift(spark, sf):
+    return long(g.vertical_slice_shift(parts_coverage(spark, sf), 2, 4))
+
+
+WARP = ("sin(y / 3e0) * 2.5e0", "cos(x / 3e0) * 2.5e0")
+
+
+@register("grid_warp", with_(COV, remap(inside(f"x + {WARP[0]}", "w"), inside(f"y + {WARP[1]}", "h")), OUT.format("moved")))
+def grid_warp(spark, sf):
+    return long(g.grid_warp(parts_coverage(spark, sf), 2.5, 3))
+
+
+PULL = "((x * 17 + y * 31) % 5) * 0.7e0"
+
+
+@register("smear_drag", with_(COV, remap(inside(f"x + {PULL}", "w"), "y"), OUT.format("moved")))
+def smear_drag(spark, sf):
+    return long(g.smear_drag(parts_coverage(spark, sf), 0.7, 5))
+
+
+@register("smear_band", with_(COV, f""",
+b AS (SELECT *, {unit_noise('(y // 4)', '0', '(i + 701)')} <= 0.74e0 AS touched, {unit_noise('(y // 4)', '1', '(i + 701)')} >= 0.5 AS fwd FROM cov),
+p AS (SELECT a.image_id, a.x, a.y, a.plate, a.touched, a.cov, max(c.cov * (1e0 - 0.8e0 * abs(a.x - c.x) / 5)) AS peak
+      FROM b a JOIN cov c ON c.image_id = a.image_id AND c.plate = a.plate AND c.y = a.y
+       AND CASE WHEN a.fwd THEN a.x - c.x ELSE c.x - a.x END BETWEEN 0 AND 5 GROUP BY ALL)
+SELECT image_id, x, y, plate, round(CASE WHEN touched THEN least(1e0, greatest(0e0, cov * 0.76e0 + peak * 0.59e0)) ELSE cov END, 6) AS cov FROM p"""))
+def smear_band(spark, sf):
+    return long(g.smear_band(parts_coverage(spark, sf), 0.6, 5, block=8))
+
+
+BLOCK = block_hash("(x // 4) * 4", "(y // 4) * 4", "i")
+THIRD = lambda c: f"((({c}) // 4) % 3 - 1) * 2.4e0"
+STEP = lambda bits: f"((({BLOCK}) >> {bits}) % 5 - 2) * 1.2e0"
+
+
+@register("block_shift", with_(COV, f""",
+bt AS (SELECT *, {inside(f'x + {STEP(8)}', 'w')} AS tx, {inside(f'y + {STEP(16)}', 'h')} AS ty FROM cov),
+bs AS (SELECT *, {inside(f"tx + {THIRD('tx')}", 'w')} AS sx, {inside(f"ty + {THIRD('ty')}", 'h')} AS sy FROM bt)
+SELECT t.image_id, t.x, t.y, t.plate, round(s.cov, 6) AS cov FROM bs t JOIN cov s ON s.image_id = t.image_id AND s.plate = t.plate AND s.x = t.sx AND s.y = t.sy"""))
+def block_shift(spark, sf):
+    return long(g.block_shift(parts_coverage(spark, sf), 0.3, 4))
+
+
+@register("channel_desync", with_(COV, remap(inside("sx0 + 0.2e0 * (i + 1) * 8", "w"), "y",
+                                             f"(SELECT *, {inside('x + 1.6e0', 'w')} AS sx0 FROM cov)"), OUT.format("moved")))
+def channel_desync(spark, sf):
+    return long(g.channel_desync(parts_coverage(spark, sf), 0.2, 4))
+
+
+CORRUPT = f"""corrupted AS (SELECT image_id, w, h, x, y, plate, i, CASE WHEN p < 0.5e0 * 0.4e0 THEN 0e0 WHEN p < 0.5e0 THEN floor(cov * 4 + 0.5e0) / 4 ELSE cov END AS cov
+  FROM (SELECT *, ({BLOCK} % 1000) / 1000e0 AS p FROM {{}}))"""
+
+
+@register("macroblock_corrupt", with_(COV, CORRUPT.format("cov"), OUT.format("corrupted")))
+def macroblock_corrupt(spark, sf):
+    return long(g.macroblock_corrupt(parts_coverage(spark, sf), 0.5, 0.4, 4))
+
+
+@register("macroblock_modes")
+def macroblock_modes(spark, sf):
+    return long(g.macroblock_modes(parts_coverage(spark, sf), 0.5, 0.4, 4))
+
+
+@register("block_copy", with_(COV, f""",
+d AS (SELECT *, x + CAST(floor({unit_noise('(x // 4)', '(y // 4)', '(i * 64 + 43)')} * 17) AS INT) - 8 AS ox, y + CAST(floor({unit_noise('(x // 4)', '(y // 4)', '(i * 64 + 44)')} * 17) AS INT) - 8 AS oy,
+             {unit_noise('(x // 4)', '(y // 4)', '(i * 64 + 42)')} < 0.5 AS hit FROM cov),
+e AS (SELECT *, hit AND ox >= 0 AND ox < w AND oy >= 0 AND oy < h AS ok FROM d)
+SELECT t.image_id, t.x, t.y, t.plate, round(s.cov, 6) AS cov FROM e t JOIN cov s ON s.image_id = t.image_id AND s.plate = t.plate
+ AND s.x = CASE WHEN ok THEN ox ELSE t.x END AND s.y = CASE WHEN ok THEN oy ELSE t.y END"""))
+def block_copy(spark, sf):
+    return long(g.block_copy(parts_coverage(spark, sf), 0.5, 4))
+
+
+def sort_sql(source: str, name: str = "sorted") -> str:
+    return f"""lines0 AS (SELECT DISTINCT h AS n, plate, i FROM {source}),
+shuf AS (SELECT n, plate, i, n - 1 AS k, CAST(99 + 17 * i AS BIGINT) AS st, range(n) AS l FROM lines0
+  UNION ALL SELECT n, plate, i, k - 1, nst, [CASE WHEN j = k THEN l[s + 1] WHEN j = s THEN l[k + 1] ELSE l[j + 1] END FOR j IN range(n)]
+  FROM (SELECT *, (nst * (k + 1)) >> 32 AS s FROM (SELECT *, (st * 1664525 + 1013904223) & 4294967295 AS nst FROM shuf WHERE k > 0))),
+picks AS (SELECT n, plate, unnest(l[1:greatest(1, CAST(floor(n * 0.6e0) AS INT))]) AS line FROM shuf WHERE k = 0),
+act AS (SELECT c.*, p.line IS NOT NULL AND cov > 0.1e0 AS active FROM {source} c LEFT JOIN picks p ON p.n = c.h AND p.plate = c.plate AND p.line = c.y),
+isl AS (SELECT *, sum(CASE WHEN active THEN 0 ELSE 1 END) OVER (PARTITION BY image_id, plate, y ORDER BY x) AS g FROM act),
+pos AS (SELECT *, row_number() OVER (PARTITION BY image_id, plate, y, g ORDER BY x) AS rp,
+               row_number() OVER (PARTITION BY image_id, plate, y, g ORDER BY cov, x) AS rv FROM isl WHERE active),
+{name} AS (SELECT a.image_id, a.w, a.h, a.x, a.y, a.plate, a.i, b.cov FROM pos a JOIN pos b ON a.image_id = b.image_id AND a.plate = b.plate AND a.y = b.y AND a.g = b.g AND a.rp = b.rv
+  UNION ALL SELECT image_id, w, h, x, y, plate, i, cov FROM act WHERE NOT active)"""
+
+
+def fray_sql(source: str, name: str = "frayed") -> str:
+    h = lambda axis, a, b, reach: f"({scramble(f'{axis} * {a} + {b}')} % {reach + 1})"
+    return f"""inkpx AS (SELECT * FROM {source} WHERE cov > 0.1e0),
+fbox AS (SELECT image_id, plate, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b FROM inkpx GROUP BY ALL),
+frow AS (SELECT DISTINCT image_id, plate, y FROM inkpx), fcol AS (SELECT DISTINCT image_id, plate, x FROM inkpx),
+fin AS (SELECT c.*, fb.l, fb.r, fb.t, fb.b, fr.y IS NOT NULL AS has_row, fc.x IS NOT NULL AS has_col,
+  {h('c.y', 17, 701, 3)} AS il, {h('c.y', 31, 907, 3)} AS ir, {h('c.x', 17, 1301, 4)} AS it, {h('c.x', 31, 1709, 4)} AS ib
+  FROM {source} c LEFT JOIN fbox fb ON fb.image_id = c.image_id AND fb.plate = c.plate
+  LEFT JOIN frow fr ON fr.image_id = c.image_id AND fr.plate = c.plate AND fr.y = c.y LEFT JOIN fcol fc ON fc.image_id = c.image_id AND fc.plate = c.plate AND fc.x = c.x),
+{name} AS (SELECT image_id, w, h, x, y, plate, i, CASE WHEN (has_row AND ((il > 0 AND x >= l AND x < l + il) OR (ir > 0 AND x >= r - ir AND x <= r)))
+   OR (has_col AND ((it > 0 AND y >= t AND y < t + it) OR (ib > 0 AND y >= b - ib AND y <= b))) THEN 0e0 ELSE cov END AS cov FROM fin)"""
+
+
+@register("bitmap_sort", with_(COV, sort_sql("cov"), OUT.format("sorted")))
+def bitmap_sort(spark, sf):
+    return long(g.bitmap_sort(parts_coverage(spark, sf), 0.6))
+
+
+@register("frayed_edges", with_(COV, fray_sql("cov"), OUT.format("frayed")))
+def frayed_edges(spark, sf):
+    return long(g.frayed_edges(parts_coverage(spark, sf), 2, 3))
+
+
+CHAIN = dict(sliceShift=2, sliceSize=3, verticalSliceShift=2, verticalSliceSize=4, gridWarp=2.5, warpScale=3,
+             smearDrag=0.7, smearLength=5, macroblockCorrupt=0.5, macroblockDropout=0.4, blockShiftSize=4,
+             channelDesync=0.2, bitmapSort=0.6)
+
+
+@register("glitch_chain", with_(COV, remap(
+    inside(f"{inside(f'x + {SLICE} + {WARP[0]} + {PULL} + 1.6e0', 'w')} + 0.2e0 * (i + 1) * 8", "w"),
+    inside(f"y + ({VSLICE}) + {WARP[1]}", "h")), CORRUPT.format("moved"), sort_sql("corrupted"), fray_sql("sorted"),
+    OUT.format("frayed")))
+def glitch_chain(spark, sf):
+    return long(g.glitch_chain(parts_coverage(spark, sf), 2, 3, **CHAIN))
