@@ -148,3 +148,19 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     ev = read(spark, sf, "events").where(F.col("event_type") == "signup")
     return ev.select("user_id", F.col("event_id").alias("session_id"), F.col("ts").alias("created"),
                      (F.col("ts") + F.expr("INTERVAL 7 DAYS")).alias("expires"))
+
+
+def vector_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Polylines: one path per embedding vector, one point per dimension."""
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("path_id"), F.posexplode("embedding").alias("seq", "e"))
+    e = F.col("e").cast("double")
+    return rows.select("path_id", "seq", (6.0 * F.col("seq") + 20.0 * e).alias("px"), (60.0 + 80.0 * e).alias("py"))
+
+
+def path_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """A grid of 12 x 5 lattice points over the area of each path."""
+    ids = fan_out(read(spark, sf, "embeddings").select(F.col("vec_id").alias("path_id")), "path_id")
+    grid = ids.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    return grid.select("path_id", (F.col("j") * 12 + F.col("i")).alias("point_id"),
+                       (F.col("i") * 32.0 + 16.0).alias("x"), (F.col("j") * 24.0 + 12.0).alias("y"))
