@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,11 +113,35 @@ def accepted_origin(url) -> Column:
 
 # -- debounce --------------------------------------------------------------------------------------
 
-def _chain(times, gap):
-    """Index of the next event that would be kept after each event (len = none)."""
+def _whole_groups(batches: Iterator, by: list[str]) -> Iterator:
+    """Arrow batches of a sorted stream, re-cut so that no group is split. Holds one batch and one open group."""
+    import pandas as pd
+
+    tail = None
+    for pdf in batches:
+        pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        same = (pdf[by] == pdf[by].iloc[-1]).all(axis=1).to_numpy()
+        cut = len(pdf) - int(same.sum())
+        tail = pdf.iloc[cut:]
+        if cut:
+            yield pdf.iloc[:cut].reset_index(drop=True)
+    if tail is not None and len(tail):
+        yield tail.reset_index(drop=True)
+
+
+def _chains(pdf, by: list[str], gap: int, size: int):
+    """Group number, offset inside the chunk and next kept index (len = none) for sorted rows of many groups."""
     import numpy as np
 
-    return np.searchsorted(times, times + gap, side="left")
+    fresh = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
+    group = np.cumsum(fresh) - 1
+    offset = pdf["t"].to_numpy() - pdf["chunk"].to_numpy() * size
+    line = group * (2 * size) + offset  # groups lie too far apart for a step to cross into the next one
+    following = np.searchsorted(line, line + gap, side="left")
+    ends = np.append(np.flatnonzero(fresh)[1:], len(pdf))[group]
+    return fresh, group, offset, line, np.where(following < ends, following, len(pdf))
 
 
 def debounce(events: DataFrame, key: str, seconds: float = DEBOUNCE_SECONDS, chunk_seconds: float = 3600.0) -> DataFrame:
@@ -124,64 +150,78 @@ def debounce(events: DataFrame, key: str, seconds: float = DEBOUNCE_SECONDS, chu
     What is kept depends on what was kept before, so a window cannot express it. Time is cut into chunks per
     key and three steps run: (1) every chunk, in parallel, states which kept event it ends with for each
     possible first kept event; (2) these short statements are chained per key; (3) every chunk is replayed
-    with its true entry. A key with a third of all events is spread over its chunks, and only chunk
-    summaries are processed in key order.
+    with its true entry. A key with a third of all events is spread over its chunks; only chunk summaries are
+    read in key order, as a stream. Steps work on sorted partitions, many chunks per array operation.
     """
     gap = int(seconds * 1_000_000)
     size = max(int(chunk_seconds * 1_000_000), 4 * gap)
     key_type, id_type = dict(events.dtypes)[key], dict(events.dtypes)["event_id"]
     base = events.select(key, "event_id", micros("ts").alias("t")).withColumn("chunk", F.floor(F.col("t") / size))
+    by = [key, "chunk"]
 
-    def summarise(pdf):
+    def summarise(batches):
         import numpy as np
-        import pandas as pd
 
-        times = np.sort(pdf["t"].to_numpy())
-        n = len(times)
-        last = np.minimum(_chain(times, gap), n)
-        last = np.where(last < n, last, np.arange(n))
-        while True:
-            jump = last[last]
-            if np.array_equal(jump, last):
-                break
-            last = jump
-        # A kept event before the chunk can only decide between the events of its first gap and the next one.
-        start = int(pdf["chunk"].iloc[0]) * size
-        stop = min(n, int(np.searchsorted(times, start + gap, side="left")) + 1)
-        exits = times[last[:stop]]
-        keep = np.append(exits[1:] != exits[:-1], True)
-        return pd.DataFrame({key: pdf[key].iloc[0], "chunk": pdf["chunk"].iloc[0], "upto": times[:stop][keep],
-                             "exit": exits[keep]})
-
-    steps = base.groupBy(key, "chunk").applyInPandas(
-        summarise, f"{key} {key_type}, chunk long, upto long, exit long")
-
-    def link(pdf):
+        for pdf in _whole_groups(batches, by):
+            fresh, group, offset, _, following = _chains(pdf, by, gap, size)
+            here = np.arange(len(pdf))
+            last = np.where(following < len(pdf), following, here)
+            while True:
+                jump = last[last]
+                if np.array_equal(jump, last):
+                    break
+                last = jump
+            # An event kept before the chunk can only decide between the events of the first gap and the next one.
+            early = offset < gap
+            entry = early | fresh | np.append(False, early[:-1] & (group[1:] == group[:-1]))
+            rows = here[entry]
+            final = last[rows]
+            changes = np.append((final[1:] != final[:-1]) | (group[rows][1:] != group[rows][:-1]), True)
+            out = pdf.loc[rows[changes], by].assign(upto=pdf["t"].to_numpy()[rows[changes]],
+                                                    exit=pdf["t"].to_numpy()[final[changes]])
+            yield out
+
+    sized = base.select(*by, "t").repartition(*by).sortWithinPartitions(*by, "t")
+    steps = sized.mapInPandas(summarise, f"{key} {key_type}, chunk long, upto long, exit long")
+
+    def link(batches):
         import pandas as pd
 
-        held, rows = None, []
-        for chunk, part in pdf.sort_values(["chunk", "upto"]).groupby("chunk", sort=True):
-            rows.append((chunk, held))
-            open_from = part["upto"].iloc[0] if held is None else held + gap
-            later = part[part["upto"] >= open_from]
-            if len(later):
-                held = int(later["exit"].iloc[0])
-        out = pd.DataFrame(rows, columns=["chunk", "held"])
-        out.insert(0, key, pdf[key].iloc[0])
-        return out.astype({"held": "Int64"})
-
-    entries = steps.groupBy(key).applyInPandas(link, f"{key} {key_type}, chunk long, held long")
-
-    def replay(pdf):
-        pdf = pdf.sort_values(["t", "event_id"], ignore_index=True)
-        times, held = pdf["t"].to_numpy(), pdf["held"].iloc[0]
-        following = _chain(times, gap)
-        at = 0 if held is None or held != held else int(times.searchsorted(int(held) + gap, side="left"))
-        kept = []
-        while at < len(times):
-            kept.append(at)
-            at = int(following[at])
-        return pdf.loc[kept, [key, "event_id"]]
-
-    ready = base.join(entries, [key, "chunk"])
-    return ready.groupBy(key, "chunk").applyInPandas(replay, f"{key} {key_type}, event_id {id_type}")
+        seen, chunk, held, entry = None, None, None, None
+        for pdf in batches:
+            rows = []
+            for owner, number, upto, final in pdf[[*by, "upto", "exit"]].itertuples(index=False):
+                if owner != seen:
+                    seen, chunk, held = owner, None, None
+                if number != chunk:
+                    chunk, entry, open_chunk = number, held, True
+                    rows.append((owner, number, entry))
+                if open_chunk and (entry is None or upto >= entry + gap):
+                    held, open_chunk = final, False
+            if rows:
+                yield pd.DataFrame(rows, columns=[*by, "held"]).astype({"held": "Int64"})
+
+    ordered = steps.repartition(key).sortWithinPartitions(*by, "upto")
+    entries = ordered.mapInPandas(link, f"{key} {key_type}, chunk long, held long")
+
+    def replay(batches):
+        import numpy as np
+
+        for pdf in _whole_groups(batches, by):
+            fresh, group, _, line, following = _chains(pdf, by, gap, size)
+            first = np.flatnonzero(fresh)
+            bound = np.append(first[1:], len(pdf))
+            start = pdf["chunk"].to_numpy()[first] * size
+            held = pdf["held"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)[first]
+            wait = np.where(held > start - gap, held - start + gap, 0)  # time into the chunk before one may be kept
+            at = np.searchsorted(line, group[first] * (2 * size) + wait, side="left")
+            at = at[(at < bound)]
+            kept = np.zeros(len(pdf), bool)
+            while len(at):
+                kept[at] = True
+                at = following[at]
+                at = at[at < len(pdf)]
+            yield pdf.loc[kept, [key, "event_id"]]
+
+    ready = base.join(entries, by).repartition(*by).sortWithinPartitions(*by, "t", "event_id")
+    return ready.mapInPandas(replay, f"{key} {key_type}, event_id {id_type}")
