@@ -58,14 +58,13 @@ def layers_on_base(layers: DataFrame, pixels: DataFrame) -> DataFrame:
 def flatten_layers(layers: DataFrame, pixels: DataFrame) -> DataFrame:
     """Ordered source-over of the layers at every pixel; the group is the stack of one pixel."""
     px = layers_on_base(layers, pixels)
-    d = lambda c: F.col(c).cast("double")
-    stack = F.array_sort(F.collect_list(F.struct("z", d("r").alias("r"), d("g").alias("g"), d("b").alias("b"),
-                                                 (d("a") / 255.0).alias("a"))))
+    stack = F.array_sort(F.collect_list(F.struct("z", "r", "g", "b", "a")))
 
     def over(under, top):
-        kept = under["a"] * (F.lit(1.0) - top["a"])
-        alpha = top["a"] + kept
-        mix = lambda c: F.when(alpha > 0, (top[c] * top["a"] + under[c] * kept) / alpha).otherwise(0.0)
+        own = top["a"] / F.lit(255.0)
+        kept = under["a"] * (F.lit(1.0) - own)
+        alpha = own + kept
+        mix = lambda c: F.when(alpha > 0, (top[c] * own + under[c] * kept) / alpha).otherwise(0.0)
         return F.struct(*[mix(c).alias(c) for c in "rgb"], alpha.alias("a"))
 
     start = F.struct(*[F.lit(0.0).alias(c) for c in "rgba"])

@@ -299,8 +299,9 @@ def _picked(sizes: DataFrame, amount: float) -> DataFrame:
 def bitmap_sort(cov: DataFrame, amount: float, vertical: bool = False) -> DataFrame:
     """Sort every run above the ink floor on drawn lines, ascending.
 
-    Runs are islands inside a line; a run's positions and values are sorted separately and zipped, so the
-    window and the aggregation share one line-keyed shuffle and no group exceeds one line.
+    A run covers consecutive positions, so a pixel of rank k in its run moves to the k-th position after the
+    run's start: two windows over the line, no self-join and no collected groups. Both windows are keyed by
+    the line and share one shuffle; no group exceeds one image side.
     """
     if amount <= 0:
         return cov
@@ -310,16 +311,14 @@ def bitmap_sort(cov: DataFrame, amount: float, vertical: bool = False) -> DataFr
                                           F.lit(True).alias("picked"))
     marked = cov.join(picks, [side, "plate", across], "left")
     active = F.coalesce(F.col("picked"), F.lit(False)) & (F.col("cov") > INK_FLOOR)
-    line = Window.partitionBy("image_id", "plate", across).orderBy(along)
-    gaps = F.sum(F.when(active, 0).otherwise(1)).over(line)
-    # Inactive pixels are islands of their own; an active run is named by the gaps before it.
-    runs = marked.withColumn("run", F.when(active, gaps).otherwise(-1 - F.col(along)))
-    sorted_runs = runs.groupBy("image_id", "plate", across, "run").agg(
-        F.first("w").alias("w"), F.first("h").alias("h"),
-        F.arrays_zip(F.sort_array(F.collect_list(along)).alias("at"),
-                     F.sort_array(F.collect_list("cov")).alias("value")).alias("pairs"))
-    return sorted_runs.select("image_id", "w", "h", "plate", across, F.explode("pairs").alias("p")).select(
-        "image_id", "w", "h", "plate", across, F.col("p.at").alias(along), F.col("p.value").alias("cov")).select(
+    line = Window.partitionBy("image_id", "plate", across)
+    last_gap = F.max(F.when(~active, F.col(along))).over(
+        line.orderBy(along).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = marked.withColumns({"active": active, "start": F.when(active, F.coalesce(last_gap, F.lit(-1)) + 1)
+                               .otherwise(-1)})
+    rank = F.row_number().over(Window.partitionBy("image_id", "plate", across, "start").orderBy("cov", along))
+    moved = F.when(F.col("active"), F.col("start") + rank - 1).otherwise(F.col(along))
+    return runs.withColumn("to", moved.cast("int")).drop(along).withColumnRenamed("to", along).select(
         "image_id", "w", "h", "plate", "x", "y", "cov")
 
 
@@ -330,35 +329,34 @@ def _inset(axis: str, factors: tuple[int, int], reach: int) -> Column:
 def frayed_edges(cov: DataFrame, x_amount: float, y_amount: float) -> DataFrame:
     """Eat hashed insets into the edges of the content, row by row and column by column.
 
-    Lines with content and the content box come from partial aggregations (one row per line, one per plate)
-    and are joined back; the pixels themselves are aggregated once per axis.
+    Whether a line has content is a window over that line. Only the content box (one row per plate, from
+    partial minima and maxima) is joined. Its keys include the frame size, so that both branches read the
+    same columns and a shared exchange below them is computed once.
     """
     reach_x, reach_y = math.floor(max(0, x_amount) * 1.5), math.floor(max(0, y_amount) * 1.5)
     if reach_x <= 0 and reach_y <= 0:
         return cov
-    plate = ["image_id", "plate"]
-    content = cov.where(F.col("cov") > INK_FLOOR)
-    rows = content.groupBy(*plate, "y").agg(F.min("x").alias("left"), F.max("x").alias("right"))
-    box = rows.groupBy(*plate).agg(F.min("left").alias("left"), F.max("right").alias("right"),
-                                   F.min("y").alias("top"), F.max("y").alias("bottom"))
-    out = cov.join(box, plate, "left")
-    cut = F.lit(False)
+    plate = ["image_id", "w", "h", "plate"]
+    ink = F.col("cov") > INK_FLOOR
+    box = cov.where(ink).groupBy(*plate).agg(
+        F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("top"), F.max("y").alias("bottom"))
+    out, cut = cov, F.lit(False)
     x, y = F.col("x"), F.col("y")
     if reach_x > 0:
-        out = out.join(rows.select(*plate, "y", F.lit(True).alias("row_ink")), [*plate, "y"], "left")
+        out = out.withColumn("row_ink", F.max(ink).over(Window.partitionBy("image_id", "plate", "y")))
         a, b = _inset("y", FRAY_LEFT, reach_x), _inset("y", FRAY_RIGHT, reach_x)
         limit = max(10, reach_x * 2)
         near = (a > 0) & (a < limit) & (x >= F.col("left")) & (x < F.col("left") + a)
         far = (b > 0) & (b < limit) & (x >= F.col("right") - b) & (x <= F.col("right"))
         cut = cut | (F.col("row_ink") & (near | far))
     if reach_y > 0:
-        columns = content.groupBy(*plate, "x").agg(F.lit(True).alias("column_ink"))
-        out = out.join(columns, [*plate, "x"], "left")
+        out = out.withColumn("column_ink", F.max(ink).over(Window.partitionBy("image_id", "plate", "x")))
         a, b = _inset("x", FRAY_TOP, reach_y), _inset("x", FRAY_BOTTOM, reach_y)
         limit = max(10, reach_y * 2)
         near = (a > 0) & (a < limit) & (y >= F.col("top")) & (y < F.col("top") + a)
         far = (b > 0) & (b < limit) & (y >= F.col("bottom") - b) & (y <= F.col("bottom"))
         cut = cut | (F.col("column_ink") & (near | far))
+    out = out.join(box, plate, "left")
     return out.withColumn("cov", F.when(F.coalesce(cut, F.lit(False)), 0.0).otherwise(F.col("cov"))).select(*cov.columns)
 
 

@@ -18,8 +18,14 @@ def _field(path: str) -> Column:
 
 
 def _type(path: str) -> Column:
-    """Type name of a field; null when it is absent."""
-    return F.schema_of_variant(_field(path))
+    """Type name of a field; null when it is absent. Types of all fields are listed once per document."""
+    *outer, name = path.split(".")
+    return F.try_element_at(F.col("_" + "_".join([*outer, "types"])), F.lit(name))
+
+
+def _types_of(doc: Column) -> Column:
+    fields = F.try_variant_get(doc, "$", "map<string,variant>")
+    return F.transform_values(fields, lambda _, v: F.schema_of_variant(v))
 
 
 def _number(path: str) -> Column:
@@ -37,7 +43,7 @@ def _is(path: str, kind: type) -> Column:
 
 
 def _given(path: str) -> Column:
-    return _field(path).isNotNull()
+    return _type(path).isNotNull()
 
 
 def _rules() -> list[tuple[str, Column]]:
@@ -83,7 +89,9 @@ def validate_settings(documents: DataFrame, body: str = "settings") -> DataFrame
 
     The text is parsed once per row into a variant; all rules are expressions over it.
     """
-    doc = documents.withColumn("_doc", F.try_parse_json(body))
+    doc = documents.withColumn("_doc", F.try_parse_json(body)).withColumns({
+        "_types": _types_of(F.col("_doc")),
+        **{f"_{name}_types": _types_of(_field(name)) for name in ("angles", "visible", "customShape")}})
     first = F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in _rules()])
     checked = doc.withColumn("field", first).withColumn("ok", F.col("field").isNull())
     groups = {}
@@ -101,7 +109,8 @@ def validate_settings(documents: DataFrame, body: str = "settings") -> DataFrame
         F.coalesce(_number("strokeWidth"), F.lit(1.0)).alias("strokeWidth"),
         F.struct(*[normalize_angle(_number(f"angles.{p}")).alias(p) for p in PLATES]).alias("angles"),
         F.struct(*[F.try_variant_get("_doc", f"$.visible.{p}", "boolean").alias(p) for p in PLATES]).alias("visible"))
-    return checked.withColumns({"value": F.when(F.col("ok"), plain), **groups}).drop("_doc")
+    return checked.withColumns({"value": F.when(F.col("ok"), plain), **groups}).drop(
+        "_doc", "_types", "_angles_types", "_visible_types", "_customShape_types")
 
 
 def element_names(body) -> Column:

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import six
 from ..functions.fixed_values import REFUSALS
-from ..operators import preflight as p
-from ..operators import screen
-from ..sources import images, projects, rasters, sinks
-from .fixture_sql import COV, EVENT_RASTER, JOBS, JOB_PLATES, PARTS, SHIP, with_
+from ..sources import images, projects, sinks
+from .fixture_sql import COV, EVENT_RASTER, JOB_PLATES, SHIP, with_
 from .registry import register
-from .tables import (jobs, parts_coverage, part_headers, raster_events, raster_parts, raster_ship, read)
+from .tables import jobs, parts_coverage, part_headers, raster_events, raster_ship, read
 
 
 def file_headers(spark, sf):

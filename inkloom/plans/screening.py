@@ -65,10 +65,12 @@ def point(df, *more):
                      six(F.col("cy")).alias("cy"), *more)
 
 
-def sampled(spark, sf):
+def sampled(spark, sf, inked=False):
+    """Sampled marks; with ``inked`` only those with any coverage (the others never print)."""
     px = raster_parts(spark, sf)
     marks = sc.screen_lattice(sc.with_bounds(screen_headers(spark, sf), content_bounds(px)))
-    return sc.sample_coverage(marks, parts_coverage(spark, sf))
+    cov = parts_coverage(spark, sf)
+    return sc.sample_coverage(marks, cov.where(F.col("cov") > 0) if inked else cov)
 
 
 def sampled_desktop(spark, sf):
@@ -98,7 +100,7 @@ def sample_coverage(spark, sf):
 @register("dot_size", with_(*COV_BASE, WEB, BOUNDS, SAMPLED,
                             f"SELECT {POINT}, round(size, 6) AS size FROM sampled WHERE size > 0.12"))
 def dot_size(spark, sf):
-    return point(sc.dot_size(sampled(spark, sf)), six(F.col("size")).alias("size"))
+    return point(sc.dot_size(sampled(spark, sf, inked=True)), six(F.col("size")).alias("size"))
 
 
 @register("dot_size_desktop", with_(*COV_BASE, DESK, DESK_SAMPLED,
@@ -131,7 +133,7 @@ SELECT image_id, plate, u_idx, v_idx, CAST(seg AS INT) AS seg,
   round(cx + len * cos(th) / 2 * ((pr - 0.5e0) * 2) + pl * cos(th) / 2, 6) + 0e0 AS x2, round(cy + len * sin(th) / 2 * ((pr - 0.5e0) * 2) + pl * sin(th) / 2, 6) + 0e0 AS y2,
   CAST(greatest(1, trunc(base * (1e0 - abs(pr - 0.5e0) * 2 * 0.6e0))) AS INT) AS width FROM pp"""))
 def line_marks(spark, sf):
-    out = sc.line_marks(sampled(spark, sf), stroke=3.0, length_pct=150.0, density_pct=3.0, taper=0.6, variation=0.4)
+    out = sc.line_marks(sampled(spark, sf, inked=True), stroke=3.0, length_pct=150.0, density_pct=3.0, taper=0.6, variation=0.4)
     return out.select("image_id", "plate", F.col("u_idx").cast("bigint").alias("u_idx"),
                       F.col("v_idx").cast("bigint").alias("v_idx"), "seg",
                       *[six(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")], "width")
@@ -221,7 +223,7 @@ def displace_plate(spark, sf):
 @register("mark_histogram", with_(*COV_BASE, WEB, BOUNDS, SAMPLED, """
 SELECT plate, CAST(floor(size / 0.5e0) AS INT) AS size_class, count(*) AS marks FROM sampled WHERE size > 0.12 GROUP BY ALL"""))
 def mark_histogram(spark, sf):
-    return sc.mark_histogram(sc.dot_size(sampled(spark, sf)))
+    return sc.mark_histogram(sc.dot_size(sampled(spark, sf, inked=True)))
 
 
 @register("densest_tiles", with_(*COV_BASE, WEB, BOUNDS, SAMPLED, """,
@@ -229,4 +231,4 @@ t AS (SELECT plate, image_id, CAST(floor(cx / 16) AS INT) AS tile_x, CAST(floor(
       FROM sampled WHERE size > 0.12 GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY plate ORDER BY marks DESC, image_id, tile_y, tile_x) AS INT) AS rank FROM t QUALIFY rank <= 20"""))
 def densest_tiles(spark, sf):
-    return sc.densest_tiles(sc.dot_size(sampled(spark, sf)), tile=16, k=20)
+    return sc.densest_tiles(sc.dot_size(sampled(spark, sf, inked=True)), tile=16, k=20)

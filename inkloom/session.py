@@ -21,6 +21,10 @@ def build_session(app: str = "inkloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # The JVM does not compile methods over 8000 bytes of bytecode: wide stages are split instead.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+        # Joins whose partitions turn out small skip the sort; larger ones keep the spillable sort-merge join.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
         "spark.ui.enabled": "false",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
@@ -46,6 +50,15 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a plain scan over the cores only when it has fewer input splits than there are cores.
+
+    For scans and projections of one; the split count is read from the plan without running a job. A large
+    table has more splits than cores and is left without a shuffle.
+    """
+    return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else fan_out(df)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder of the session.
 
