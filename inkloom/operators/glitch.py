@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..functions.fixed_values import (FRAY_BOTTOM, FRAY_LEFT, FRAY_RIGHT, FRAY_T
 from ..functions.mixing import block_hash, scramble32, unit_noise
 from ..functions.numeric import clamp, floor_div, radians, round_half_even, round_half_up, truncate
 from ..functions.plates import plate_index
+from ..session import checkpoint
 
 INK_FLOOR = 0.1
 
@@ -282,18 +284,27 @@ def shuffled_lines(count: int, seed: int) -> list[int]:
     return lines
 
 
-def _picked(sizes: DataFrame, amount: float) -> DataFrame:
-    """(lines, plate, line) for each distinct side length and plate."""
-    def draw(batches: Iterator) -> Iterator:
-        import pandas as pd
+@lru_cache(maxsize=256)
+def _drawn(lines: int, plate_idx: int, amount: float):
+    """Lines drawn for sorting on a frame with ``lines`` lines; one entry per frame size and plate."""
+    import numpy as np
 
-        for pdf in batches:
-            for lines, plate in pdf[["lines", "plate"]].itertuples(index=False):
-                keep = max(1, min(lines, math.floor(lines * min(1.0, max(0.0, amount)))))
-                order = shuffled_lines(lines, SORT_SEED + PLATES.index(plate) * SORT_SEED_STEP)
-                yield pd.DataFrame({"lines": lines, "plate": plate, "line": order[:keep]})
+    keep = max(1, min(lines, math.floor(lines * min(1.0, max(0.0, amount)))))
+    return np.array(shuffled_lines(lines, SORT_SEED + plate_idx * SORT_SEED_STEP)[:keep])
 
-    return sizes.mapInPandas(draw, "lines int, plate string, line int")
+
+def _is_drawn(amount: float):
+    """Vectorised test (frame lines, plate index, line) -> drawn. A lookup in the task: no join, no shuffle."""
+    def test(lines: pd.Series, plate_idx: pd.Series, line: pd.Series) -> pd.Series:
+        import numpy as np
+
+        out, at = np.zeros(len(line), bool), line.to_numpy()
+        groups = pd.DataFrame({"n": lines.to_numpy(), "p": plate_idx.to_numpy()}).groupby(["n", "p"]).indices
+        for (n, p), rows in groups.items():
+            out[rows] = np.isin(at[rows], _drawn(int(n), int(p), amount))
+        return pd.Series(out)
+
+    return F.pandas_udf(test, "boolean")
 
 
 def bitmap_sort(cov: DataFrame, amount: float, vertical: bool = False) -> DataFrame:
@@ -306,11 +317,8 @@ def bitmap_sort(cov: DataFrame, amount: float, vertical: bool = False) -> DataFr
     if amount <= 0:
         return cov
     along, across, side = ("y", "x", "w") if vertical else ("x", "y", "h")
-    sizes = cov.select(F.col(side).alias("lines"), "plate").distinct()
-    picks = _picked(sizes, amount).select(F.col("lines").alias(side), "plate", F.col("line").alias(across),
-                                          F.lit(True).alias("picked"))
-    marked = cov.join(picks, [side, "plate", across], "left")
-    active = F.coalesce(F.col("picked"), F.lit(False)) & (F.col("cov") > INK_FLOOR)
+    marked = cov.withColumn("picked", _is_drawn(amount)(F.col(side), plate_index("plate"), F.col(across)))
+    active = F.col("picked") & (F.col("cov") > INK_FLOOR)
     line = Window.partitionBy("image_id", "plate", across)
     last_gap = F.max(F.when(~active, F.col(along))).over(
         line.orderBy(along).rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -330,8 +338,7 @@ def frayed_edges(cov: DataFrame, x_amount: float, y_amount: float) -> DataFrame:
     """Eat hashed insets into the edges of the content, row by row and column by column.
 
     Whether a line has content is a window over that line. Only the content box (one row per plate, from
-    partial minima and maxima) is joined. Its keys include the frame size, so that both branches read the
-    same columns and a shared exchange below them is computed once.
+    partial minima and maxima) is joined. The field is read twice, once for the box.
     """
     reach_x, reach_y = math.floor(max(0, x_amount) * 1.5), math.floor(max(0, y_amount) * 1.5)
     if reach_x <= 0 and reach_y <= 0:
@@ -360,9 +367,15 @@ def frayed_edges(cov: DataFrame, x_amount: float, y_amount: float) -> DataFrame:
     return out.withColumn("cov", F.when(F.coalesce(cut, F.lit(False)), 0.0).otherwise(F.col("cov"))).select(*cov.columns)
 
 
-def glitch_chain(cov: DataFrame, fray_x: float = 0, fray_y: float = 0, **given) -> DataFrame:
-    """All effects in their fixed order: field gather, line sort, fraying."""
+def glitch_chain(cov: DataFrame, fray_x: float = 0, fray_y: float = 0, cut: bool = False, **given) -> DataFrame:
+    """All effects in their fixed order: field gather, line sort, fraying.
+
+    Fraying reads the field twice. With ``cut`` the field is checkpointed before it, so that on large corpora
+    the gather and the sort run once; this starts a job while the plan is built.
+    """
     s = settings(**given)
     out = glitch_field(cov, **given)
     out = bitmap_sort(out, s["bitmapSort"], s["bitmapSortVertical"])
+    if cut and (fray_x > 0 or fray_y > 0):
+        out = checkpoint(out)
     return frayed_edges(out, fray_x, fray_y)

@@ -302,6 +302,12 @@ def test_plate_stats_totals(field):
     assert rows["cyan", "a"].mean_cov == pytest.approx(sum(map(sum, grids["a", "cyan"])) / 117, abs=1e-6)
 
 
+def test_cut_chain_equals_lazy_chain(field):
+    df, _ = field
+    given = dict(fray_x=2, fray_y=3, sliceShift=2, blockShift=0.3, bitmapSort=0.6)
+    assert as_grids(glitch.glitch_chain(df, cut=True, **given)) == as_grids(glitch.glitch_chain(df, **given))
+
+
 def test_checkpoint_uses_the_configured_folder(spark, field):
     df, _ = field
     assert checkpoint(df.limit(3)).count() == 3
