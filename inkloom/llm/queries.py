@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minmax
+from . import decontaminate, minmax
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,3 +23,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.85 and more, over all documents."""
     return minmax.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"""
+
+
+@_query
+def op4_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words of every benchmark item in all documents."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+ORACLES["op4_fm_index_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS k, array_to_string(list_slice(ws, p, p + 12), ' ') AS g
+        FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS p FROM i WHERE len(ws) > 0)),
+ks AS (SELECT DISTINCT k FROM win),
+dw AS (SELECT doc_id, k, p, array_to_string(list_slice(ws, p, p + k - 1), ' ') AS g
+       FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, ks WHERE len(ws) >= k)),
+hits AS (SELECT doc_id, dw.k, p, item_id FROM dw JOIN win USING (k, g)),
+words AS (SELECT doc_id, count(DISTINCT w) AS n_hit
+          FROM (SELECT doc_id, unnest(range(p, p + k)) AS w FROM (SELECT DISTINCT doc_id, k, p FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
