@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minmax
+from . import decontaminate, leaks, minmax, pii, spans
+from .store import new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +55,20 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+def _digested(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    return found.select("doc_id", *(spans.count_kind("spans", k).alias(f"n_{k}") for k in kinds),
+                        spans.base_digest("spans").alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"))
+
+
+@_query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses, card, phone and account numbers in all documents."""
+    return _digested(pii.personal_data(_table(spark, sf_dir, "documents")), pii.KINDS[:4])
+
+
+@_query
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, through a ledger that starts empty."""
+    return _digested(leaks.secrets(_table(spark, sf_dir, "documents"), new_path(spark, "ledger")), leaks.KINDS[:3])

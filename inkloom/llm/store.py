@@ -55,3 +55,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 0, limit: int = SLIC
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that its scheme names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
