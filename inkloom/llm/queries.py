@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, leaks, minmax, pii, spans
+from . import decontaminate, leaks, minmax, mixing, pii, spans
 from .store import new_path
 
 QUERIES: dict = {}
@@ -72,3 +72,31 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, through a ledger that starts empty."""
     return _digested(leaks.secrets(_table(spark, sf_dir, "documents"), new_path(spark, "ledger")), leaks.KINDS[:3])
+
+
+@_query
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, sources weighted 5, 2, 1 in turn."""
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op6_mix_sources"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 15) AS hash FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(n - 1) % 3 + 1]::DOUBLE AS w FROM s),
+o AS (SELECT *, sum(s) OVER () - coalesce(sum(3 * s) OVER (ORDER BY 3 * s / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(w) OVER (ORDER BY 3 * s / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wrest FROM w),
+f AS (SELECT *, rest::DOUBLE / wrest AS level FROM o),
+lv AS (SELECT min_by(level, 3 * s / w) AS level, min(3 * s / w) AS edge FROM f WHERE level <= 3 * s / w),
+t AS (SELECT source, s, CASE WHEN lv.edge IS NULL OR 3 * s / w < lv.edge THEN (3 * s)::DOUBLE ELSE lv.level * w END AS target FROM w, lv),
+b AS (SELECT *, CASE WHEN s > 0 THEN least(3, floor(target / s)) ELSE 0 END AS copies FROM t),
+c AS (SELECT d.*, b.s, b.target, b.copies, greatest(0, b.target - b.copies * b.s) AS budget,
+             sum(size) OVER (PARTITION BY d.source ORDER BY hash RANGE UNBOUNDED PRECEDING) AS upto,
+             sum(size) OVER (PARTITION BY d.source, hash) AS own
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, s AS source_size, target,
+       (size * (copies + CASE WHEN upto <= budget OR upto - own < budget AND upto - budget < budget - (upto - own) THEN 1 ELSE 0 END))::BIGINT
+       AS taken FROM c
+"""
