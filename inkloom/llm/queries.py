@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, leaks, minmax, mixing, pii, spans
+from . import archives, decontaminate, leaks, minmax, mixing, pii, spans, tokens
 from .store import new_path
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -100,3 +101,25 @@ SELECT doc_id, size, s AS source_size, target,
        (size * (copies + CASE WHEN upto <= budget OR upto - own < budget AND upto - budget < budget - (upto - own) THEN 1 ELSE 0 END))::BIGINT
        AS taken FROM c
 """
+
+
+@_query
+def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens per line of all documents."""
+    return tokens.section_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@_query
+def op3_seekable_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back from its bundle."""
+    folder = new_path(spark, "archives")
+    index = archives.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return archives.read_archives(index, folder, with_payload=False).drop("url", "payload")
+
+
+ORACLES["op3_seekable_archives"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE page_id END AS last FROM p)
+SELECT page_id, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, n AS payload_bytes,
+       d AS payload_digest, CASE WHEN page_id <> last THEN last END AS refers_to FROM m
+"""
