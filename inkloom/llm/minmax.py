@@ -14,6 +14,8 @@ from .store import slices, written
 from .words import SOLID, batch_words, mix
 
 BLOCK = 512  # members of a bucket compared at a time
+BLOCK_SHINGLES = 1 << 20  # and their shingles, but for one longer text
+COLUMNS = 4096  # shingles per matrix product
 ROWS = 4  # signature values per band: two minima and two maxima of the same two permutations
 
 
@@ -90,26 +92,53 @@ def _screen(threshold: float, permutations: int):
     return run
 
 
-def _across(threshold: float, permutations: int):
-    """Pairs of one bucket block whose members lie in different components and have close sketches."""
-    least, ratio = _likely(threshold, permutations), threshold
+def _shared(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of 0/1 matrices over a few thousand shingles at a time."""
+    values, places = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    rows = np.repeat(np.arange(len(sets) + len(others)), [len(s) for s in [*sets, *others]])
+    order = np.argsort(places, kind="stable")
+    rows, places, out = rows[order], places[order], np.zeros((len(sets), len(others)))
+    for at in range(0, len(values), COLUMNS):
+        lo, hi = np.searchsorted(places, [at, at + COLUMNS])
+        part = np.zeros((len(sets) + len(others), min(COLUMNS, len(values) - at)), np.float32)
+        part[rows[lo:hi], places[lo:hi] - at] = 1
+        out += part[:len(sets)] @ part[len(sets):].T
+    return out
+
+
+def _across(k: int, percent: int, permutations: int):
+    """Links of one pair of blocks of a bucket that join different components. Sketches choose the members that can have
+    such a link, full sets decide; of the links found only those that merge components are returned."""
+    least, schema = _likely(percent / 100, permutations), pa.schema([("a", pa.string()), ("b", pa.string())])
 
     def run(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        table = table.sort_by("node")
-        node, block = np.array(table.column("node").to_pylist(), object), table.column("block").to_numpy()
-        comp = np.unique(np.array(table.column("component").to_pylist(), object).astype(str), return_inverse=True)[1]
+        node, block = table.column("node").to_pylist(), table.column("block").to_numpy()
+        comp = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)[1]
         n = table.column("n").to_numpy()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out_a, out_b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) >= ratio * np.maximum(n[right], n[x]) - 1e-6)]
-            y = y[y > x] if i == j else y
-            y = y[(sketch[y] == sketch[x]).mean(1) >= least] if len(y) else y
-            out_a += [min(node[x], v) for v in node[y]]
-            out_b += [max(node[x], v) for v in node[y]]
-        return pa.table({"a": pa.array(out_a, pa.string()), "b": pa.array(out_b, pa.string())})
+        can = np.zeros((len(left), len(right)), bool)
+        for row, x in enumerate(left):
+            can[row] = ((comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)
+                        & ((sketch[right] == sketch[x]).mean(1) >= least))
+        keep, kept = can.any(1), can.any(0)
+        left, right, can = left[keep], right[kept], can[keep][:, kept]
+        if not can.size:
+            return schema.empty_table()
+        used = np.unique(np.concatenate([left, right]))
+        words, _, _, rows = batch_words(table.column("text").combine_chunks().take(pa.array(used)), SOLID)
+        sets = {int(x): shingle_hashes(words[rows[at]:rows[at + 1]], k) for at, x in enumerate(used)}
+        both = _shared([sets[int(x)] for x in left], [sets[int(x)] for x in right])
+        linked = can & (100 * both >= percent * (n[left][:, None] + n[right] - both))
+        out: tuple[list, list] = [], []
+        for row, x in enumerate(left):
+            for y in right[linked[row]]:
+                if comp[x] != comp[y]:
+                    comp[comp == comp[y]] = comp[x]
+                    out[0].append(node[x])
+                    out[1].append(node[y])
+        return pa.table([pa.array(o, pa.string()) for o in out], schema=schema)
     return run
 
 
@@ -139,8 +168,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        time. With 48 permutations a pair at 0.85 shares no band with a probability of 2e-8; closer pairs with less.
     2. Equal sets become one node. Every bucket links its members to its least node (a star), so a bucket of m
        members gives m - 1 candidates. Size ratio and sketches screen them, full sets confirm them.
-    3. Where a bucket still spans several components, its members are compared across components in blocks of
-       512, so no pair of a shared bucket is left out and no group is held by one task. Full sets confirm again.
+    3. Where a bucket still spans several components, its members are compared across components in pairs of blocks of
+       512 members or a million shingles. Sketches screen, full sets confirm by products of 0/1 matrices, and only links
+       that merge components leave the task: no pair of a shared bucket is left out, none is emitted for its own sake,
+       and no group is held by one task.
 
     Null, empty and white-space texts have no shingles and link with nothing; such rows are their own component.
     Repeated rows fall into one class and all carry the class's id (kept is true for each of them if they are the
@@ -184,18 +215,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(components(links), "components")
 
     placed = written(buckets.where("m > 2").join(first, "node", "left")
-                     .select("key", "node", "m", F.coalesce("component", "node").alias("component")), "placed")
-    mixed = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                    .where("lo < hi"), "mixed")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    blocks = (placed.join(mixed.select("key"), "key").join(facts, "node")
+                     .join(nodes.select("node", "n"), "node")
+                     .select("key", "node", "m", "n", F.coalesce("component", "node").alias("component")), "placed")
+    mixed = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                              F.sum("n").alias("total")).where("lo < hi").select("key", "total"), "mixed")
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    blocks = (placed.join(mixed, "key").join(nodes.select("node", "sketch"), "node").join(texts, "node")
               .withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-              .select("key", "node", "component", "n", "sketch", "block",
+              .select("key", "node", "component", "n", "sketch", "text", "block",
                       F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    crossing = (blocks.groupBy("key", "i", "j").applyInArrow(_across(threshold, permutations), "a string, b string")
-                .distinct().join(stars, ["a", "b"], "left_anti"))
-    more = confirmed(written(crossing, "crossing"))
+    more = blocks.groupBy("key", "i", "j").applyInArrow(_across(k, percent, permutations), "a string, b string")
     joined = written(more.union(first.select(F.col("component").alias("a"), F.col("node").alias("b"))), "joined")
     final = components(joined)
 
