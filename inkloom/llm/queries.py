@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, leaks, minmax, mixing, pii, spans, tokens
+from . import archives, decontaminate, leaks, minmax, mixing, pii, spans, tokens, toxicity
 from .store import new_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -123,3 +123,12 @@ m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE
 SELECT page_id, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, n AS payload_bytes,
        d AS payload_digest, CASE WHEN page_id <> last THEN last END AS refers_to FROM m
 """
+
+
+@_query
+def op2_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon learned from labels that are not held out, applied to all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
