@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .store import slices
+from .store import schema_of, slices
 from .words import ALNUM, batch_words, text_bytes, word_spans
 
 WINDOW = 13
@@ -141,7 +141,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     mark spans but are not listed. Repeated rows are judged alike, repeated items count once. Further columns are
     ignored, so their names may clash.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    schema = schema_of(docs, id_col, f"text string, {ADDED}")
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tests = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -149,7 +149,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     for b in range(blocks):
         own = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else tests
         phrases = phrases_of([(r["item"], r["text"]) for r in own.toLocalIterator()], window)
-        out = out.mapInArrow(_scan(phrases, b == 0), f"doc_id {kind}, text string, {ADDED}")
+        out = out.mapInArrow(_scan(phrases, b == 0), schema)
     return out
 
 

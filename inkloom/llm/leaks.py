@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, by_place, matches, text_scan
-from .store import exists, written
+from .spans import SPAN, by_place, matches, redact, text_scan
+from .store import exists, slices, written
 
 KINDS = ("assign", "access", "hex", "pem")
 #: The rules and the version of each; a changed rule gets a new version and is then scanned again on all blobs.
@@ -45,8 +46,8 @@ def _current() -> list[str]:
 
 
 def addressed(versions: DataFrame, text_col: str = "text") -> DataFrame:
-    """The versions with ``blob``, the SHA-256 of their content (null: empty), in place of the content."""
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+    """The versions with ``_blob``, the SHA-256 of their content (null: empty), in place of the content."""
+    return versions.withColumn("_blob", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
 
 
 def scan_unseen(versions: DataFrame, ledger: str, text_col: str = "text") -> DataFrame:
@@ -79,7 +80,8 @@ def secrets(versions: DataFrame, ledger: str, keys: tuple[str, ...] = ("doc_id",
     storage that outlives the run; blobs scanned before, under any path, are not scanned again. Spans are leftmost and
     non-overlapping per kind, in code points: assignments with a value of 6 or more characters, access keys of 20 or more, hex
     runs of 24 or more (these are the base) and heads of private keys. Null and empty contents share the blob of the empty
-    text and have no spans; repeated rows and null keys are kept. Columns besides keys and content are ignored.
+    text and have no spans; repeated rows and null keys are kept. Columns besides keys and content are ignored; a key
+    may have any name but ``spans``, ``_blob`` and ``_content``.
     """
     paths = addressed(versions.select(*keys, F.col(text_col).alias("_content")), "_content").drop("_content")
     done = scan_unseen(versions, ledger, text_col)
@@ -92,5 +94,22 @@ def secrets(versions: DataFrame, ledger: str, keys: tuple[str, ...] = ("doc_id",
     order = F.array(*map(F.lit, KINDS))
     ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("at"), F.array_position(order, s["kind"]).alias("k"), s.alias("s")))
     found = written(found.withColumn("spans", F.transform(F.sort_array(ranked), lambda x: x["s"])), "findings")
-    out = paths.join(found, "blob", "left")
+    out = paths.join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
     return out.select(*keys, F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def redacted(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """A result of ``secrets`` whose keys include the text: every span in it is replaced by its kind, spans are dropped."""
+    at, spans_at = found.columns.index(text_col), found.columns.index("spans")
+
+    def run(batches):
+        for batch in slices(batches, at):
+            texts = batch.column(at).to_pylist()
+            for i, own in enumerate(batch.column(spans_at).to_pylist()):
+                if own:
+                    texts[i] = redact(texts[i], own)
+            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(columns) if i != spans_at],
+                                             names=[c for c in batch.schema.names if c != "spans"])
+
+    return found.mapInArrow(run, found.drop("spans").schema)

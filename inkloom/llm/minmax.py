@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .store import slices, written
+from .store import schema_of, slices, written
 from .words import SOLID, batch_words, mix
 
 BLOCK = 512  # members of a bucket compared at a time
@@ -157,11 +157,12 @@ def _confirm(k: int, numerator: int, denominator: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85,
-                    permutations: int = 48) -> DataFrame:
+                    permutations: int = 48, with_text: bool = False) -> DataFrame:
     """Classes of documents whose sets of k-word shingles have a Jaccard similarity of at least ``percent`` / 100.
 
-    Returns one row per input row: ``doc_id, n_shingles, component_id, kept``; component_id is the least id reachable
-    over links, kept says whether the row is that document.
+    Returns one row per input row: ``doc_id, n_shingles, component_id, kept, chosen``; component_id is the least id
+    reachable over links, kept says whether the row has that id, chosen is true for exactly one row of each class.
+    ``with_text`` adds the text.
 
     1. One pass computes the set of every whole text, its 128-bit key, and a min-max signature: the minimum and the
        maximum under each of ``permutations`` multiplicative permutations, banded two permutations (four values) at a
@@ -175,18 +176,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and white-space texts have no shingles and link with nothing; such rows are their own component.
     Repeated rows fall into one class and all carry the class's id (kept is true for each of them if they are the
-    least). Rows with a null id take part; a class of only null ids has a null component and is kept. Words split on
-    the six ASCII white-space characters and A-Z are lowered. Further columns are ignored.
+    least, chosen for one). Rows with a null id take part and come after all others; a class of only null ids has a null
+    component and is kept. Words split on the six ASCII white-space characters and A-Z are lowered. Further columns are
+    ignored.
     """
     spark, threshold = docs.sparkSession, percent / 100
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    signed = written(source.mapInArrow(
-        _sign(k, permutations, 1), f"doc_id {kind}, text string, node string, n bigint, bands array<bigint>, sketch binary"),
-        "signed")
+    signed = written(source.mapInArrow(_sign(k, permutations, 1), schema_of(
+        docs, id_col, "text string, node string, n bigint, bands array<bigint>, sketch binary"))
+        .withColumn("row", F.monotonically_increasing_id()), "signed")
 
+    first_row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     nodes = written(signed.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("bands").alias("bands"),
+        F.min(first_row).alias("least"), F.max("n").alias("n"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch")), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("key"))
     full = written(spread.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("centre")).where("m > 1"),
@@ -231,11 +233,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Tables joined on a key that one group may fill are written first: plain exchanges on both sides can be split.
     named = written(final.join(nodes.select("node", "least"), "node"), "named")
-    ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
-    named = named.select("node", "component").join(ids, "component").select("node", "component_id")
+    ids = written(named.groupBy("component").agg(F.min("least").alias("best")), "ids")
+    named = named.select("node", "component").join(ids, "component").select("node", "best")
     answer = written(nodes.select("node", "least").join(named, "node", "left")
-                     .select("node", F.coalesce("component_id", "least").alias("component_id")), "answer")
-    return (signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(answer, "node", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
+                     .select("node", F.coalesce("best", "least").alias("best")), "answer")
+    alone = F.col("node").isNull()
+    return (signed.select("doc_id", F.col("n").alias("n_shingles"), "node", "row", *(["text"] if with_text else []))
+            .join(answer, "node", "left")
+            .withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .withColumn("chosen", alone | (F.col("row") == F.col("best.row")))
+            .drop("node", "row", "best"))

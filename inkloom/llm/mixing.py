@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import packed, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times that a source, and so a document, is taken at most
@@ -33,10 +33,6 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = MOST)
     return out
 
 
-def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(SOLID_WORD)), F.lit(0)).cast("bigint")
-
-
 def _bucket(level: int) -> Column:
     return F.substring("hash", 1 + DIGITS * level, DIGITS)
 
@@ -74,6 +70,35 @@ def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         .alias("limit")))
 
 
+def _hashed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The documents with ``key`` (of the source), ``size`` (words) and ``hash`` (of id and text)."""
+    text, source = F.col(text_col).cast("string"), F.col(source_col).cast("string")
+    identity = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))
+    return (docs.withColumn("key", F.coalesce(F.concat(F.lit("s"), source), F.lit("n")))
+            .withColumn("size", F.coalesce(F.regexp_count(text, F.lit(SOLID_WORD)), F.lit(0)).cast("bigint"))
+            .withColumn("hash", F.substring(F.md5(identity.cast("binary")), 1, DIGITS * LEVELS)))
+
+
+def _limits(sized: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
+    """A row per source: ``key, source_size, target, copies, limit``."""
+    totals = sized.groupBy("key").agg(F.sum("size").alias("size")).collect()
+    totals.sort(key=lambda r: (r["key"] == "n", r["key"].encode()))
+    sizes = [r["size"] for r in totals]
+    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], most)
+    plan = []
+    for r, size, target in zip(totals, sizes, wanted, strict=True):
+        copies = min(most, int(target // size)) if size else 0
+        plan.append((r["key"], size, target, copies, max(0.0, target - copies * size)))
+    budgets = sized.sparkSession.createDataFrame(plan, "key string, source_size long, target double, copies int, budget double")
+    return written(budgets.join(_thresholds(sized, budgets), "key", "left").drop("budget"), "limits")
+
+
+def _taken(hashed: DataFrame, limits: DataFrame) -> DataFrame:
+    copies = F.col("copies") + (F.col("hash") <= F.coalesce("limit", F.lit(""))).cast("int")
+    return (hashed.join(limits, "key").withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+            .drop("key", "hash", "limit"))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", most: int = MOST) -> DataFrame:
     """How often each document is taken: ``doc_id, source, size, source_size, target, copies, taken`` per input row.
@@ -87,24 +112,18 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str
     Null texts have size 0, a null source is a source of its own, null ids are hashed as such. An empty table gives
     an empty result. Further columns are ignored.
     """
-    spark = docs.sparkSession
-    identity = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                                F.col(source_col).cast("string").alias("source"))
-                    .select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),
-                            word_count("text").alias("size"),
-                            F.substring(F.md5(identity.cast("binary")), 1, DIGITS * LEVELS).alias("hash")), "sized")
-    totals = sized.groupBy("source", "key").agg(F.sum("size").alias("size")).collect()
-    totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [r["size"] for r in totals]
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], most)
-    plan = []
-    for r, size, target in zip(totals, sizes, wanted, strict=True):
-        copies = min(most, int(target // size)) if size else 0
-        plan.append((r["key"], size, target, copies, max(0.0, target - copies * size)))
-    budgets = spark.createDataFrame(plan, "key string, source_size long, target double, copies int, budget double")
-    limits = written(budgets.join(_thresholds(sized.select("key", "hash", "size"), budgets), "key", "left"), "limits")
-    copies = F.col("copies") + (F.col("hash") <= F.coalesce("limit", F.lit(""))).cast("int")
-    return (sized.join(limits, "key").withColumn("copies", copies)
-            .select("doc_id", "source", "size", "source_size", "target", "copies",
-                    (F.col("size") * F.col("copies")).alias("taken")))
+    renamed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    sized = written(_hashed(renamed, "doc_id", "text", "source").drop("text"), "sized")
+    return _taken(sized, _limits(sized.select("key", "hash", "size"), weights, most)).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text",
+                    source_col: str = "source", most: int = MOST) -> DataFrame:
+    """The documents that the mix takes, packed as by ``store.packed``: ``doc_id, text, size, copies, taken``. The limits are
+    found on narrow rows and joined to the documents; one row per source is small, so texts are not shuffled."""
+    rows = packed(docs, text_col)
+    hashed = _hashed(rows.withColumn("id", F.col("doc_id").getField(id_col)).withColumn("source", F.col("doc_id").getField(source_col)),
+                     "id", "text", "source").drop("id", "source")
+    sized = written(hashed.select("key", "hash", "size"), "sized")
+    return _taken(hashed, _limits(sized, weights, most)).where("copies > 0").select("doc_id", "text", "size", "copies", "taken")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import SPAN, by_place, matches, text_scan
+from .store import schema_of
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 NEAR = 40  # characters of context on either side
@@ -111,6 +112,5 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pass per kind, in linear time, without a shuffle. Null and empty texts have no spans; repeated rows and null ids are
     kept; other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(text_scan(find, 1), f"doc_id {kind}, spans {SPAN}")
+    return source.mapInArrow(text_scan(find, 1), schema_of(docs, id_col, f"spans {SPAN}"))

@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.85 and more, over all documents."""
-    return minmax.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minmax.near_duplicates(_table(spark, sf_dir, "documents")).drop("chosen")
 
 
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

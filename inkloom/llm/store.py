@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 8 << 20  # text handled at a time inside a task
 
@@ -61,3 +63,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in the file system that its scheme names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def schema_of(docs: DataFrame, id_col: str, ddl: str) -> T.StructType:
+    """The id column, whatever its type, under the name doc_id, and the columns of ``ddl``."""
+    return T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T.StructType.fromDDL(ddl).fields])
+
+
+def packed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``text``, with all columns but the text packed into doc_id: operators pass them along unread, so no
+    name can clash. ``unpacked`` turns a result back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def unpacked(result: DataFrame, like: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of ``like`` in its order, from a result with packed doc_id and text."""
+    return result.select(*(F.col("text").alias(c) if c == text_col else F.col("doc_id").getField(c).alias(c) for c in like.columns))

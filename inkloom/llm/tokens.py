@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import slices
+from .store import schema_of, slices
 from .words import text_bytes
 
 # The split pattern of the byte-level vocabulary, and the characters that are white space to it.
@@ -128,7 +128,6 @@ def section_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         raise ValueError(f"rule must be one of {RULES}")
     with open(vocabulary, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
-    kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), (F.col(text) if isinstance(text, str) else text).cast("string").alias("text"),
                          (F.lit(None) if lengths is None else lengths).cast("array<bigint>").alias("lengths"))
-    return source.mapInArrow(_count(shipped, pattern, rule), f"doc_id {kind}, {COUNTS}")
+    return source.mapInArrow(_count(shipped, pattern, rule), schema_of(docs, id_col, COUNTS))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .minmax import shingle_hashes, signature
-from .store import slices, written
+from .store import schema_of, slices, written
 from .words import SOLID, batch_words
 
 SAMPLE = 20_000  # labelled rows that a lexicon is learned from, at most about so many
@@ -263,6 +263,5 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
     Whole texts are folded and matched by an automaton in one pass, without a shuffle. Null and empty texts have the
     score of a text without matches. Repeated rows get equal scores, null ids are kept, further columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_scored(lexicon, 1), f"doc_id {kind}, text string, score double")
+    return source.mapInArrow(_scored(lexicon, 1), schema_of(docs, id_col, "text string, score double"))
