@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, leaks, minmax, mixing, pii, spans, tokens, toxicity
+from . import archives, decontaminate, flatgraph, leaks, minmax, mixing, pii, spans, tokens, toxicity
 from .store import new_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -132,3 +132,23 @@ def op2_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op1_flat_graph_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of a label at a cosine of 0.98 and more."""
+    return flatgraph.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op1_flat_graph_near_duplicates"] = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r(a, c) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(c) AS c FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
