@@ -17,7 +17,7 @@ TARGET = 1500  # vectors wanted in a shard
 LIMIT = 4096  # a larger shard is worked on in pairs of blocks of half that size
 NEAR, FAR, POOL = 32, 8, 64  # neighbours kept of the nearest and of far ones, and candidates for the former
 ALPHA = 1.2
-BEAM = 16
+BEAM = 8
 AUDIT = 200  # vectors that recall is audited on
 RECALL = 0.99
 
@@ -97,32 +97,34 @@ def range_search(u: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, le
     place until its BEAM best are expanded, then expansion of everything in range until nothing new is in range."""
     n = len(u)
     medoid = int(np.argmax(u @ u.mean(0)))
-    link = np.zeros((n, n), np.float32)
-    for i, own in enumerate(lists):
-        link[i, own] = 1
-    for at in range(0, len(queries), 512):
-        q = queries[at:at + 512]
-        rows = np.arange(len(q))
-        sims = np.full((len(q), n), -2.0)
-        done = np.zeros((len(q), n), bool)
+    degree = np.array([len(x) for x in lists])
+    first, ends = np.cumsum(degree) - degree, np.concatenate(lists)
+    for at in range(0, len(queries), 256):
+        q = queries[at:at + 256]
+        sims, done = np.full((len(q), n), -2.0), np.zeros((len(q), n), bool)
         for start in (np.full(len(q), medoid), q):
-            sims[rows, start] = np.einsum("nd,nd->n", u[q], u[start])
-        while True:
-            best = np.argpartition(-sims, min(BEAM, n) - 1, axis=1)[:, :BEAM] if n > BEAM else np.tile(np.arange(n), (len(q), 1))
-            grow = np.zeros((len(q), n), bool)
+            sims[np.arange(len(q)), start] = np.einsum("nd,nd->n", u[q], u[start])
+        live = np.arange(len(q))
+        while len(live):
+            own, ended = sims[live], done[live]
+            best = np.argpartition(-own, min(BEAM, n) - 1, axis=1)[:, :BEAM]
+            grow = own >= least
             np.put_along_axis(grow, best, True, 1)
-            grow |= sims >= least
-            grow &= (sims > -2) & ~done
-            if not grow.any():
-                break
-            done |= grow
-            met = (grow.astype(np.float32) @ link > 0) & (sims == -2)
-            for a in range(0, len(r := np.flatnonzero(met)), 1 << 16):
-                x, y = np.divmod(r[a:a + (1 << 16)], n)
-                sims[x, y] = np.einsum("nd,nd->n", u[q[x]], u[y])
-        for row in rows:
+            grow &= (own > -2) & ~ended
+            row, node = np.nonzero(grow)
+            done[live[row], node] = True
+            steps = degree[node]
+            met = np.zeros(own.shape, bool)
+            place = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+            met[np.repeat(row, steps), ends[np.repeat(first[node], steps) + place]] = True
+            x, y = np.nonzero(met & (own == -2))
+            for part in range(0, len(x), 1 << 15):
+                i, j = x[part:part + (1 << 15)], y[part:part + (1 << 15)]
+                sims[live[i], j] = np.einsum("nd,nd->n", u[q[live[i]]], u[j])
+            live = live[grow.any(1)]
+        for row, query in enumerate(q):
             hit = np.flatnonzero(sims[row] >= least)
-            yield int(q[row]), hit[hit != q[row]]
+            yield int(query), hit[hit != query]
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
