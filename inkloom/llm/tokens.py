@@ -57,7 +57,7 @@ def allocate(token_ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.
     ``most``: the section with most of the token's bytes, the earliest of equals. ``start`` / ``end``: the section of the
     first or last byte.
     """
-    starts = np.concatenate([[0], token_ends[:-1]])
+    starts = np.concatenate([[0], token_ends])[:-1]
     first = np.searchsorted(bounds, starts, side="right") - 1
     last = np.searchsorted(bounds, token_ends, side="left") - 1
     if rule == "end":
