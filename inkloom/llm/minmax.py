@@ -70,7 +70,7 @@ def _sign(k: int, permutations: int, text_at: int):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=[*batch.schema.names, "node", "n", "bands", "sketch"])
+                names=[*batch.schema.names, "digest", "n", "bands", "sketch"])
     return run
 
 
@@ -106,30 +106,43 @@ def _shared(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _candidates(table: pa.Table, percent: int, permutations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the left and the right block of a task, which of their pairs can be links, and the components. A pair can be one
+    if its components differ, sizes and sketches allow it, and no earlier band puts it into a bucket as well."""
+    i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+    least = _likely(percent / 100, permutations)
+    comp = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+    n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    bands = np.array(table.column("bands").to_pylist(), np.int64)[:, :band]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    can = np.zeros((len(left), len(right)), bool)
+    for row, x in enumerate(left):
+        can[row] = ((comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)
+                    & ((sketch[right] == sketch[x]).mean(1) >= least) & ~(bands[right] == bands[x]).any(1))
+    return left, right, can, comp
+
+
+def _needed(percent: int, permutations: int):
+    """The members of a task that have a candidate in it."""
+    def run(table: pa.Table) -> pa.Table:
+        left, right, can, _ = _candidates(table, percent, permutations)
+        rows = np.unique(np.concatenate([left[can.any(1)], right[can.any(0)]]))
+        return table.take(pa.array(rows, pa.int64()))
+    return run
+
+
 def _across(k: int, percent: int, permutations: int):
-    """Links of one pair of blocks of a bucket that join different components. Sketches choose the members that can have
-    such a link, full sets decide; of the links found only those that merge components are returned."""
-    least, schema = _likely(percent / 100, permutations), pa.schema([("a", pa.string()), ("b", pa.string())])
+    """Links of one pair of blocks of a bucket that join different components: full sets decide the candidates, and of the
+    links found only those that merge components are returned."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        node, block = table.column("node").to_pylist(), table.column("block").to_numpy()
-        comp = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)[1]
-        n = table.column("n").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        can = np.zeros((len(left), len(right)), bool)
-        for row, x in enumerate(left):
-            can[row] = ((comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)
-                        & ((sketch[right] == sketch[x]).mean(1) >= least))
-        keep, kept = can.any(1), can.any(0)
-        left, right, can = left[keep], right[kept], can[keep][:, kept]
-        if not can.size:
-            return schema.empty_table()
-        used = np.unique(np.concatenate([left, right]))
-        words, _, _, rows = batch_words(table.column("text").combine_chunks().take(pa.array(used)), SOLID)
-        sets = {int(x): shingle_hashes(words[rows[at]:rows[at + 1]], k) for at, x in enumerate(used)}
-        both = _shared([sets[int(x)] for x in left], [sets[int(x)] for x in right])
+        node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+        left, right, can, comp = _candidates(table, percent, permutations)
+        words, _, _, rows = batch_words(table.column("text").combine_chunks(), SOLID)
+        sets = [shingle_hashes(words[rows[x]:rows[x + 1]], k) for x in range(len(node))]
+        both = _shared([sets[x] for x in left], [sets[x] for x in right])
         linked = can & (100 * both >= percent * (n[left][:, None] + n[right] - both))
         out: tuple[list, list] = [], []
         for row, x in enumerate(left):
@@ -138,7 +151,7 @@ def _across(k: int, percent: int, permutations: int):
                     comp[comp == comp[y]] = comp[x]
                     out[0].append(node[x])
                     out[1].append(node[y])
-        return pa.table([pa.array(o, pa.string()) for o in out], schema=schema)
+        return pa.table([pa.array(o, pa.int64()) for o in out], schema=schema)
     return run
 
 
@@ -167,12 +180,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. One pass computes the set of every whole text, its 128-bit key, and a min-max signature: the minimum and the
        maximum under each of ``permutations`` multiplicative permutations, banded two permutations (four values) at a
        time. With 48 permutations a pair at 0.85 shares no band with a probability of 2e-8; closer pairs with less.
-    2. Equal sets become one node. Every bucket links its members to its least node (a star), so a bucket of m
+    2. Rows with equal sets become one node. Every bucket links its members to its least node (a star), so a bucket of m
        members gives m - 1 candidates. Size ratio and sketches screen them, full sets confirm them.
     3. Where a bucket still spans several components, its members are compared across components in pairs of blocks of
-       512 members or a million shingles. Sketches screen, full sets confirm by products of 0/1 matrices, and only links
-       that merge components leave the task: no pair of a shared bucket is left out, none is emitted for its own sake,
-       and no group is held by one task.
+       512 members or a million shingles. Sketches screen first, each pair in the first bucket that it shares; only members
+       with a candidate are joined to their texts. Full sets confirm by products of 0/1 matrices, and only links that merge
+       components leave the task: no pair of a shared bucket is left out, none is emitted for its own sake, and no group is
+       held by one task.
 
     Null, empty and white-space texts have no shingles and link with nothing; such rows are their own component.
     Repeated rows fall into one class and all carry the class's id (kept is true for each of them if they are the
@@ -183,14 +197,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, threshold = docs.sparkSession, percent / 100
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(source.mapInArrow(_sign(k, permutations, 1), schema_of(
-        docs, id_col, "text string, node string, n bigint, bands array<bigint>, sketch binary"))
+        docs, id_col, "text string, digest string, n bigint, bands array<bigint>, sketch binary"))
         .withColumn("row", F.monotonically_increasing_id()), "signed")
 
     first_row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    nodes = written(signed.where("n > 0").groupBy("node").agg(
+    nodes = written(signed.where("n > 0").groupBy("digest").agg(
         F.min(first_row).alias("least"), F.max("n").alias("n"), F.first("bands").alias("bands"),
-        F.first("sketch").alias("sketch")), "nodes")
-    spread = nodes.select("node", F.explode("bands").alias("key"))
+        F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    spread = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     full = written(spread.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("centre")).where("m > 1"),
                    "full")
     buckets = written(spread.join(full, "key"), "buckets")
@@ -200,16 +214,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = (pairs.join(facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
                .join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
                .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-        return met.select("a", "b", "sa", "sb").mapInArrow(_screen(threshold, permutations), "a string, b string")
+        return met.select("a", "b", "sa", "sb").mapInArrow(_screen(threshold, permutations), "a bigint, b bigint")
 
-    met = buckets.select("node").distinct()
-    texts = written(signed.where("n > 0").select("node", "text").join(met, "node", "left_semi")
-                    .groupBy("node").agg(F.max("text").alias("text")), "texts")
+    met = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("least.row").alias("row"))
+    texts = written(signed.select("row", "text").join(met, "row").select("node", "text"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_text = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
                      .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a"))
-        return with_text.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent, 100), "a string, b string")
+        return with_text.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent, 100), "a bigint, b bigint")
 
     stars = written(screened(buckets.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
                              .distinct()), "stars")
@@ -218,16 +231,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = written(buckets.where("m > 2").join(first, "node", "left")
                      .join(nodes.select("node", "n"), "node")
-                     .select("key", "node", "m", "n", F.coalesce("component", "node").alias("component")), "placed")
+                     .select("key", "band", "node", "m", "n", F.coalesce("component", "node").alias("component")), "placed")
     mixed = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                               F.sum("n").alias("total")).where("lo < hi").select("key", "total"), "mixed")
     parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    blocks = (placed.join(mixed, "key").join(nodes.select("node", "sketch"), "node").join(texts, "node")
+    blocks = (placed.join(mixed, "key").join(nodes.select("node", "sketch", "bands"), "node")
               .withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-              .select("key", "node", "component", "n", "sketch", "text", "block",
+              .select("key", "node", "component", "n", "sketch", "bands", "band", "block",
                       F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    more = blocks.groupBy("key", "i", "j").applyInArrow(_across(k, percent, permutations), "a string, b string")
+    needed = written(blocks.groupBy("key", "i", "j").applyInArrow(_needed(percent, permutations), blocks.schema), "needed")
+    more = (needed.join(texts, "node").groupBy("key", "i", "j")
+            .applyInArrow(_across(k, percent, permutations), "a bigint, b bigint"))
     joined = written(more.union(first.select(F.col("component").alias("a"), F.col("node").alias("b"))), "joined")
     final = components(joined)
 
@@ -235,12 +250,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = written(final.join(nodes.select("node", "least"), "node"), "named")
     ids = written(named.groupBy("component").agg(F.min("least").alias("best")), "ids")
     named = named.select("node", "component").join(ids, "component").select("node", "best")
-    answer = written(nodes.select("node", "least").join(named, "node", "left")
-                     .select("node", F.coalesce("best", "least").alias("best")), "answer")
-    alone = F.col("node").isNull()
-    return (signed.select("doc_id", F.col("n").alias("n_shingles"), "node", "row", *(["text"] if with_text else []))
-            .join(answer, "node", "left")
+    answer = written(nodes.select("node", "digest", "least").join(named, "node", "left")
+                     .select("digest", F.coalesce("best", "least").alias("best")), "answer")
+    alone = F.col("digest").isNull()
+    return (signed.select("doc_id", F.col("n").alias("n_shingles"), "digest", "row", *(["text"] if with_text else []))
+            .join(answer, "digest", "left")
             .withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
             .withColumn("chosen", alone | (F.col("row") == F.col("best.row")))
-            .drop("node", "row", "best"))
+            .drop("digest", "row", "best"))
