@@ -33,6 +33,20 @@ def unit_noise(x, y, seed) -> Column:
     return F.shiftright(second, 8).cast("double") / F.lit(16777216.0)
 
 
+def noise_at(x, y, seed):
+    """``unit_noise`` of integer arrays inside a task."""
+    import numpy as np
+
+    word = lambda v: np.asarray(v, dtype=np.int64).astype(np.uint64)
+    mask = np.uint64(MASK)
+
+    def scramble(v):
+        return ((v & mask) ^ np.uint64(GOLDEN_32)) * np.uint64(KNUTH_32) & mask
+
+    corner = (word(x) * np.uint64(BLOCK_X) + word(y) * np.uint64(BLOCK_Y) + word(seed) * np.uint64(BLOCK_PLATE)) & mask
+    return (scramble((scramble(corner) >> np.uint64(7)) + word(seed)) >> np.uint64(8)).astype(np.float64) / 16777216.0
+
+
 def smooth_noise(x, y, cell, seed) -> Column:
     """Bilinear blend of unit_noise on a lattice with the given spacing (own generator)."""
     fx, fy = as_col(x).cast("double") / as_col(cell), as_col(y).cast("double") / as_col(cell)

@@ -108,7 +108,7 @@ def ascii_cells(cov: DataFrame, cell: int = 10, charset: str = "default", custom
 def ascii_render(cov: DataFrame, **kw) -> DataFrame:
     """Lines of text per plate; the group is one text row, at most one image side of cells."""
     cells = ascii_cells(cov, **kw)
-    ordered = F.array_sort(F.collect_list(F.struct("col", "ch")))
+    ordered = F.sort_array(F.collect_list(F.struct("col", "ch")))
     return cells.groupBy("image_id", "plate", "row").agg(
         F.array_join(F.transform(ordered, lambda c: c["ch"]), "").alias("line"))
 
@@ -190,7 +190,7 @@ def stereogram(depth: DataFrame, separation: int = 60, intensity: int = 50, dot:
     source = x - gap + F.least(shift, x - 1)
     parent = F.when(x < strip, x).when((source >= 0) & (source < x), source).otherwise(F.greatest(F.lit(0), x - gap))
     lines = small.withColumn("parent", parent.cast("int")).groupBy("image_id", "w", "h", "ws", "hs", "cy").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("cx", "parent"))), lambda s: s["parent"]).alias("parents"))
+        F.transform(F.sort_array(F.collect_list(F.struct("cx", "parent"))), lambda s: s["parent"]).alias("parents"))
     rounds = F.ceil(F.log2(F.size("parents").cast("double") + 1)).cast("int")
     roots = F.aggregate(int_range(rounds), F.col("parents"),
                         lambda chain, _: F.transform(chain, lambda p: F.get(chain, p)))
@@ -230,7 +230,7 @@ def compose_stereo(plates: DataFrame, pixels: DataFrame, inks: dict[str, str] |
     inks = inks or {"cyan": "#00FFFF", "magenta": "#FF00FF", "yellow": "#FFFF00", "black": "#000000"}
     channel = lambda k: {p: int(v.lstrip("#")[2 * k:2 * k + 2], 16) for p, v in inks.items()}
     spots = plates.select("image_id", "x", "y", "plate")
-    both = pixels.select("image_id", "x", "y", "a").join(spots, ["image_id", "x", "y"], "left")
+    both = pixels.select("image_id", "x", "y", "a").join(spots.hint("merge"), ["image_id", "x", "y"], "left")
 
     def level(k):
         out = F.lit(255)

@@ -58,7 +58,7 @@ def layers_on_base(layers: DataFrame, pixels: DataFrame) -> DataFrame:
 def flatten_layers(layers: DataFrame, pixels: DataFrame) -> DataFrame:
     """Ordered source-over of the layers at every pixel; the group is the stack of one pixel."""
     px = layers_on_base(layers, pixels)
-    stack = F.array_sort(F.collect_list(F.struct("z", "r", "g", "b", "a")))
+    stack = F.sort_array(F.collect_list(F.struct("z", "r", "g", "b", "a")))
 
     def over(under, top):
         own = top["a"] / F.lit(255.0)

@@ -60,6 +60,11 @@ def known_paths(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     return requests.join(endpoints.select("path"), "path", "left_semi")
 
 
+def path_report(requests: DataFrame, registered: Column) -> DataFrame:
+    """Requests per path and whether any request registered it: one scan and one aggregation."""
+    return requests.groupBy("path").agg(F.count(F.lit(1)).alias("requests"), F.coalesce(F.bool_or(registered), F.lit(False)).alias("known"))
+
+
 def unknown_paths(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Rejected requests, for the report."""
     return requests.join(endpoints.select("path"), "path", "left_anti")

@@ -91,7 +91,7 @@ def quantize_step(value, low, high, step, decimals: int) -> Column:
 def _gather(targets: DataFrame, pixels: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Fetch source values for target positions that carry (src_x, src_y); misses give null."""
     source = pixels.select(*keys, F.col("x").alias("src_x"), F.col("y").alias("src_y"), *values)
-    return targets.join(source, [*keys, "src_x", "src_y"], "left")
+    return targets.join(source.hint("merge"), [*keys, "src_x", "src_y"], "left")
 
 
 def place_artwork(pixels: DataFrame, frames: DataFrame, filter: str = "nearest") -> DataFrame:

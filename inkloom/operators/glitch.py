@@ -135,36 +135,38 @@ def macroblock_modes(cov: DataFrame, rate: float, dropout: float = 0.25, block:
         .when(F.col("mode") == "crush", round_half_even(clamp(F.col("cov")) / step) * step).otherwise(F.col("cov"))})
     names = cov.columns
     stay = marked.where(~F.col("mode").isin("repeat", "roll")).withColumn("cov", F.col("own")).select(*names)
-    move = marked.where(F.col("mode").isin("repeat", "roll")).drop("cov")
-    source = cov.select("image_id", "plate", F.col("x").alias("sx"), F.col("y").alias("sy"), "cov")
-    return stay.unionByName(move.join(source, ["image_id", "plate", "sx", "sy"]).select(*names))
+    move = marked.where(F.col("mode").isin("repeat", "roll"))
+    return stay.unionByName(gather(move, cov).select(*names))
 
 
 # -- gathers ---------------------------------------------------------------------------------------
 
 def _sample_point(x: Column, y: Column, s: dict) -> tuple[Column, Column]:
-    """Where the fused sampler reads for a target position: slices, warp, smear, thirds and desync."""
-    px, py = x.cast("double"), y.cast("double")
-    sx, sy = px, py
-    if s["sliceShift"] > 0:
-        sx = sx + (floor_div(y, max(2, s["sliceSize"])) * 37) % F.lit(s["sliceShift"] * 2 + 1) - s["sliceShift"]
-    if s["verticalSliceShift"] > 0:
-        sy = sy + ((floor_div(x, max(2, s["verticalSliceSize"])) * 53) % F.lit(s["verticalSliceShift"] * 2 + 1)
-                   - s["verticalSliceShift"])
-    if s["gridWarp"] > 0:
-        scale = F.lit(float(max(2, s["warpScale"])))
-        sx = sx + F.sin(py / scale) * F.lit(float(s["gridWarp"]))
-        sy = sy + F.cos(px / scale) * F.lit(float(s["gridWarp"]))
-    if s["smearDrag"] > 0:
-        pull = ((x * 17 + y * 31) % F.lit(max(1, s["smearLength"]))) * F.lit(float(s["smearDrag"]))
-        sx, sy = (sx, sy + pull) if s["smearVertical"] else (sx + pull, sy)
-    if s["blockShift"] > 0:
-        block = max(4, s["blockShiftSize"])
-        third = lambda c: (floor_div(c, block) % 3 - 1) * F.lit(float(s["blockShift"])) * block * 2
-        sx, sy = sx + third(x), sy + third(y)
-    if s["channelDesync"] > 0:
-        sx = sx + F.lit(float(s["channelDesync"]) * max(8, s["blockShiftSize"] * 2))
-    return _inside(sx, "w"), _inside(sy, "h")
+    """Where the fused sampler reads for a target position: the sum of the displacements of the effects that are on."""
+    zero, number = F.lit(0.0), lambda name: F.lit(float(s[name]))
+    block = max(4, s["blockShiftSize"])
+
+    def band(pos, size, factor, reach):
+        return (floor_div(pos, max(2, s[size])) * factor) % F.lit(s[reach] * 2 + 1) - F.lit(s[reach])
+
+    def wave(curve, pos):
+        return curve(pos.cast("double") / F.lit(float(max(2, s["warpScale"])))) * number("gridWarp")
+
+    def third(pos):
+        return (floor_div(pos, block) % 3 - 1) * number("blockShift") * block * 2
+
+    pull = ((x * 17 + y * 31) % F.lit(max(1, s["smearLength"]))) * number("smearDrag")
+    apart = number("channelDesync") * max(8, s["blockShiftSize"] * 2)
+    moves = {  # by effect: how far it moves the reading position along x and along y
+        "sliceShift": lambda: (band(y, "sliceSize", 37, "sliceShift"), zero),
+        "verticalSliceShift": lambda: (zero, band(x, "verticalSliceSize", 53, "verticalSliceShift")),
+        "gridWarp": lambda: (wave(F.sin, y), wave(F.cos, x)),
+        "smearDrag": lambda: (zero, pull) if s["smearVertical"] else (pull, zero),
+        "blockShift": lambda: (third(x), third(y)),
+        "channelDesync": lambda: (apart, zero)}
+    terms = [move() for effect, move in moves.items() if s[effect] > 0]
+    total = lambda pos, axis: sum((t[axis] for t in terms), pos.cast("double"))
+    return _inside(total(x, 0), "w"), _inside(total(y, 1), "h")
 
 
 def _inside(pos: Column, side: str) -> Column:
@@ -177,11 +179,12 @@ def _block_hash(block: int) -> Column:
 
 
 def gather(targets: DataFrame, cov: DataFrame) -> DataFrame:
-    """Read coverage at (sx, sy) for each target. The key holds the pixel, so one huge image spreads evenly;
-    positions that many targets share after clamping are split by adaptive skew handling."""
-    source = cov.select("image_id", "plate", F.col("x").alias("sx"), F.col("y").alias("sy"), "cov")
-    return targets.join(source, ["image_id", "plate", "sx", "sy"]).select(
-        "image_id", "w", "h", "plate", "x", "y", "cov")
+    """Read coverage at (sx, sy) for each target; a position without a row reads 0. The key holds the pixel, so one huge
+    image spreads evenly; positions that many targets share after clamping are split by adaptive skew handling. A pixel
+    table is never broadcast: its size is estimated before it is expanded, so the join is told to sort and merge."""
+    source = cov.select("image_id", "plate", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("cov").alias("read"))
+    met = targets.join(source.hint("merge"), ["image_id", "plate", "sx", "sy"], "left")
+    return met.select("image_id", "w", "h", "plate", "x", "y", F.coalesce("read", F.lit(0.0)).alias("cov"))
 
 
 def _positions(cov: DataFrame) -> DataFrame:
@@ -236,15 +239,16 @@ def block_copy(cov: DataFrame, amount: float, block: int = 16, seed: int = 42) -
     if amount <= 0:
         return cov
     b = max(4, block)
-    bx, by = floor_div(F.col("x"), b), floor_div(F.col("y"), b)
-    draw = lambda k: unit_noise(bx, by, plate_index("plate") * 64 + F.lit(seed + k))
-    hit = draw(0) < amount
-    sx = F.col("x") + F.floor(draw(1) * (4 * b + 1)) - 2 * b
-    sy = F.col("y") + F.floor(draw(2) * (4 * b + 1)) - 2 * b
-    ok = hit & (sx >= 0) & (sx < F.col("w")) & (sy >= 0) & (sy < F.col("h"))
-    at = _positions(cov).withColumns({"sx": F.when(ok, sx).otherwise(F.col("x")).cast("int"),
-                                      "sy": F.when(ok, sy).otherwise(F.col("y")).cast("int")})
-    return gather(at, cov)
+    at = _positions(cov).withColumns({"bx": floor_div(F.col("x"), b), "by": floor_div(F.col("y"), b)})
+    # The draws become columns before they are used, so that the generated code stays small.
+    for k, name in enumerate(("hit", "dx", "dy")):
+        at = at.withColumn(name, unit_noise(F.col("bx"), F.col("by"), plate_index("plate") * 64 + F.lit(seed + k)))
+    to = lambda pos, draw: F.col(pos) + F.floor(F.col(draw) * (4 * b + 1)).cast("int") - 2 * b
+    at = at.withColumns({"tx": to("x", "dx"), "ty": to("y", "dy")})
+    ok = (F.col("hit") < amount) & F.col("tx").between(0, F.col("w") - 1) & F.col("ty").between(0, F.col("h") - 1)
+    at = at.withColumn("ok", ok)
+    return gather(at.withColumns({"sx": F.when(F.col("ok"), F.col("tx")).otherwise(F.col("x")).cast("int"),
+                                  "sy": F.when(F.col("ok"), F.col("ty")).otherwise(F.col("y")).cast("int")}), cov)
 
 
 def glitch_field(cov: DataFrame, **given) -> DataFrame:
@@ -310,21 +314,24 @@ def _is_drawn(amount: float):
 def bitmap_sort(cov: DataFrame, amount: float, vertical: bool = False) -> DataFrame:
     """Sort every run above the ink floor on drawn lines, ascending.
 
-    A run covers consecutive positions, so a pixel of rank k in its run moves to the k-th position after the
-    run's start: two windows over the line, no self-join and no collected groups. Both windows are keyed by
-    the line and share one shuffle; no group exceeds one image side.
+    Pixels are packed by line, so only one row per line leaves the JVM to learn whether the line was drawn. A run covers
+    consecutive positions, so a pixel of rank k in its run moves to the k-th position after the run's start: two windows
+    over the line, which keep the partitioning of the packed lines. No group exceeds one image side.
     """
     if amount <= 0:
         return cov
     along, across, side = ("y", "x", "w") if vertical else ("x", "y", "h")
-    marked = cov.withColumn("picked", _is_drawn(amount)(F.col(side), plate_index("plate"), F.col(across)))
+    keys = ["image_id", "plate", across]
+    lines = cov.groupBy(*keys).agg(F.max("w").alias("w"), F.max("h").alias("h"), F.collect_list(F.struct(along, "cov")).alias("px"))
+    lines = lines.withColumn("picked", _is_drawn(amount)(F.col(side), plate_index("plate"), F.col(across)))
+    marked = lines.withColumn("p", F.explode("px")).select(*keys, "w", "h", "picked", "p.*")
     active = F.col("picked") & (F.col("cov") > INK_FLOOR)
-    line = Window.partitionBy("image_id", "plate", across)
+    line = Window.partitionBy(*keys)
     last_gap = F.max(F.when(~active, F.col(along))).over(
         line.orderBy(along).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     runs = marked.withColumns({"active": active, "start": F.when(active, F.coalesce(last_gap, F.lit(-1)) + 1)
                                .otherwise(-1)})
-    rank = F.row_number().over(Window.partitionBy("image_id", "plate", across, "start").orderBy("cov", along))
+    rank = F.row_number().over(Window.partitionBy(*keys, "start").orderBy("cov", along))
     moved = F.when(F.col("active"), F.col("start") + rank - 1).otherwise(F.col(along))
     return runs.withColumn("to", moved.cast("int")).drop(along).withColumnRenamed("to", along).select(
         "image_id", "w", "h", "plate", "x", "y", "cov")

@@ -110,7 +110,7 @@ def nearest_path_angle(targets: DataFrame, points: DataFrame, base_angle=0.0, in
     seg = _segments(points, chunk)
     fields = ["seq", "x1", "y1", "x2", "y2", "a1", "a2"]
     packed = seg.groupBy("path_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("segs"),
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("segs"),
         F.min(F.least("x1", "x2")).alias("bx0"), F.max(F.greatest("x1", "x2")).alias("bx1"),
         F.min(F.least("y1", "y2")).alias("by0"), F.max(F.greatest("y1", "y2")).alias("by1"))
     real = lambda s: ((s["x2"] - s["x1"]) * (s["x2"] - s["x1"]) + (s["y2"] - s["y1"]) * (s["y2"] - s["y1"])) >= 0.001

@@ -72,8 +72,8 @@ def screen_lattice_desktop(headers: DataFrame) -> DataFrame:
 def sample_coverage(marks: DataFrame, cov: DataFrame, variant: str = "web") -> DataFrame:
     """Coverage under every mark: one equi-join on the rounded source pixel.
 
-    Coverage is unique per key, so the row count of the marks is kept. The key contains the pixel, so a
-    single huge image still spreads over all partitions.
+    Coverage is unique per key and a pixel without a row counts as 0, so the row count of the marks is kept. The key
+    contains the pixel, so a single huge image still spreads over all partitions; neither side is broadcast.
     """
     if variant == "desktop":
         sx, sy = truncate(F.col("cx")), truncate(F.col("cy"))
@@ -82,7 +82,8 @@ def sample_coverage(marks: DataFrame, cov: DataFrame, variant: str = "web") -> D
         sy = clamp(round_half_up(F.col("cy") / F.col("h") * F.col("sh")), F.lit(0), F.col("sh") - 1)
     asked = marks.withColumns({"sx": sx.cast("int"), "sy": sy.cast("int")})
     field = cov.select("image_id", "plate", F.col("x").alias("sx"), F.col("y").alias("sy"), "cov")
-    return asked.join(field, ["image_id", "plate", "sx", "sy"])
+    met = asked.join(field.hint("merge"), ["image_id", "plate", "sx", "sy"], "left")
+    return met.withColumn("cov", F.coalesce("cov", F.lit(0.0)))
 
 
 def dot_size(sampled: DataFrame) -> DataFrame:

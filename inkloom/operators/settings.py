@@ -135,12 +135,14 @@ def markup_audit(documents: DataFrame, body: str = "body") -> DataFrame:
 def element_census(documents: DataFrame, body: str = "body") -> DataFrame:
     """Occurrences of each unsupported element and the number of documents that use it.
 
-    Elements are counted inside each document first, so the exchange sees one row per document and element
-    at most, further merged by partial aggregation.
+    Each document's tags are extracted once, sorted, and folded to one row per tag by the places where a new one begins, so
+    the exchange sees one row per document and element at most, further merged by partial aggregation.
     """
-    tags = documents.select(F.explode(F.transform(
-        F.array_distinct(element_names(F.col(body))),
-        lambda t: F.struct(t.alias("tag"), F.size(F.filter(element_names(F.col(body)), lambda o: o == t)).alias("n")))
-    ).alias("e")).select("e.*")
+    tags = documents.select(F.sort_array(element_names(F.col(body))).alias("tags"))
+    firsts = F.filter(F.transform("tags", lambda t, i: F.struct(t.alias("tag"), i.alias("at"))),
+                      lambda s: (s["at"] == 0) | (F.get("tags", s["at"] - 1) != s["tag"]))
+    tags = tags.select("tags", firsts.alias("firsts"))
+    tags = tags.select("firsts", F.size("tags").alias("all"), F.posexplode("firsts").alias("k", "e")).select(
+        "e.tag", (F.coalesce(F.get("firsts", F.col("k") + 1)["at"], F.col("all")) - F.col("e.at")).alias("n"))
     return tags.where(~F.col("tag").isin(*SVG_SHAPES, *SVG_SKIPPED)).groupBy("tag").agg(
         F.sum("n").cast("bigint").alias("occurrences"), F.count(F.lit(1)).alias("documents"))

@@ -119,10 +119,7 @@ def expire_keys(spark, sf):
 SELECT path, count(*) AS requests, TRUE AS known FROM req WHERE path IN (SELECT event_type FROM events WHERE value > 50 AND event_type <> 'error') GROUP BY path
 UNION ALL SELECT path, count(*), FALSE FROM req WHERE path NOT IN (SELECT event_type FROM events WHERE value > 50 AND event_type <> 'error') GROUP BY path"""))
 def known_paths(spark, sf):
-    log = requests(spark, sf)
-    registered = log.where((F.col("value") > 50) & (F.col("path") != "error")).select("path").distinct()
-    count = lambda df, known: df.groupBy("path").agg(F.count(F.lit(1)).alias("requests"), F.lit(known).alias("known"))
-    return count(ev.known_paths(log, registered), True).unionByName(count(ev.unknown_paths(log, registered), False))
+    return ev.path_report(requests(spark, sf), (F.col("value") > 50) & (F.col("path") != "error"))
 
 
 @register("active_session_at", """

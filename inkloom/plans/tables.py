@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import ANGLE_PRESETS, PLATES, SHEETS
 from ..operators.separate import coverage
-from ..session import fan_out, prepare, spread_scan
+from ..session import fan_out, prepare
 from ..sources.rasters import bin_raster, densify_raster, frame_pixels
 
 
@@ -51,7 +51,7 @@ def part_headers(spark: SparkSession, sf: str) -> DataFrame:
 
 def raster_parts(spark: SparkSession, sf: str) -> DataFrame:
     """A dense RGBA artwork per part with a one-pixel white margin."""
-    px = frame_pixels(spread_scan(part_headers(spark, sf)))
+    px = frame_pixels(fan_out(part_headers(spark, sf)))
     x, y = F.col("x"), F.col("y")
     margin = (x < 1) | (y < 1) | (x >= F.col("w") - 1) | (y >= F.col("h") - 1)
     red = (17 * x + 3 * F.col("size")) % 256
@@ -68,7 +68,7 @@ def parts_coverage(spark: SparkSession, sf: str, **kw) -> DataFrame:
 
 def field_emb(spark: SparkSession, sf: str) -> DataFrame:
     """Embedding vectors as rows of a field: image = label, row = vector, column = dimension."""
-    rows = spread_scan(read(spark, sf, "embeddings")).select(
+    rows = fan_out(read(spark, sf, "embeddings")).select(
         F.col("label").cast("bigint").alias("image_id"), F.lit(64).alias("w"), F.lit("black").alias("plate"),
         F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "e"))
     cov = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.5) + F.col("e").cast("double")))
@@ -77,7 +77,7 @@ def field_emb(spark: SparkSession, sf: str) -> DataFrame:
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
     """Print jobs derived from orders."""
-    o = spread_scan(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    o = fan_out(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     sheet = F.array(*[F.lit(s[0]) for s in SHEETS])
     preset = F.array(*[F.array(*[F.lit(a) for a in p[1:]]) for p in ANGLE_PRESETS])
@@ -142,7 +142,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Polylines: one path per embedding vector, one point per dimension."""
-    rows = spread_scan(read(spark, sf, "embeddings").select("vec_id", "embedding")).select(
+    rows = fan_out(read(spark, sf, "embeddings").select("vec_id", "embedding")).select(
         F.col("vec_id").alias("path_id"), F.posexplode("embedding").alias("seq", "e"))
     e = F.col("e").cast("double")
     return rows.select("path_id", "seq", (6.0 * F.col("seq") + 20.0 * e).alias("px"), (60.0 + 80.0 * e).alias("py"))
@@ -150,7 +150,7 @@ def vector_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 def path_targets(spark: SparkSession, sf: str) -> DataFrame:
     """A grid of 12 x 5 lattice points over the area of each path."""
-    ids = spread_scan(read(spark, sf, "embeddings").select(F.col("vec_id").alias("path_id")))
+    ids = fan_out(read(spark, sf, "embeddings").select(F.col("vec_id").alias("path_id")))
     grid = ids.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.lit(11))))
     return grid.select("path_id", (F.col("j") * 12 + F.col("i")).alias("point_id"),

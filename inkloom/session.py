@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,32 +39,25 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a narrow table over all cores before its rows are expanded into many.
+    """Spread a narrow table over ``spark.sql.shuffle.partitions`` tasks before its rows are expanded into many.
 
     The rows moved are the small ones (headers), never the pixels they turn into. The explicit
-    partition count keeps adaptive execution from folding them back into one task.
+    partition count keeps adaptive execution from folding them back into one task, and follows the setting that is
+    sized for the data rather than the cores that happen to be up while the plan is made.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Spread a plain scan over the cores only when it has fewer input splits than there are cores.
-
-    For scans and projections of one; the split count is read from the plan without running a job. A large
-    table has more splits than cores and is left without a shuffle.
-    """
-    return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else fan_out(df)
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder of the session.
 
-    The folder named in ``spark.checkpoint.dir`` is used; one below the working folder is set only
-    where none is configured (single-machine tests).
+    The folder named in ``spark.checkpoint.dir`` is used: executors must share it, so none is made up.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None) or os.path.abspath("spark-checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

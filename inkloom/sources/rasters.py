@@ -43,7 +43,7 @@ def densify_raster(cells: DataFrame, width: int, height: int, image: str = "imag
 
 def pack_rows(df: DataFrame, keys: list[str], value: str = "cov", out: str = "row") -> DataFrame:
     """One array per raster row, in column order. The group is one row: at most one image side long."""
-    pairs = F.array_sort(F.collect_list(F.struct("x", value)))
+    pairs = F.sort_array(F.collect_list(F.struct("x", value)))
     return df.groupBy(*keys).agg(F.transform(pairs, lambda s: s[value]).alias(out))
 
 

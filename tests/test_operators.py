@@ -108,12 +108,33 @@ def test_glitch_diffusion_equals_pixel_loop(field):
     df, grids = field
     want = {}
     for (image, plate), grid in grids.items():
-        i = PLATES.index(plate)
-        kernel = dither._glitched_kernel("floyd-steinberg", i, 0.6, 0.5, 60)
-        want[image, plate] = diffuse_desktop(grid, kernel, 4, 0.8, 0.3, dither._reset_rows(len(grid), i, 0.9))
+        kernel = dither.damaged_kernel("floyd-steinberg", plate, 0.6, 0.5, 60)
+        assert sum(w for _, _, w in kernel) == pytest.approx(1.0)
+        want[image, plate] = diffuse_desktop(grid, kernel, 4, 0.8, 0.3, dither.wiped_rows(len(grid), plate, 0.9))
     same(as_grids(dither.glitch_diffusion(df, broken=0.6, bias=0.5, bias_angle=60, overflow=0.3, reset=0.9)), want)
 
 
+def test_noise_in_tasks_equals_noise_in_columns(spark):
+    from inkloom.functions.mixing import noise_at, unit_noise
+
+    rows = [(x, y, s) for x in (-3, 0, 1, 500) for y in (-2, 0, 9) for s in (0, 42, 99)]
+    df = spark.createDataFrame(rows, "x long, y long, s long").select("x", "y", "s", unit_noise(F.col("x"), F.col("y"), F.col("s")).alias("u"))
+    assert all(r.u == noise_at([r.x], r.y, r.s)[0] for r in df.collect())
+
+
+def test_no_pixel_table_is_broadcast(field):
+    from inkloom.operators import blocks, geometry, screen
+
+    df, _ = field
+    marks = df.selectExpr("image_id", "plate", "w", "h", "w sw", "h sh", "x + 0.5 cx", "y + 0.5 cy")
+    stereo = blocks.compose_stereo(df.where("cov > 0.5"), df.withColumn("a", F.lit(255)))
+    for out in (glitch.grid_warp(df, 2.0, 3), glitch.block_shift(df, 0.5, 4), glitch.block_copy(df, 0.5, 4), glitch.smear_drag(df, 0.5, 4),
+                glitch.macroblock_modes(df, 0.5, 0.4, 4), screen.sample_coverage(marks, df), dither.unsharp_sharpen(df, 0.5), stereo,
+                geometry._gather(df.selectExpr("image_id", "x src_x", "y src_y"), df, ["image_id"], ["cov"])):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_missing_raster_line_is_refused(field):
     df, _ = field
     with pytest.raises(Exception, match="raster lines missing"):
