@@ -185,7 +185,7 @@ def nearest_path_angle(spark, sf):
 
 
 @register("iso_contours", with_(COV, """,
-f AS (SELECT image_id, plate, x, y, cov FROM cov WHERE plate IN ('cyan', 'black')),
+f AS (SELECT image_id, plate, x, y, cov FROM cov),
 cl AS (SELECT a.image_id, a.plate, a.x, a.y, a.cov AS tl, b.cov AS tr, c.cov AS bl, d.cov AS br,
   CAST(a.cov > 0.5e0 AS INT) + 2 * CAST(b.cov > 0.5e0 AS INT) + 4 * CAST(d.cov > 0.5e0 AS INT) + 8 * CAST(c.cov > 0.5e0 AS INT) AS k
   FROM f a JOIN f b ON b.image_id = a.image_id AND b.plate = a.plate AND b.x = a.x + 1 AND b.y = a.y JOIN f c ON c.image_id = a.image_id AND c.plate = a.plate AND c.x = a.x AND c.y = a.y + 1
@@ -197,5 +197,5 @@ o AS (SELECT *, CASE WHEN k IN (1, 14, 5) THEN 'TL' WHEN k IN (2, 13, 10) THEN '
 SELECT image_id, plate, x, y, seg, round(CASE s[1] WHEN 'T' THEN tx WHEN 'L' THEN x ELSE x + 1 END, 6) AS x1, round(CASE s[1] WHEN 'T' THEN y WHEN 'L' THEN ly ELSE ry END, 6) AS y1,
   round(CASE s[2] WHEN 'L' THEN x WHEN 'R' THEN x + 1 ELSE bx END, 6) AS x2, round(CASE s[2] WHEN 'L' THEN ly WHEN 'R' THEN ry ELSE y + 1 END, 6) AS y2 FROM o"""))
 def iso_contours(spark, sf):
-    out = b.iso_contours(parts_coverage(spark, sf, plates=["cyan", "black"]))
+    out = b.iso_contours(parts_coverage(spark, sf))
     return out.select("image_id", "plate", "x", "y", "seg", *[six(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")])

@@ -86,9 +86,9 @@ def _positional_sql(algorithm):
 
 
 @register("positional_diffusion", with_(COV, "SELECT image_id, x, y, plate, " + ", ".join(
-    _positional_sql(a) for a in PATTERN_SQL) + " FROM cov WHERE plate IN ('cyan', 'black')"))
+    _positional_sql(a) for a in PATTERN_SQL) + " FROM cov"))
 def positional_diffusion(spark, sf):
-    cov = parts_coverage(spark, sf, plates=["cyan", "black"])
+    cov = parts_coverage(spark, sf)
     return cov.select("image_id", "x", "y", "plate", *[six(d.positional_diffusion(
         F.col("cov"), a, 0.7, 6, denoise=0.3, modulation="tilt", mod_strength=0.6, sharpen=0.4, sharpen_radius=2.0)
     ).alias(f"v_{a.replace('-', '_')}") for a in PATTERN_SQL])
@@ -143,11 +143,18 @@ def add_noise(spark, sf):
     return long(d.add_noise(parts_coverage(spark, sf, grayscale=True), 0.5))
 
 
+_CORNER = lambda dx, dy: unit_noise(f"(x // 8 + {dx})", f"(y // 8 + {dy})", "99")
+
+
 @register("cross_channel_bleed", with_(COV, """
-SELECT a.image_id, a.x, a.y, a.plate, round(least(1e0, greatest(0e0, a.cov + (b.cov - round_even(b.cov / (1e0 / 3), 0) * (1e0 / 3)) * 0.24e0)), 6) AS cov
-FROM cov a JOIN cov b ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y AND b.i = (a.i + 1) % 4"""))
+wide AS (SELECT image_id, x, y, [max(cov) FILTER (i = 0), max(cov) FILTER (i = 1), max(cov) FILTER (i = 2), max(cov) FILTER (i = 3)] AS v
+  FROM cov GROUP BY image_id, x, y)""", f"""
+near AS (SELECT *, (x % 8) / 8e0 AS tx, (y % 8) / 8e0 AS ty, {_CORNER(0, 0)} AS a, {_CORNER(1, 0)} AS b, {_CORNER(0, 1)} AS c, {_CORNER(1, 1)} AS d FROM wide)""", """
+rippled AS (SELECT *, ((a * (1 - tx) + b * tx) * (1 - ty) + (c * (1 - tx) + d * tx) * ty) * 0.24e0 AS ripple FROM near)""", """
+SELECT image_id, x, y, plate, round(least(1e0, greatest(0e0, v[i + 1] + (v[(i + 1) % 4 + 1] - round_even(v[(i + 1) % 4 + 1] / (1e0 / 3), 0) * (1e0 / 3)) * ripple)), 6) AS cov
+FROM rippled, plates"""))
 def cross_channel_bleed(spark, sf):
-    return long(d.cross_channel_bleed(parts_coverage(spark, sf), 0.8, 4, noise=False))
+    return long(d.cross_channel_bleed(parts_coverage(spark, sf), 0.8, 4))
 
 
 @register("coalesce_runs", with_(COV, FIELD, """,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import glitch as g
-from .fixture_sql import COV, block_hash, half_up, scramble, unit_noise, with_
+from .fixture_sql import COV, LUM, block_hash, half_up, scramble, unit_noise, with_
 from .registry import register
 from .separation import long
 from .tables import parts_coverage
@@ -13,11 +13,23 @@ def inside(expr: str, side: str) -> str:
     return f"CAST(least({side} - 1, greatest(0, {half_up(expr)})) AS INT)"
 
 
-def remap(sx: str, sy: str, source: str = "cov", name: str = "moved") -> str:
+PTS = COV + ",\npts AS (SELECT g.*, p.plate, p.i FROM grid g, plates p)"
+
+
+def part_value(source: str, name: str) -> str:
+    """CTE: the part raster is a closed formula, so the value at (sx, sy) is computed there instead of joined."""
+    return (f"{name}_m AS (SELECT *, (sx < 1 OR sy < 1 OR sx >= w - 1 OR sy >= h - 1) AS m FROM {source}), "
+            f"{name}_c AS (SELECT *, CASE WHEN m THEN 255 ELSE (17 * sx + 3 * size) % 256 END AS r, "
+            f"CASE WHEN m THEN 255 ELSE (23 * sy + image_id) % 256 END AS g, "
+            f"CASE WHEN m THEN 255 ELSE (11 * (sx + sy) + price) % 256 END AS b FROM {name}_m), "
+            f"{name}_k AS (SELECT *, 1e0 - greatest(r, g, b) / 255e0 AS k FROM {name}_c), "
+            f"{name} AS (SELECT *, CASE WHEN {LUM} >= 250 THEN 0e0 WHEN i = 3 THEN k "
+            f"ELSE 1e0 - (CASE i WHEN 0 THEN r WHEN 1 THEN g ELSE b END) / 255e0 - k END AS cov FROM {name}_k)")
+
+
+def remap(sx: str, sy: str, source: str = "pts", name: str = "moved") -> str:
     """CTE: every position of ``source`` reads the value at (sx, sy), expressions over x, y, w, h, i."""
-    return (f"{name}_at AS (SELECT *, {sx} AS sx, {sy} AS sy FROM {source}), "
-            f"{name} AS (SELECT t.image_id, t.w, t.h, t.x, t.y, t.plate, t.i, s.cov FROM {name}_at t JOIN {source} s "
-            f"ON s.image_id = t.image_id AND s.plate = t.plate AND s.x = t.sx AND s.y = t.sy)")
+    return f"{name}_at AS (SELECT *, {sx} AS sx, {sy} AS sy FROM {source}), {part_value(f'{name}_at', name)}"
 
 
 OUT = "SELECT image_id, x, y, plate, round(cov, 6) AS cov FROM {}"
@@ -25,7 +37,7 @@ SLICE = "((y // 3) * 37) % 5 - 2"
 VSLICE = "((x // 4) * 53) % 5 - 2"
 
 
-@register("slice_shift", with_(COV, remap(inside(f"x + {SLICE}", "w"), "y"), OUT.format("moved")))
+@register("slice_shift", with_(PTS, remap(inside(f"x + {SLICE}", "w"), "y"), OUT.format("moved")))
 def slice_shift(spark, sf):
     return long(g.slice_shift(parts_coverage(spark, sf), 2, 3))
 
@@ -38,7 +50,7 @@ def slice_roll(spark, sf):
     return long(g.slice_roll(parts_coverage(spark, sf), 3, 3, angle=10.0))
 
 
-@register("vertical_slice_shift", with_(COV, remap("x", inside(f"y + {VSLICE}", "h")), OUT.format("moved")))
+@register("vertical_slice_shift", with_(PTS, remap("x", inside(f"y + {VSLICE}", "h")), OUT.format("moved")))
 def vertical_slice_shift(spark, sf):
     return long(g.vertical_slice_shift(parts_coverage(spark, sf), 2, 4))
 
@@ -46,7 +58,7 @@ def vertical_slice_shift(spark, sf):
 WARP = ("sin(y / 3e0) * 2.5e0", "cos(x / 3e0) * 2.5e0")
 
 
-@register("grid_warp", with_(COV, remap(inside(f"x + {WARP[0]}", "w"), inside(f"y + {WARP[1]}", "h")), OUT.format("moved")))
+@register("grid_warp", with_(PTS, remap(inside(f"x + {WARP[0]}", "w"), inside(f"y + {WARP[1]}", "h")), OUT.format("moved")))
 def grid_warp(spark, sf):
     return long(g.grid_warp(parts_coverage(spark, sf), 2.5, 3))
 
@@ -54,7 +66,7 @@ def grid_warp(spark, sf):
 PULL = "((x * 17 + y * 31) % 5) * 0.7e0"
 
 
-@register("smear_drag", with_(COV, remap(inside(f"x + {PULL}", "w"), "y"), OUT.format("moved")))
+@register("smear_drag", with_(PTS, remap(inside(f"x + {PULL}", "w"), "y"), OUT.format("moved")))
 def smear_drag(spark, sf):
     return long(g.smear_drag(parts_coverage(spark, sf), 0.7, 5))
 
@@ -74,16 +86,15 @@ THIRD = lambda c: f"((({c}) // 4) % 3 - 1) * 2.4e0"
 STEP = lambda bits: f"((({BLOCK}) >> {bits}) % 5 - 2) * 1.2e0"
 
 
-@register("block_shift", with_(COV, f""",
-bt AS (SELECT *, {inside(f'x + {STEP(8)}', 'w')} AS tx, {inside(f'y + {STEP(16)}', 'h')} AS ty FROM cov),
-bs AS (SELECT *, {inside(f"tx + {THIRD('tx')}", 'w')} AS sx, {inside(f"ty + {THIRD('ty')}", 'h')} AS sy FROM bt)
-SELECT t.image_id, t.x, t.y, t.plate, round(s.cov, 6) AS cov FROM bs t JOIN cov s ON s.image_id = t.image_id AND s.plate = t.plate AND s.x = t.sx AND s.y = t.sy"""))
+@register("block_shift", with_(PTS, f"""
+bt AS (SELECT *, {inside(f'x + {STEP(8)}', 'w')} AS tx, {inside(f'y + {STEP(16)}', 'h')} AS ty FROM pts)""",
+                               remap(inside(f"tx + {THIRD('tx')}", "w"), inside(f"ty + {THIRD('ty')}", "h"), "bt"), OUT.format("moved")))
 def block_shift(spark, sf):
     return long(g.block_shift(parts_coverage(spark, sf), 0.3, 4))
 
 
-@register("channel_desync", with_(COV, remap(inside("sx0 + 0.2e0 * (i + 1) * 8", "w"), "y",
-                                             f"(SELECT *, {inside('x + 1.6e0', 'w')} AS sx0 FROM cov)"), OUT.format("moved")))
+@register("channel_desync", with_(PTS, remap(inside("sx0 + 0.2e0 * (i + 1) * 8", "w"), "y",
+                                             f"(SELECT *, {inside('x + 1.6e0', 'w')} AS sx0 FROM pts)"), OUT.format("moved")))
 def channel_desync(spark, sf):
     return long(g.channel_desync(parts_coverage(spark, sf), 0.2, 4))
 
@@ -97,27 +108,53 @@ def macroblock_corrupt(spark, sf):
     return long(g.macroblock_corrupt(parts_coverage(spark, sf), 0.5, 0.4, 4))
 
 
-@register("macroblock_modes")
+DRAW = lambda k: unit_noise("u", "v", f"(i * 64 + {911 + k})")
+WHOLE = lambda k, low, count: f"CAST(floor({DRAW(k)} * ({count})) AS BIGINT) + ({low})"
+WRAP = lambda v, n: f"((({v}) % ({n}) + ({n})) % ({n}))"
+
+
+@register("macroblock_modes", with_(PTS, """
+mb AS (SELECT *, x // 4 AS u, y // 4 AS v FROM pts)""", f"""
+md AS (SELECT *, {DRAW(0)} AS d0, {DRAW(1)} AS d1, {WHOLE(4, -4, 9)} AS turn, {DRAW(5)} < 0.5e0 AS flat, {DRAW(7)} AS d7,
+  least(greatest(u + {WHOLE(2, -2, 5)}, 0), (w - 1) // 4) * 4 + x - u * 4 AS ox,
+  least(greatest(v + {WHOLE(3, -2, 5)}, 0), (h - 1) // 4) * 4 + y - v * 4 AS oy,
+  1e0 / greatest(1, {WHOLE(6, 2, 4)} - 1) AS step FROM mb)""", f"""
+mm AS (SELECT *, CASE WHEN d0 >= 0.5e0 THEN 'keep' WHEN d1 < 0.4e0 * 0.55e0 THEN 'dim' WHEN d1 < 0.55e0 THEN 'repeat' WHEN d1 < 0.82e0 THEN 'crush' ELSE 'roll' END AS mode,
+  CASE WHEN flat THEN x ELSE u * 4 + {WRAP('x - u * 4 - turn', 'least(4, w - u * 4)')} END AS rx,
+  CASE WHEN flat THEN v * 4 + {WRAP('y - v * 4 - turn', 'least(4, h - v * 4)')} ELSE y END AS ry FROM md)""",
+    remap("CASE WHEN mode = 'roll' THEN rx WHEN mode = 'repeat' AND ox < w AND oy < h THEN ox ELSE x END",
+          "CASE WHEN mode = 'roll' THEN ry WHEN mode = 'repeat' AND ox < w AND oy < h THEN oy ELSE y END", "mm"), """
+SELECT image_id, x, y, plate, round(CASE mode WHEN 'dim' THEN cov * d7 * 0.25e0
+  WHEN 'crush' THEN round_even(least(1e0, greatest(0e0, cov)) / step, 0) * step ELSE cov END, 6) AS cov FROM moved"""))
 def macroblock_modes(spark, sf):
     return long(g.macroblock_modes(parts_coverage(spark, sf), 0.5, 0.4, 4))
 
 
-@register("block_copy", with_(COV, f""",
-d AS (SELECT *, x + CAST(floor({unit_noise('(x // 4)', '(y // 4)', '(i * 64 + 43)')} * 17) AS INT) - 8 AS ox, y + CAST(floor({unit_noise('(x // 4)', '(y // 4)', '(i * 64 + 44)')} * 17) AS INT) - 8 AS oy,
-             {unit_noise('(x // 4)', '(y // 4)', '(i * 64 + 42)')} < 0.5 AS hit FROM cov),
-e AS (SELECT *, hit AND ox >= 0 AND ox < w AND oy >= 0 AND oy < h AS ok FROM d)
-SELECT t.image_id, t.x, t.y, t.plate, round(s.cov, 6) AS cov FROM e t JOIN cov s ON s.image_id = t.image_id AND s.plate = t.plate
- AND s.x = CASE WHEN ok THEN ox ELSE t.x END AND s.y = CASE WHEN ok THEN oy ELSE t.y END"""))
+@register("block_copy", with_(PTS, f"""
+bd AS (SELECT *, x + CAST(floor({unit_noise('(x // 4)', '(y // 4)', '(i * 64 + 43)')} * 17) AS INT) - 8 AS ox, y + CAST(floor({unit_noise('(x // 4)', '(y // 4)', '(i * 64 + 44)')} * 17) AS INT) - 8 AS oy,
+             {unit_noise('(x // 4)', '(y // 4)', '(i * 64 + 42)')} < 0.5 AS hit FROM pts),
+be AS (SELECT *, hit AND ox >= 0 AND ox < w AND oy >= 0 AND oy < h AS ok FROM bd)""",
+                              remap("CASE WHEN ok THEN ox ELSE x END", "CASE WHEN ok THEN oy ELSE y END", "be"), OUT.format("moved")))
 def block_copy(spark, sf):
     return long(g.block_copy(parts_coverage(spark, sf), 0.5, 4))
 
 
+def drawn_lines() -> str:
+    """VALUES of the lines drawn at 0.6 on frames of 8 to 11 lines: the generator's shuffle, stated apart from the operator."""
+    rows = []
+    for n in range(8, 12):
+        for i, plate in enumerate(("cyan", "magenta", "yellow", "black")):
+            state, left = 99 + 17 * i, list(range(n))
+            for k in reversed(range(1, n)):
+                state = (1664525 * state + 1013904223) % 2**32
+                j = state * (k + 1) // 2**32
+                left[k], left[j] = left[j], left[k]
+            rows += [f"({n}, '{plate}', {line})" for line in left[:max(1, int(n * 0.6))]]
+    return ", ".join(rows)
+
+
 def sort_sql(source: str, name: str = "sorted") -> str:
-    return f"""lines0 AS (SELECT DISTINCT h AS n, plate, i FROM {source}),
-shuf AS (SELECT n, plate, i, n - 1 AS k, CAST(99 + 17 * i AS BIGINT) AS st, range(n) AS l FROM lines0
-  UNION ALL SELECT n, plate, i, k - 1, nst, [CASE WHEN j = k THEN l[s + 1] WHEN j = s THEN l[k + 1] ELSE l[j + 1] END FOR j IN range(n)]
-  FROM (SELECT *, (nst * (k + 1)) >> 32 AS s FROM (SELECT *, (st * 1664525 + 1013904223) & 4294967295 AS nst FROM shuf WHERE k > 0))),
-picks AS (SELECT n, plate, unnest(l[1:greatest(1, CAST(floor(n * 0.6e0) AS INT))]) AS line FROM shuf WHERE k = 0),
+    return f"""picks AS (SELECT * FROM (VALUES {drawn_lines()}) t(n, plate, line)),
 act AS (SELECT c.*, p.line IS NOT NULL AND cov > 0.1e0 AS active FROM {source} c LEFT JOIN picks p ON p.n = c.h AND p.plate = c.plate AND p.line = c.y),
 isl AS (SELECT *, sum(CASE WHEN active THEN 0 ELSE 1 END) OVER (PARTITION BY image_id, plate, y ORDER BY x) AS g FROM act),
 pos AS (SELECT *, row_number() OVER (PARTITION BY image_id, plate, y, g ORDER BY x) AS rp,
@@ -154,7 +191,7 @@ CHAIN = dict(sliceShift=2, sliceSize=3, verticalSliceShift=2, verticalSliceSize=
              channelDesync=0.2, bitmapSort=0.6)
 
 
-@register("glitch_chain", with_(COV, remap(
+@register("glitch_chain", with_(PTS, remap(
     inside(f"{inside(f'x + {SLICE} + {WARP[0]} + {PULL} + 1.6e0', 'w')} + 0.2e0 * (i + 1) * 8", "w"),
     inside(f"y + ({VSLICE}) + {WARP[1]}", "h")), CORRUPT.format("moved"), sort_sql("corrupted"), fray_sql("sorted"),
     OUT.format("frayed")))
