@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import CLUSTER_4, CLUSTER_8
+from ..functions.fixed_values import CLUSTER_4, CLUSTER_8, DIFFUSION_KERNELS
 from ..functions.numeric import six
 from ..operators import dither as d
 from ..operators.separate import luminance
@@ -94,18 +94,77 @@ def positional_diffusion(spark, sf):
     ).alias(f"v_{a.replace('-', '_')}") for a in PATTERN_SQL])
 
 
-@register("error_diffusion")
+def scan_sql(base: str, kernel: str, offsets: list, top: int, intensity: float, serpentine: bool = False, overflow: float = 0.0,
+             wiped: str = "FALSE") -> list[str]:
+    """CTEs that carry errors pixel by pixel: one level of the recursion is one pixel step of all plates.
+
+    ``base`` is a SELECT of (image_id, plate, i, w, h, x, y, base), ``kernel`` one of (plate, ws). The carry is three FLOAT rows
+    of the frame; ``held`` is the row of errors that a wiped row took in at its start.
+    """
+    side = "CASE WHEN y % 2 = 1 THEN -1 ELSE 1 END" if serpentine else "1"
+    at = "CASE WHEN y % 2 = 1 THEN w - 1 - x ELSE x END" if serpentine else "x"
+    weight = " ".join(f"WHEN j // w = {dy} AND (j % w - x) * side = {dx} THEN ws[{k}]" for k, (dy, dx, _) in enumerate(offsets, 1))
+    inside = "least(1e0, greatest(0e0, value))"
+    value = "CASE WHEN wiped THEN least(1e0, greatest(0e0, base + CAST(held[x + 1] AS DOUBLE))) ELSE base END + CAST(c[x + 1] AS DOUBLE)"
+    value = f"least(1e0, greatest(0e0, {value}))" if serpentine else value
+    if overflow:
+        inside = f"({inside} * {1 - overflow!r}e0 + (value - floor(value)) * {overflow!r}e0)"
+    tone = f"floor({inside} * {top} + 0.5e0)" if serpentine else f"round_even({inside} * {top}, 0)"
+    return [f"based AS ({base})", f"kern AS ({kernel})",
+            f"steps AS (SELECT *, y * w + {at} AS t, {side} AS side, {wiped} AS wiped FROM based)", f"""
+scan AS (SELECT image_id, plate, any_value(w) AS w, CAST(-1 AS BIGINT) AS t, CAST(NULL AS INT) AS x, CAST(NULL AS INT) AS y, 0e0 AS tone,
+  [CAST(0 AS FLOAT) FOR j IN range(3 * any_value(w))] AS carry, [CAST(0 AS FLOAT) FOR j IN range(any_value(w))] AS held FROM based GROUP BY image_id, plate
+  UNION ALL
+  SELECT image_id, plate, w, t, x, y, tone,
+    [CAST(CAST(c[j + 1] AS DOUBLE) + coalesce(CASE {weight} END, 0e0) * ((value - tone) * {intensity!r}e0) AS FLOAT) FOR j IN range(3 * w)], held
+  FROM (SELECT *, {tone} / {top}e0 AS tone FROM (
+    SELECT *, {value} AS value FROM (
+      SELECT * EXCLUDE (moved, held), CASE WHEN wiped AND t % w = 0 THEN [CASE WHEN j < w THEN CAST(0 AS FLOAT) ELSE moved[j + 1] END FOR j IN range(3 * w)] ELSE moved END AS c,
+        CASE WHEN wiped AND t % w = 0 THEN moved[1:w] ELSE held END AS held FROM (
+        SELECT n.*, k.ws, s.held, CASE WHEN n.t > 0 AND n.t % n.w = 0 THEN list_concat(s.carry[n.w + 1:], [CAST(0 AS FLOAT) FOR j IN range(n.w)]) ELSE s.carry END AS moved
+        FROM scan s JOIN steps n ON n.image_id = s.image_id AND n.plate = s.plate AND n.t = s.t + 1 JOIN kern k ON k.plate = n.plate)))))""",
+            "SELECT image_id, x, y, plate, round(least(1e0, greatest(0e0, tone)), 6) AS cov FROM scan WHERE t >= 0"]
+
+
+def even_kernel(weights: list[float]) -> str:
+    return f"SELECT plate, [{', '.join(f'{v!r}e0' for v in weights)}] AS ws FROM plates"
+
+
+_WEB, _WEB_SUM = DIFFUSION_KERNELS["jarvis-judice-ninke"]
+_SWAY = f"sin(x * {math.cos(math.pi / 6)!r}e0 + y * {math.sin(math.pi / 6)!r}e0) * 0.4e0 * 0.08e0"
+
+
+@register("error_diffusion", with_(COV, *scan_sql(f"""SELECT *, CASE WHEN y % 6 = 0 THEN cov ELSE cov + ({OFFSET_SQL['tilt']}) * 0.125e0 + {_SWAY}
+  + (((x * 7 + y * 11) % 5) - 2) * 0.5e0 * 0.03e0 + CASE WHEN (x + y) % 9 = 0 THEN 0.5e0 * 0.12e0 ELSE 0e0 END END + 0.3e0 * 0.02e0 AS base FROM cov""",
+    even_kernel([w / _WEB_SUM for _, _, w in _WEB]), _WEB, 3, 0.9, serpentine=True)))
 def error_diffusion(spark, sf):
     return long(d.error_diffusion(parts_coverage(spark, sf), "jarvis-judice-ninke", 4, 0.9, "tilt", 0.5, bias=0.4,
                                   bias_angle=30, broken=0.5, overflow=0.5, reset=0.9, bleed=0.3))
 
 
-@register("error_diffusion_desktop")
+_STUCKI = DIFFUSION_KERNELS["stucki"][0]
+_STUCKI_RAW = [w * (2.6 if (dx == 0) != (dy == 0) else 1 - 0.4 * 0.8) for dy, dx, w in _STUCKI]
+_NARROW = "SELECT *, CAST(CAST(cov AS FLOAT) AS DOUBLE) AS base FROM cov"
+
+
+@register("error_diffusion_desktop", with_(COV, *scan_sql(
+    _NARROW, even_kernel([w / sum(_STUCKI_RAW) for w in _STUCKI_RAW]), _STUCKI, 3, 0.9)))
 def error_diffusion_desktop(spark, sf):
     return long(d.error_diffusion_desktop(parts_coverage(spark, sf), "stucki", 4, 0.9, "circuit", 0.4))
 
 
-@register("glitch_diffusion")
+_ATKINSON = DIFFUSION_KERNELS["atkinson"][0]
+_CELLS = ", ".join(f"({k}, {dy}, {dx}, {w}e0)" for k, (dy, dx, w) in enumerate(_ATKINSON))
+_LEAN = "(dx * cos(radians(60)) + dy * sin(radians(60))) / sqrt(dx * dx + dy * dy)"
+_DAMAGED = f"""SELECT plate, list(v / total ORDER BY k) AS ws FROM (SELECT *, sum(v) OVER (PARTITION BY plate) AS total FROM (
+  SELECT plate, k, greatest(0.001e0, greatest(0.01e0, 1 + {_LEAN} * 0.5e0 * 5) * CASE WHEN {unit_noise('k', 'i', '42')} >= 0.4e0 THEN wt
+    WHEN {unit_noise('k', 'i', '43')} * 3 < 1 THEN 0e0 WHEN {unit_noise('k', 'i', '43')} * 3 < 2 THEN -wt
+    ELSE {unit_noise('k', 'i', '44')} * {max(w for _, _, w in _ATKINSON)} * 2 END) AS v
+  FROM (VALUES {_CELLS}) c(k, dy, dx, wt), plates)) GROUP BY plate"""
+
+
+@register("glitch_diffusion", with_(COV, *scan_sql(_NARROW, _DAMAGED, _ATKINSON, 3, 0.8, overflow=0.3,
+                                                   wiped=f"y >= 2 AND y < h - 2 AND {unit_noise('y', 'i', '77')} < 0.8e0 / 10")))
 def glitch_diffusion(spark, sf):
     return long(d.glitch_diffusion(parts_coverage(spark, sf), "atkinson", 4, 0.8, broken=0.4, bias=0.5, bias_angle=60,
                                    overflow=0.3, reset=0.8))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import PROJECT_DEFAULTS, PROJECT_REQUIRED
+from ..functions.fixed_values import GENERATOR_DEFAULTS, PROJECT_DEFAULTS, PROJECT_REQUIRED
 
 LAYER_SCHEMA = ("array<struct<name:string,visible:boolean,offset_x:int,offset_y:int,scale_pct:int,opacity:double,"
                 "effect_params:map<string,string>,image_b64:string>>")
@@ -28,9 +28,10 @@ def parse_projects(df: DataFrame, body: str = "project") -> DataFrame:
 
 
 def merged_params(params: Column, defaults: dict | None = None) -> Column:
-    """Parameter map over defaults; keys that are no parameters are dropped. Values stay JSON text."""
+    """Parameter map over defaults; keys that are no parameters are dropped. Values stay JSON text. Parameters of generators
+    that are not rendered are kept where a project gives them."""
+    known = [*defaults] if defaults is not None else [*PROJECT_DEFAULTS, *PROJECT_REQUIRED, *GENERATOR_DEFAULTS]
     defaults = PROJECT_DEFAULTS if defaults is None else defaults
-    known = [*defaults, *(PROJECT_REQUIRED if defaults is PROJECT_DEFAULTS else [])]
     text = {k: v if isinstance(v, str) else None if v is None else json.dumps(v) for k, v in defaults.items()}
     base = F.create_map(*[F.lit(x) for kv in text.items() for x in kv]).cast("map<string,string>")
     given = F.map_filter(F.coalesce(params, F.create_map().cast("map<string,string>")),

@@ -38,8 +38,31 @@ def test_pixels_of_png_files(spark, art):
 
 
 def test_header_scan_and_intake(spark, art):
-    heads = images.scan_headers(spark, art).withColumns({"width": F.lit(7), "height": F.lit(5)})
-    assert {r.refusal for r in images.intake_audit(heads).collect()} == {None}
+    audit = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.refusal) for r in images.intake_audit(images.scan_headers(spark, art)).collect()}
+    assert {(name, *audit[name]) for name in ("ramp.png", "flat.png")} == {("ramp.png", 7, 5, None), ("flat.png", 3, 2, None)}
+
+
+def test_broken_files_are_refused_and_listed(spark, art, tmp_path):
+    import pathlib
+    import shutil
+
+    folder = shutil.copytree(art, tmp_path / "mixed")
+    good = pathlib.Path(folder, "ramp.png").read_bytes()
+    (folder / "cut.png").write_bytes(good[:20])
+    (folder / "wide.png").write_bytes(good[:16] + (20_000).to_bytes(4, "big") + good[20:24])
+    audit = {r.path.rsplit("/", 1)[1]: r.refusal for r in images.intake_audit(images.scan_headers(spark, str(folder))).collect()}
+    assert audit["ramp.png"] is None and audit["cut.png"] == REFUSALS["invalid"] and audit["wide.png"] == REFUSALS["dimensions"]
+    assert {r.image_id for r in images.refused_images(spark, str(folder)).collect()} == {"cut.png", "wide.png"}
+    assert images.scan_images(spark, str(folder)).count() == 35 + 6
+
+
+def test_picture_sizes_of_other_formats():
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x05\x00\x07" + b"\0" * 9
+    webp = lambda kind, rest: b"RIFF\0\0\0\0WEBP" + kind + rest + b"\0" * 20
+    assert images.picture_size(jpeg) == (7, 5) and images.picture_size(jpeg[:9]) is None and images.picture_size(b"") is None
+    assert images.picture_size(webp(b"VP8X", b"\0" * 8 + b"\x06\0\0\x04\0\0")) == (7, 5)
+    assert images.picture_size(webp(b"VP8L", b"\0\0\0\0\x2f" + (6 | 4 << 14).to_bytes(4, "little"))) == (7, 5)
+    assert images.picture_size(webp(b"VP8 ", b"\0" * 10 + b"\x07\0\x05\0")) == (7, 5)
 
 
 @pytest.mark.parametrize("row,why", [
@@ -55,13 +78,14 @@ def test_intake_rules(spark, row, why):
 
 
 def test_project_files(spark, tmp_path):
-    layers = [{"name": "a", "image_b64": "x", "effect_params": {"ascii_charset": "dots", "unknown": 1, "cell": 12}},
+    layers = [{"name": "a", "image_b64": "x", "effect_params": {"ascii_charset": "dots", "unknown": 1, "cell": 12, "spiro_d": 4, "rd_scale": 9.5, "geoflow_fill": False}},
               {"name": "b", "visible": False, "opacity": 0.5, "image_b64": "y", "scale_pct": 40}]
     (tmp_path / "one.json").write_text(json.dumps({"version": 2, "layers": layers, "dpi": 240}, indent=1))
     rows = projects.project_layers(projects.scan_projects(spark, str(tmp_path))).orderBy("z").collect()
     assert [(r.name, r.visible, r.scale_pct, r.opacity, r.selected) for r in rows] == [
         ("a", True, 100, 1.0, False), ("b", False, 40, 0.5, True)]
     assert rows[0].params["ascii_charset"] == "dots" and rows[0].params["cell"] == "12"
+    assert (rows[0].params["spiro_d"], rows[0].params["rd_scale"], rows[0].params["geoflow_fill"]) == ("4", "9.5", "false")
     assert "unknown" not in rows[0].params and rows[0].params["pixelate_block_size"] == "20" and rows[1].params is None
 
 
