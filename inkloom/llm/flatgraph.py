@@ -13,11 +13,12 @@ from .graphs import components
 from .store import written
 
 SAMPLE = 20_000  # vectors that centroids are fitted on, at most about so many
-TARGET = 1500  # vectors wanted in a shard
-LIMIT = 4096  # a larger shard is worked on in pairs of blocks of half that size
+TARGET = 6000  # vectors wanted in a shard
+LIMIT = 16_384  # a larger shard is worked on in pairs of blocks of half that size
 NEAR, FAR, POOL = 32, 8, 64  # neighbours kept of the nearest and of far ones, and candidates for the former
 ALPHA = 1.2
 BEAM = 8
+STEPS = 1 << 20  # list entries followed at a time
 AUDIT = 200  # vectors that recall is audited on
 RECALL = 0.99
 
@@ -78,11 +79,11 @@ def build(u: np.ndarray, seed: int = 5) -> list[np.ndarray]:
         return [np.empty(0, np.int64)] * n
     pool = min(POOL, n - 1)
     near = np.empty((n, pool), np.int64)
-    for at in range(0, n, 512):
-        sims = u[at:at + 512] @ u.T
+    for at in range(0, n, 256):
+        sims = u[at:at + 256] @ u.T
         sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
         best = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
-        near[at:at + 512] = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable"), 1)
+        near[at:at + 256] = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable"), 1)
     kept = np.concatenate([robust_prune(u, np.arange(at, min(n, at + 256)), near[at:at + 256], NEAR) for at in range(0, n, 256)])
     far = np.random.default_rng(seed).integers(0, n, (n, FAR))
     a = np.repeat(np.arange(n), kept.shape[1] + FAR)
@@ -92,6 +93,15 @@ def build(u: np.ndarray, seed: int = 5) -> list[np.ndarray]:
     return np.split(edge % n, np.searchsorted(edge // n, np.arange(1, n)))
 
 
+def _runs(ahead: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose summed sizes (``ahead`` is their running sum) are about the limit."""
+    lo = 0
+    while lo < len(ahead):
+        hi = max(lo + 1, int(np.searchsorted(ahead, (ahead[lo - 1] if lo else 0) + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def range_search(u: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """(query, members with cosine >= least) for query rows: greedy search from the medoid and the query's own
     place until its BEAM best are expanded, then expansion of everything in range until nothing new is in range."""
@@ -101,30 +111,37 @@ def range_search(u: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, le
     first, ends = np.cumsum(degree) - degree, np.concatenate(lists)
     for at in range(0, len(queries), 256):
         q = queries[at:at + 256]
-        sims, done = np.full((len(q), n), -2.0), np.zeros((len(q), n), bool)
-        for start in (np.full(len(q), medoid), q):
-            sims[np.arange(len(q)), start] = np.einsum("nd,nd->n", u[q], u[start])
-        live = np.arange(len(q))
-        while len(live):
-            own, ended = sims[live], done[live]
-            best = np.argpartition(-own, min(BEAM, n) - 1, axis=1)[:, :BEAM]
-            grow = own >= least
-            np.put_along_axis(grow, best, True, 1)
-            grow &= (own > -2) & ~ended
-            row, node = np.nonzero(grow)
-            done[live[row], node] = True
-            steps = degree[node]
-            met = np.zeros(own.shape, bool)
-            place = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
-            met[np.repeat(row, steps), ends[np.repeat(first[node], steps) + place]] = True
-            x, y = np.nonzero(met & (own == -2))
-            for part in range(0, len(x), 1 << 15):
-                i, j = x[part:part + (1 << 15)], y[part:part + (1 << 15)]
-                sims[live[i], j] = np.einsum("nd,nd->n", u[q[live[i]]], u[j])
-            live = live[grow.any(1)]
-        for row, query in enumerate(q):
-            hit = np.flatnonzero(sims[row] >= least)
-            yield int(query), hit[hit != query]
+        met = np.zeros(len(q) * n, bool)  # by query and member: whether its cosine is known
+        rows = np.arange(len(q))
+        codes = np.unique(np.concatenate([rows * n + medoid, rows * n + q]))
+        beam, found = (codes[:0], np.empty(0), np.empty(0, bool)), []
+        met[codes] = True
+        while len(codes):
+            row, node = np.divmod(codes, n)
+            sims = np.concatenate([np.einsum("nd,nd->n", u[q[row[p:p + 8192]]], u[node[p:p + 8192]]) for p in range(0, len(row), 8192)])
+            hit = sims >= least
+            found.append(codes[hit])
+            code, sim, ended = (np.concatenate(x) for x in zip(beam, (codes, sims, np.zeros(len(codes), bool)), strict=True))
+            order = np.lexsort((-sim, code // n))
+            code, sim, ended = code[order], sim[order], ended[order]
+            begin = np.flatnonzero(np.diff(code // n, prepend=-1))
+            best = np.arange(len(code)) - np.repeat(begin, np.diff(begin, append=len(code))) < BEAM
+            grow = np.concatenate([code[best & ~ended], codes[hit]])  # the best not yet expanded, and all that is in range
+            beam = code[best], sim[best], np.ones(int(best.sum()), bool)
+            row, node = np.divmod(np.unique(grow), n)
+            steps, fresh = degree[node], [codes[:0]]
+            ahead = np.cumsum(steps)
+            for lo, hi in _runs(ahead, STEPS):
+                own = steps[lo:hi]
+                place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                codes = np.repeat(row[lo:hi] * n, own) + ends[np.repeat(first[node[lo:hi]], own) + place]
+                codes = np.unique(codes[~met[codes]])
+                met[codes] = True
+                fresh.append(codes)
+            codes = np.concatenate(fresh)
+        row, node = np.divmod(np.sort(np.concatenate(found)), n)
+        for query, own in zip(q, np.split(node, np.searchsorted(row, np.arange(1, len(q)))), strict=True):
+            yield int(query), own[own != query]
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -243,7 +260,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     1. Equal vectors of a label are one node with a number of copies. Centroids are fitted on a bounded sample; every
        vector goes to its nearest cell and to further ones that can hold a link of it, ``overlap`` at most at first.
     2. Every shard builds a flat graph: nearest candidates, pruned robustly, and a few far ones. The adjacency lists of a
-       vector are united over its shards. A shard of more than 4096 vectors is worked on in pairs of blocks.
+       vector are united over its shards. A shard of more than 16,384 vectors is worked on in pairs of blocks.
     3. Every vector is searched in its shards: greedily from the medoid and its own place, then outwards through all that
        is in range. A link is counted in the least shard that both ends share, so no pair leaves a task; what leaves
        is a count and a local root per vector.
