@@ -6,6 +6,7 @@ bounded by event time: windows close behind the watermark and idle keys expire.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -25,55 +26,64 @@ def windowed_counts(stream: DataFrame, window: int = RATE_WINDOW_SECONDS, limit:
                           F.greatest(F.col("requests") - limit, F.lit(0)).alias("denied"))
 
 
+def _trigger(batches: Iterator):
+    """All rows that a key has in this trigger by time: Arrow delivers them in chunks of any size."""
+    import pandas as pd
+
+    return pd.concat(list(batches), ignore_index=True).sort_values(["t", "event_id"], ignore_index=True)
+
+
 def admit(stream: DataFrame, window: int = RATE_WINDOW_SECONDS, limit: int = RATE_MAX_REQUESTS,
           lateness: str = "1 minute") -> DataFrame:
-    """Admit or deny every request in arrival order: exact per key. State is one window and a count; it
-    expires when the watermark has passed the window."""
+    """Admit or deny every request in arrival order, by time within a trigger: exact per key and window. State is the count
+    of every window that the watermark has not passed, so a late request is judged by its own window."""
     size = window * 1_000_000
 
     def step(key, batches: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        if state.hasTimedOut:
+        import numpy as np
+
+        counts = {int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
+        if not state.hasTimedOut:
+            pdf = _trigger(batches)
+            slot = pdf["t"].to_numpy() // size * size
+            before = np.array([counts.get(int(s), 0) for s in slot])
+            place = pdf.groupby(slot).cumcount().to_numpy() + before
+            for s, n in zip(*np.unique(slot, return_counts=True), strict=True):
+                counts[int(s)] = counts.get(int(s), 0) + int(n)
+            yield pdf[["event_id"]].assign(key=key[0], admitted=place < limit)[["key", "event_id", "admitted"]]
+        mark = state.getCurrentWatermarkMs()
+        counts = {s: n for s, n in counts.items() if s // 1000 + window * 1000 > mark}
+        if not counts:
             state.remove()
             return
-        start, used = state.get if state.exists else (-1, 0)
-        for pdf in batches:
-            pdf = pdf.sort_values(["t", "event_id"])
-            flags = []
-            for t in pdf["t"]:
-                slot = t // size * size
-                if slot > start:
-                    start, used = slot, 0
-                flags.append(slot == start and used < limit)
-                used += flags[-1]
-            yield pd.DataFrame({"key": key[0], "event_id": pdf["event_id"], "admitted": flags})
-        state.update((start, used))
-        state.setTimeoutTimestamp(max(start // 1000 + window * 1000, state.getCurrentWatermarkMs() + 1))
+        state.update((json.dumps(counts),))
+        state.setTimeoutTimestamp(max(min(counts) // 1000 + window * 1000, mark + 1))
 
     ready = stream.withWatermark("ts", lateness).select("key", "event_id", "ts", micros("ts").alias("t"))
     return ready.groupBy("key").applyInPandasWithState(
-        step, "key string, event_id long, admitted boolean", "start long, used long", "append", "EventTimeTimeout")
+        step, "key string, event_id long, admitted boolean", "counts string", "append", "EventTimeTimeout")
 
 
 def debounce(stream: DataFrame, seconds: float = DEBOUNCE_SECONDS, lateness: str = "1 minute") -> DataFrame:
-    """Drop events that follow the last kept event of their key too closely; state is that one time."""
+    """Drop events that follow the last kept event of their key too closely; state is that one time. Within a trigger
+    events are taken by time; an event older than one kept by an earlier trigger is dropped, as the output is append-only."""
     gap = int(seconds * 1_000_000)
 
     def step(key, batches: Iterator, state) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         if state.hasTimedOut:
             state.remove()
             return
-        held = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf, kept = pdf.sort_values(["t", "event_id"]), []
-            for t in pdf["t"]:
-                keep = held is None or t - held >= gap
-                held = t if keep else held
-                kept.append(keep)
-            yield pd.DataFrame({"key": key[0], "event_id": pdf["event_id"][kept]})
+        pdf = _trigger(batches)
+        t, kept, held = pdf["t"].to_numpy(), [], state.get[0] if state.exists else None
+        at = 0 if held is None else int(np.searchsorted(t, held + gap))
+        while at < len(t):  # jump from kept event to kept event
+            kept.append(at)
+            held = int(t[at])
+            at = int(np.searchsorted(t, held + gap))
+        yield pd.DataFrame({"key": key[0], "event_id": pdf["event_id"].to_numpy()[kept]})
         state.update((int(held),))
         state.setTimeoutTimestamp(max(held // 1000 + int(seconds * 1000) + 1, state.getCurrentWatermarkMs() + 1))
 

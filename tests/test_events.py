@@ -118,6 +118,34 @@ def test_stream_debounce_equals_batch(spark, tmp_path):
     assert got == keep(rows, 0.3)
 
 
+@pytest.fixture()
+def small_chunks(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_streams_do_not_depend_on_chunks(spark, tmp_path, small_chunks):
+    import random
+
+    rows = sample(300, ["hot", "b"], 60, 11)
+    random.Random(1).shuffle(rows)
+    drain(st.debounce(feed(spark, tmp_path / "d", [rows]), 0.3), tmp_path / "d")
+    assert {(r.key, r.event_id) for r in spark.read.parquet(f"{tmp_path}/d/out").collect()} == keep(rows, 0.3)
+    drain(st.admit(feed(spark, tmp_path / "a", [rows]), 60, 40), tmp_path / "a")
+    got = {(r.key, r.event_id) for r in spark.read.parquet(f"{tmp_path}/a/out").where("admitted").collect()}
+    slots = {}
+    for key, event, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        slots.setdefault((key, t // 60), []).append((key, event))
+    assert got == {x for own in slots.values() for x in own[:40]}
+
+
+def test_late_requests_are_judged_by_their_own_window(spark, tmp_path):
+    drain(st.admit(feed(spark, tmp_path, [[("k", 1, 70.0)], [("k", 2, 30.0), ("k", 3, 31.0)], [("k", 4, 32.0), ("k", 5, 71.0)]]), 60, 2), tmp_path)
+    got = {r.event_id: r.admitted for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True}
+
+
 def test_stream_admission_and_restart(spark, tmp_path):
     first = [("k", i, 10.0 + i) for i in range(4)]
     stream = feed(spark, tmp_path, [first])
