@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, flatgraph, leaks, minmax, mixing, pii, spans, tokens, toxicity
+from . import archives, decontaminate, flatgraph, leaks, minmax, mixing, passages, pii, spans, tokens, toxicity
 from .store import new_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -152,3 +152,9 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS
        vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """
+
+
+@_query
+def op9_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents share."""
+    return passages.shared_passages(_table(spark, sf_dir, "documents"))
