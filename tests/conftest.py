@@ -33,10 +33,3 @@ def field(spark):
             rows += [(image, w, h, plate, x, y, grid[y][x]) for y in range(h) for x in range(w)]
     df = spark.createDataFrame(rows, "image_id string, w int, h int, plate string, x int, y int, cov double")
     return df.repartition(5).cache(), grids
-
-
-def as_grids(df):
-    out = {}
-    for r in df.collect():
-        out.setdefault((r["image_id"], r["plate"]), {})[r["x"], r["y"]] = r["cov"]
-    return out

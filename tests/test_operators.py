@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import as_grids
+from grids import as_grids
 from pyspark.sql import functions as F
 
 from inkloom.functions.fixed_values import DIFFUSION_KERNELS, PLATES
