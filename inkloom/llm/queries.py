@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, divergence, flatgraph, leaks, minmax, mixing, passages, pii, spans, tokens, toxicity
+from . import archives, decontaminate, divergence, flatgraph, leaks, minmax, mixing, passages, pii, spans, tokens, toxicity, whitening
 from .store import new_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -188,3 +188,9 @@ u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value,
 o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM u)
 SELECT * FROM o WHERE part = 'pair' OR rank <= 10
 """
+
+
+@_query
+def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their four leading components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
