@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, divergence, flatgraph, leaks, minmax, mixing, passages, pii, spans, tokens, toxicity, whitening
+from . import archives, decontaminate, divergence, flatgraph, leaks, minmax, mixing, passages, pii, spans, substrings, tokens, toxicity, whitening
 from .store import new_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -194,3 +194,29 @@ SELECT * FROM o WHERE part = 'pair' OR rank <= 10
 def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on their four leading components."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op12_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their bytes in strings of 400 bytes that stand somewhere else too."""
+    cut = substrings.without_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_deep_shallow_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT r, p, md5(b[p:p + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d WHERE octet_length(b) >= 400)),
+m AS (SELECT r, p FROM s SEMI JOIN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) USING (h)),
+e AS (SELECT r, p, p - coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -1000) > 400 AS fresh FROM m),
+g AS (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS run FROM e),
+x AS (SELECT r, min(p) AS a, max(p) + 400 AS z FROM g GROUP BY r, run),
+y AS (SELECT r, a, z, lag(z, 1, 1) OVER (PARTITION BY r ORDER BY a) AS before FROM x),
+k AS (SELECT r, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS last FROM x GROUP BY r),
+parts AS (SELECT y.r, a AS place, hex(b[before:a - 1]) AS piece FROM y JOIN d USING (r) WHERE a > before
+          UNION ALL SELECT r, coalesce(last, 1), hex(CASE WHEN last IS NULL THEN b ELSE b[last:octet_length(b)] END) FROM d LEFT JOIN k USING (r)
+          WHERE coalesce(last, 1) <= octet_length(b)),
+kept AS (SELECT r, string_agg(piece, '' ORDER BY place) AS whole FROM parts GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(whole, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN kept USING (r)
+"""
