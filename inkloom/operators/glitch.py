@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import (FRAY_BOTTOM, FRAY_LEFT, FRAY_RIGHT, FRAY_TOP, GLITCH_DEFAULTS, LCG_INCREMENT,
                                       LCG_MULTIPLIER, PLATES, SORT_SEED, SORT_SEED_STEP)
-from ..functions.mixing import block_hash, scramble32, unit_noise
-from ..functions.numeric import clamp, floor_div, radians, round_half_even, round_half_up, truncate
+from ..functions.mixing import MASK, block_hash, scramble32, unit_noise
+from ..functions.numeric import clamp, floor_div, int_range, radians, round_half_even, round_half_up
 from ..functions.plates import plate_index
-from ..session import checkpoint
 
 INK_FLOOR = 0.1
+FRAME = ["image_id", "w", "h", "plate"]
 
 
 def settings(**given) -> dict:
@@ -278,111 +276,158 @@ def glitch_field(cov: DataFrame, **given) -> DataFrame:
 
 # -- lines -----------------------------------------------------------------------------------------
 
-def shuffled_lines(count: int, seed: int) -> list[int]:
-    """Line order drawn by a 32-bit linear congruential generator; small helper, at most one image side long."""
-    state, lines = seed & 0xFFFFFFFF, list(range(count))
-    for last in range(count - 1, 0, -1):
-        state = (state * LCG_MULTIPLIER + LCG_INCREMENT) & 0xFFFFFFFF
-        other = state * (last + 1) >> 32
-        lines[last], lines[other] = lines[other], lines[last]
-    return lines
+def drawn(lines: Column, plate_idx: Column, line: Column, amount: float) -> Column:
+    """Whether a shuffle of ``lines`` lines by a 32-bit linear congruential generator puts the line among the first ones.
 
+    Only the line's own place is followed through the swaps: a fold over one image side with two numbers as state, no array
+    is moved.
+    """
+    keep = F.greatest(F.lit(1), F.least(lines, F.floor(lines * F.lit(min(1.0, max(0.0, amount))))))
+    seed = (F.lit(SORT_SEED) + plate_idx * SORT_SEED_STEP).cast("bigint").bitwiseAND(F.lit(MASK))
 
-@lru_cache(maxsize=256)
-def _drawn(lines: int, plate_idx: int, amount: float):
-    """Lines drawn for sorting on a frame with ``lines`` lines; one entry per frame size and plate."""
-    import numpy as np
-
-    keep = max(1, min(lines, math.floor(lines * min(1.0, max(0.0, amount)))))
-    return np.array(shuffled_lines(lines, SORT_SEED + plate_idx * SORT_SEED_STEP)[:keep])
+    def swapped(held: Column, last: Column) -> Column:
+        state = (held["state"] * F.lit(LCG_MULTIPLIER) + F.lit(LCG_INCREMENT)).bitwiseAND(F.lit(MASK))
+        other = F.shiftright(state * (last + 1), 32)
+        place = F.when(held["place"] == last, other).when(held["place"] == other, last).otherwise(held["place"])
+        return F.struct(state.alias("state"), place.cast("bigint").alias("place"))
 
+    start = F.struct(seed.alias("state"), line.cast("bigint").alias("place"))
+    steps = F.transform(int_range(lines - 1), lambda k: (lines - 1 - k).cast("bigint"))
+    return F.aggregate(steps, start, swapped, lambda held: held["place"] < keep)
 
-def _is_drawn(amount: float):
-    """Vectorised test (frame lines, plate index, line) -> drawn. A lookup in the task: no join, no shuffle."""
-    def test(lines: pd.Series, plate_idx: pd.Series, line: pd.Series) -> pd.Series:
-        import numpy as np
 
-        out, at = np.zeros(len(line), bool), line.to_numpy()
-        groups = pd.DataFrame({"n": lines.to_numpy(), "p": plate_idx.to_numpy()}).groupby(["n", "p"]).indices
-        for (n, p), rows in groups.items():
-            out[rows] = np.isin(at[rows], _drawn(int(n), int(p), amount))
-        return pd.Series(out)
+def _by_line(cov: DataFrame, across: str) -> DataFrame:
+    """Pixels dealt out by raster line. Everything that follows from one result of this function shares its exchange, because all of it
+    reads every column: the frame size is part of the keys."""
+    return cov.repartition(*FRAME, across)
 
-    return F.pandas_udf(test, "boolean")
 
+def _axes(vertical: bool) -> tuple[str, str, str]:
+    return ("y", "x", "w") if vertical else ("x", "y", "h")
 
-def bitmap_sort(cov: DataFrame, amount: float, vertical: bool = False) -> DataFrame:
-    """Sort every run above the ink floor on drawn lines, ascending.
 
-    Pixels are packed by line, so only one row per line leaves the JVM to learn whether the line was drawn. A run covers
-    consecutive positions, so a pixel of rank k in its run moves to the k-th position after the run's start: two windows
-    over the line, which keep the partitioning of the packed lines. No group exceeds one image side.
-    """
-    if amount <= 0:
-        return cov
-    along, across, side = ("y", "x", "w") if vertical else ("x", "y", "h")
-    keys = ["image_id", "plate", across]
-    lines = cov.groupBy(*keys).agg(F.max("w").alias("w"), F.max("h").alias("h"), F.collect_list(F.struct(along, "cov")).alias("px"))
-    lines = lines.withColumn("picked", _is_drawn(amount)(F.col(side), plate_index("plate"), F.col(across)))
-    marked = lines.withColumn("p", F.explode("px")).select(*keys, "w", "h", "picked", "p.*")
-    active = F.col("picked") & (F.col("cov") > INK_FLOOR)
-    line = Window.partitionBy(*keys)
-    last_gap = F.max(F.when(~active, F.col(along))).over(
-        line.orderBy(along).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = marked.withColumns({"active": active, "start": F.when(active, F.coalesce(last_gap, F.lit(-1)) + 1)
-                               .otherwise(-1)})
+def _sorted_runs(lines: DataFrame, amount: float, vertical: bool) -> DataFrame:
+    """Pixels dealt out by line, with every run above the ink floor on drawn lines sorted."""
+    along, across, side = _axes(vertical)
+    keys = [*FRAME, across]
+    line = Window.partitionBy(*keys).orderBy(along)
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    once = lines.withColumn("first", F.lag(along).over(line).isNull())
+    once = once.withColumn("lead", F.when(F.col("first"), drawn(F.col(side), plate_index("plate"), F.col(across), amount)))
+    marked = once.withColumn("active", F.first("lead").over(upto) & (F.col("cov") > INK_FLOOR))
+    last_gap = F.max(F.when(~F.col("active"), F.col(along))).over(upto)
+    runs = marked.withColumn("start", F.when(F.col("active"), F.coalesce(last_gap, F.lit(-1)) + 1).otherwise(-1))
     rank = F.row_number().over(Window.partitionBy(*keys, "start").orderBy("cov", along))
     moved = F.when(F.col("active"), F.col("start") + rank - 1).otherwise(F.col(along))
     return runs.withColumn("to", moved.cast("int")).drop(along).withColumnRenamed("to", along).select(
         "image_id", "w", "h", "plate", "x", "y", "cov")
 
 
+def bitmap_sort(cov: DataFrame, amount: float, vertical: bool = False) -> DataFrame:
+    """Sort every run above the ink floor on drawn lines, ascending.
+
+    Pixels are dealt out by line; a line is tested once for being drawn. A run covers consecutive positions, so a pixel of rank
+    k in its run moves to the k-th position after the run's start: windows over the line, without a further exchange. No
+    group exceeds one image side.
+    """
+    return _sorted_runs(_by_line(cov, _axes(vertical)[1]), amount, vertical) if amount > 0 else cov
+
+
 def _inset(axis: str, factors: tuple[int, int], reach: int) -> Column:
     return scramble32(F.col(axis) * factors[0] + factors[1]) % F.lit(reach + 1)
 
 
-def frayed_edges(cov: DataFrame, x_amount: float, y_amount: float) -> DataFrame:
-    """Eat hashed insets into the edges of the content, row by row and column by column.
+def _power(pos: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), pos.bitwiseAND(F.lit(63)).cast("int"))
 
-    Whether a line has content is a window over that line. Only the content box (one row per plate, from
-    partial minima and maxima) is joined. The field is read twice, once for the box.
+
+def _bit(words: Column, pos: Column) -> Column:
+    """Whether a bitmap of 64-bit words has the bit; null where there is no bitmap."""
+    word = F.coalesce(F.get(words, F.shiftright(pos, 6)), F.lit(0).cast("bigint"))
+    return words.isNotNull() & (F.call_function("shiftright", word, pos.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+
+def _content_lines(lines: DataFrame, along: str, across: str, reach: int) -> DataFrame:
+    """One row per line that is within ``reach`` of the content: the content box of its plate, and as bitmaps which lines and which
+    positions of lines hold content. Sixty-four pixels become a word inside the exchange by line; only words are moved on.
     """
-    reach_x, reach_y = math.floor(max(0, x_amount) * 1.5), math.floor(max(0, y_amount) * 1.5)
-    if reach_x <= 0 and reach_y <= 0:
-        return cov
-    plate = ["image_id", "w", "h", "plate"]
     ink = F.col("cov") > INK_FLOOR
-    box = cov.where(ink).groupBy(*plate).agg(
-        F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("top"), F.max("y").alias("bottom"))
-    out, cut = cov, F.lit(False)
-    x, y = F.col("x"), F.col("y")
+    words = lines.groupBy(*FRAME, across, F.shiftright(along, 6).alias("word")).agg(
+        F.bit_or(F.when(ink, _power(F.col(along)))).alias("bits"), F.min(F.when(ink, F.col(along))).alias("low"),
+        F.max(F.when(ink, F.col(along))).alias("high")).where("bits IS NOT NULL")
+    both = F.array(F.struct(F.lit(along).alias("axis"), "word", "bits"),
+                   F.struct(F.lit(across).alias("axis"), F.shiftright(across, 6).alias("word"), _power(F.col(across)).alias("bits")))
+    merged = words.select(*FRAME, across, "low", "high", F.explode(both).alias("k")).groupBy(*FRAME, "k.axis", "k.word").agg(
+        F.bit_or("k.bits").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min(across).alias("first"), F.max(across).alias("last"))
+    held = lambda axis: F.collect_list(F.when(F.col("axis") == axis, F.struct("word", "bits")))
+    # The keys are taken as maxima: the null filters that a join adds would go down to the pixels as filters on grouping keys, and the two
+    # users of the exchange would no longer be alike.
+    box = merged.groupBy(*(F.col(c).alias(f"_{c}") for c in FRAME)).agg(*(F.max(c).alias(c) for c in FRAME), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min("first").alias("first"), F.max("last").alias("last"), held("x").alias("x_words"), held("y").alias("y_words"))
+
+    def dense(words: str) -> Column:
+        by_word = F.map_from_entries(words)
+        return F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys(by_word))),
+                           lambda i: F.coalesce(F.try_element_at(by_word, i), F.lit(0).cast("bigint")))
+
+    ends = {along: ("low", "high"), across: ("first", "last")}
+    plates = box.select(*FRAME, dense("x_words").alias("x_ink"), dense("y_words").alias("y_ink"),
+                        *(F.col(c).alias(n) for axis, names in (("x", ("left", "right")), ("y", ("top", "bottom")))
+                          for c, n in zip(ends[axis], names, strict=True)))
+    first, last = ("top", "bottom") if across == "y" else ("left", "right")
+    return plates.withColumn(across, F.explode(F.sequence(F.col(first) - reach, F.col(last) + reach)))
+
+
+def _frayed(cov: DataFrame, content: DataFrame, across: str, reach_x: int, reach_y: int) -> DataFrame:
+    x, y, cut = F.col("x"), F.col("y"), F.lit(False)
     if reach_x > 0:
-        out = out.withColumn("row_ink", F.max(ink).over(Window.partitionBy("image_id", "plate", "y")))
         a, b = _inset("y", FRAY_LEFT, reach_x), _inset("y", FRAY_RIGHT, reach_x)
         limit = max(10, reach_x * 2)
         near = (a > 0) & (a < limit) & (x >= F.col("left")) & (x < F.col("left") + a)
         far = (b > 0) & (b < limit) & (x >= F.col("right") - b) & (x <= F.col("right"))
-        cut = cut | (F.col("row_ink") & (near | far))
+        cut = cut | ((near | far) & _bit(F.col("y_ink"), y))
     if reach_y > 0:
-        out = out.withColumn("column_ink", F.max(ink).over(Window.partitionBy("image_id", "plate", "x")))
         a, b = _inset("x", FRAY_TOP, reach_y), _inset("x", FRAY_BOTTOM, reach_y)
         limit = max(10, reach_y * 2)
         near = (a > 0) & (a < limit) & (y >= F.col("top")) & (y < F.col("top") + a)
         far = (b > 0) & (b < limit) & (y >= F.col("bottom") - b) & (y <= F.col("bottom"))
-        cut = cut | (F.col("column_ink") & (near | far))
-    out = out.join(box, plate, "left")
+        cut = cut | ((near | far) & _bit(F.col("x_ink"), x))
+    out = cov.join(content.hint("merge"), [*FRAME, across], "left")
     return out.withColumn("cov", F.when(F.coalesce(cut, F.lit(False)), 0.0).otherwise(F.col("cov"))).select(*cov.columns)
 
 
-def glitch_chain(cov: DataFrame, fray_x: float = 0, fray_y: float = 0, cut: bool = False, **given) -> DataFrame:
+def _reach(amount: float) -> int:
+    return math.floor(max(0, amount) * 1.5)
+
+
+def frayed_edges(cov: DataFrame, x_amount: float, y_amount: float) -> DataFrame:
+    """Eat hashed insets into the edges of the content, row by row and column by column.
+
+    Pixels are dealt out by row once. The content box and the presence of rows and columns come from that exchange as bitmaps, 64 pixels
+    to a word, and return as one narrow row per line; pixels are neither moved nor computed a second time.
+    """
+    reach_x, reach_y = _reach(x_amount), _reach(y_amount)
+    if reach_x <= 0 and reach_y <= 0:
+        return cov
+    lines = _by_line(cov, "y")
+    return _frayed(lines, _content_lines(lines, "x", "y", reach_y), "y", reach_x, reach_y).select(*cov.columns)
+
+
+def glitch_chain(cov: DataFrame, fray_x: float = 0, fray_y: float = 0, **given) -> DataFrame:
     """All effects in their fixed order: field gather, line sort, fraying.
 
-    Fraying reads the field twice. With ``cut`` the field is checkpointed before it, so that on large corpora
-    the gather and the sort run once; this starts a job while the plan is built.
+    The gathered field is dealt out by line once, for the sort and for the content summary of fraying. Sorting a run leaves
+    the places above the ink floor as they are, so the summary is taken from the unsorted lines, and gather and sort run once.
     """
     s = settings(**given)
+    reach_x, reach_y = _reach(fray_x), _reach(fray_y)
     out = glitch_field(cov, **given)
-    out = bitmap_sort(out, s["bitmapSort"], s["bitmapSortVertical"])
-    if cut and (fray_x > 0 or fray_y > 0):
-        out = checkpoint(out)
-    return frayed_edges(out, fray_x, fray_y)
+    if s["bitmapSort"] <= 0 and reach_x <= 0 and reach_y <= 0:
+        return out
+    along, across, _ = _axes(s["bitmapSortVertical"] and s["bitmapSort"] > 0)
+    lines = _by_line(out, across)
+    done = _sorted_runs(lines, s["bitmapSort"], s["bitmapSortVertical"]) if s["bitmapSort"] > 0 else lines
+    if reach_x > 0 or reach_y > 0:
+        done = _frayed(done, _content_lines(lines, along, across, reach_y if across == "y" else reach_x), across, reach_x, reach_y)
+    return done

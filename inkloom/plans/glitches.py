@@ -139,28 +139,21 @@ def block_copy(spark, sf):
     return long(g.block_copy(parts_coverage(spark, sf), 0.5, 4))
 
 
-def drawn_lines() -> str:
-    """VALUES of the lines drawn at 0.6 on frames of 8 to 11 lines: the generator's shuffle, stated apart from the operator."""
-    rows = []
-    for n in range(8, 12):
-        for i, plate in enumerate(("cyan", "magenta", "yellow", "black")):
-            state, left = 99 + 17 * i, list(range(n))
-            for k in reversed(range(1, n)):
-                state = (1664525 * state + 1013904223) % 2**32
-                j = state * (k + 1) // 2**32
-                left[k], left[j] = left[j], left[k]
-            rows += [f"({n}, '{plate}', {line})" for line in left[:max(1, int(n * 0.6))]]
-    return ", ".join(rows)
+# The generator's shuffle: where each line of a frame with n lines ends up, one swap per level.
+WALK = """walk(n, i, line, k, state, place) AS (
+  SELECT n, i, CAST(unnest(range(n)) AS INT) AS line, n - 1, CAST(99 + 17 * i AS BIGINT), CAST(unnest(range(n)) AS BIGINT)
+  FROM (SELECT DISTINCT h AS n FROM heads), plates
+  UNION ALL SELECT n, i, line, k - 1, s, CASE place WHEN k THEN o WHEN o THEN k ELSE place END
+  FROM (SELECT *, (s * (k + 1)) >> 32 AS o FROM (SELECT *, (state * 1664525 + 1013904223) % 4294967296 AS s FROM walk WHERE k > 0)))"""
 
 
 def sort_sql(source: str, name: str = "sorted") -> str:
-    return f"""picks AS (SELECT * FROM (VALUES {drawn_lines()}) t(n, plate, line)),
-act AS (SELECT c.*, p.line IS NOT NULL AND cov > 0.1e0 AS active FROM {source} c LEFT JOIN picks p ON p.n = c.h AND p.plate = c.plate AND p.line = c.y),
+    return f"""{WALK},
+picks AS (SELECT n, i, line FROM walk WHERE k = 0 AND place < greatest(1, floor(n * 0.6e0))),
+act AS (SELECT c.*, p.line IS NOT NULL AND cov > 0.1e0 AS active FROM {source} c LEFT JOIN picks p ON p.n = c.h AND p.i = c.i AND p.line = c.y),
 isl AS (SELECT *, sum(CASE WHEN active THEN 0 ELSE 1 END) OVER (PARTITION BY image_id, plate, y ORDER BY x) AS g FROM act),
-pos AS (SELECT *, row_number() OVER (PARTITION BY image_id, plate, y, g ORDER BY x) AS rp,
-               row_number() OVER (PARTITION BY image_id, plate, y, g ORDER BY cov, x) AS rv FROM isl WHERE active),
-{name} AS (SELECT a.image_id, a.w, a.h, a.x, a.y, a.plate, a.i, b.cov FROM pos a JOIN pos b ON a.image_id = b.image_id AND a.plate = b.plate AND a.y = b.y AND a.g = b.g AND a.rp = b.rv
-  UNION ALL SELECT image_id, w, h, x, y, plate, i, cov FROM act WHERE NOT active)"""
+{name} AS (SELECT image_id, w, h, plate, i, y, cov, CASE WHEN active THEN CAST(min(x) OVER run + row_number() OVER (run ORDER BY cov, x) - 1 AS INT) ELSE x END AS x
+  FROM isl WINDOW run AS (PARTITION BY image_id, plate, y, g, active))"""
 
 
 def fray_sql(source: str, name: str = "frayed") -> str:

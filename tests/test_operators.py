@@ -1,6 +1,7 @@
 """Operators against brute force on small fields, and invariants."""
 
 import math
+import random
 
 import pytest
 from grids import as_grids
@@ -323,10 +324,78 @@ def test_plate_stats_totals(field):
     assert rows["cyan", "a"].mean_cov == pytest.approx(sum(map(sum, grids["a", "cyan"])) / 117, abs=1e-6)
 
 
-def test_cut_chain_equals_lazy_chain(field):
+def sorted_and_frayed(grid, plate, amount, vertical, fray_x, fray_y):
+    """The line sort and fraying of one plate by nested loops."""
+    h, w = len(grid), len(grid[0])
+    wrap = lambda v: ((v ^ 0x9E3779B9) & 0xFFFFFFFF) * 2654435761 & 0xFFFFFFFF
+    n, m = (w, h) if vertical else (h, w)
+    state, order = 99 + 17 * PLATES.index(plate), list(range(n))
+    for last in range(n - 1, 0, -1):
+        state = (state * 1664525 + 1013904223) % 2**32
+        other = state * (last + 1) >> 32
+        order[last], order[other] = order[other], order[last]
+    spot = (lambda k, p: (p, k)) if vertical else (lambda k, p: (k, p))
+    out = [row[:] for row in grid]
+    for k in order[:max(1, math.floor(n * amount))] if amount else []:
+        p = 0
+        while p < m:
+            q = p
+            while q < m and out[spot(k, q)[0]][spot(k, q)[1]] > 0.1:
+                q += 1
+            values = sorted(out[spot(k, r)[0]][spot(k, r)[1]] for r in range(p, q))
+            for r, v in zip(range(p, q), values, strict=True):
+                out[spot(k, r)[0]][spot(k, r)[1]] = v
+            p = max(q, p + 1)
+    ink = [(x, y) for y in range(h) for x in range(w) if out[y][x] > 0.1]
+    rx, ry = math.floor(fray_x * 1.5), math.floor(fray_y * 1.5)
+    if not ink:
+        return {(x, y): out[y][x] for y in range(h) for x in range(w)}
+    xs, ys = {x for x, _ in ink}, {y for _, y in ink}
+    done = {}
+    for y in range(h):
+        for x in range(w):
+            inset = lambda v, f, c, r: wrap(v * f + c) % (r + 1)
+            a, b, c, d = inset(y, 17, 701, rx), inset(y, 31, 907, rx), inset(x, 17, 1301, ry), inset(x, 31, 1709, ry)
+            gone = y in ys and (0 < a < max(10, 2 * rx) and min(xs) <= x < min(xs) + a or 0 < b < max(10, 2 * rx) and max(xs) - b <= x <= max(xs))
+            gone |= x in xs and (0 < c < max(10, 2 * ry) and min(ys) <= y < min(ys) + c or 0 < d < max(10, 2 * ry) and max(ys) - d <= y <= max(ys))
+            done[x, y] = 0.0 if gone else out[y][x]
+    return done
+
+
+@pytest.mark.parametrize("amount,vertical,fray_x,fray_y", [(0.6, False, 2, 3), (0.6, True, 2, 3), (1.0, True, 0, 4), (0, False, 3, 0), (0.3, False, 0, 0)])
+def test_sorted_and_frayed_lines_equal_loops(field, amount, vertical, fray_x, fray_y):
+    df, grids = field
+    got = as_grids(glitch.glitch_chain(df, fray_x, fray_y, bitmapSort=amount, bitmapSortVertical=vertical))
+    assert got == {k: sorted_and_frayed(g, k[1], amount, vertical, fray_x, fray_y) for k, g in grids.items()}
+
+
+def test_fraying_over_word_borders(spark):
+    rng = random.Random(5)
+    grid = [[rng.choice([0.0, 0.0, 0.05, 0.9]) * (60 < x < 190 and 3 < y < 130) for x in range(200)] for y in range(140)]
+    df = spark.createDataFrame([("a", 200, 140, "black", x, y, grid[y][x]) for y in range(140) for x in range(200)],
+                               "image_id string, w int, h int, plate string, x int, y int, cov double")
+    assert as_grids(glitch.frayed_edges(df, 6, 5))["a", "black"] == sorted_and_frayed(grid, "black", 0, False, 6, 5)
+    assert as_grids(glitch.glitch_chain(df, 6, 5, bitmapSort=0.5, bitmapSortVertical=True))["a", "black"] == sorted_and_frayed(
+        grid, "black", 0.5, True, 6, 5)
+    spot = [[0.05 + 0.9 * ((x, y) == (4, 5)) for x in range(12)] for y in range(13)]
+    small = spark.createDataFrame([("a", 12, 13, "black", x, y, spot[y][x]) for y in range(13) for x in range(12)], df.schema)
+    for vertical in (False, True):  # insets reach over the far side of a small box
+        assert as_grids(glitch.glitch_chain(small, 4, 4, bitmapSort=0.5, bitmapSortVertical=vertical))["a", "black"] == sorted_and_frayed(
+            spot, "black", 0.5, vertical, 4, 4)
+    blank = df.withColumn("cov", F.lit(0.0))
+    assert set(as_grids(glitch.frayed_edges(blank, 6, 5))["a", "black"].values()) == {0.0}
+
+
+def test_chain_computes_its_input_once_and_without_python(spark, field, tmp_path):
     df, _ = field
-    given = dict(fray_x=2, fray_y=3, sliceShift=2, blockShift=0.3, bitmapSort=0.6)
-    assert as_grids(glitch.glitch_chain(df, cut=True, **given)) == as_grids(glitch.glitch_chain(df, **given))
+    df.write.parquet(f"{tmp_path}/cov")
+    out = glitch.glitch_chain(spark.read.parquet(f"{tmp_path}/cov"), 2, 3, sliceShift=2, gridWarp=2.0, warpScale=3, bitmapSort=0.6)
+    out = out.select("image_id", "plate", "x", "y", "cov")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 2  # targets and source of the one gather
+    assert plan.count("ReusedExchange") == 1 and plan.count("SortMergeJoin") == 2  # the gather, and the narrow line table
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_checkpoint_uses_the_configured_folder(spark, field):
