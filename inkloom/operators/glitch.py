@@ -312,11 +312,11 @@ def _sorted_runs(lines: DataFrame, amount: float, vertical: bool) -> DataFrame:
     keys = [*FRAME, across]
     line = Window.partitionBy(*keys).orderBy(along)
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    once = lines.withColumn("first", F.lag(along).over(line).isNull())
+    ink = F.col("cov") > INK_FLOOR
+    once = lines.withColumns({"first": F.lag(along).over(line).isNull(), "gap": F.max(F.when(~ink, F.col(along))).over(upto)})
     once = once.withColumn("lead", F.when(F.col("first"), drawn(F.col(side), plate_index("plate"), F.col(across), amount)))
-    marked = once.withColumn("active", F.first("lead").over(upto) & (F.col("cov") > INK_FLOOR))
-    last_gap = F.max(F.when(~F.col("active"), F.col(along))).over(upto)
-    runs = marked.withColumn("start", F.when(F.col("active"), F.coalesce(last_gap, F.lit(-1)) + 1).otherwise(-1))
+    marked = once.withColumn("active", F.first("lead").over(upto) & ink)
+    runs = marked.withColumn("start", F.when(F.col("active"), F.coalesce("gap", F.lit(-1)) + 1).otherwise(-1))
     rank = F.row_number().over(Window.partitionBy(*keys, "start").orderBy("cov", along))
     moved = F.when(F.col("active"), F.col("start") + rank - 1).otherwise(F.col(along))
     return runs.withColumn("to", moved.cast("int")).drop(along).withColumnRenamed("to", along).select(

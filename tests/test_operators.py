@@ -7,6 +7,7 @@ import pytest
 from grids import as_grids
 from pyspark.sql import functions as F
 
+from inkloom.functions import wavefront
 from inkloom.functions.fixed_values import DIFFUSION_KERNELS, PLATES
 from inkloom.operators import blocks, compose, dither, geometry, glitch, paths, screen, separate
 from inkloom.session import checkpoint
@@ -115,6 +116,26 @@ def test_glitch_diffusion_equals_pixel_loop(field):
     same(as_grids(dither.glitch_diffusion(df, broken=0.6, bias=0.5, bias_angle=60, overflow=0.3, reset=0.9)), want)
 
 
+@pytest.mark.parametrize("algorithm", sorted(DIFFUSION_KERNELS))
+def test_diagonals_equal_the_serial_scan_to_the_last_bit(monkeypatch, algorithm):
+    import numpy as np
+
+    rng = np.random.default_rng(len(algorithm))
+    offsets, div = DIFFUSION_KERNELS[algorithm]
+    kernel = [(a, b, c / div) for a, b, c in offsets]
+    for w, h, n, band in ((9, 7, 3, 1), (1, 5, 2, 60), (17, 23, 2, 200), (6, 1, 1, 1000)):
+        monkeypatch.setattr(wavefront, "BAND", band)
+        plates = rng.random((n, h, w)).astype(np.float32).astype(float)
+        wiped = {y for y in range(h) if y % 4 == 2}
+        want = [diffuse_desktop(p.tolist(), kernel, 5, 0.9, 0.4, wiped) for p in plates]
+        rows, before, out = wavefront.band_rows(w, h, n), np.zeros((2, n, w)), []
+        for y in range(0, h, rows):
+            flags = np.array([v in wiped for v in range(y, min(h, y + rows))])
+            tones, before = wavefront.diffuse_band(plates[:, y:y + rows].transpose(1, 0, 2), before, kernel, 5, 0.9, 0.4, flags)
+            out.append(np.clip(tones, 0, 1))
+        assert np.concatenate(out).transpose(1, 0, 2).tolist() == want
+
+
 def test_noise_in_tasks_equals_noise_in_columns(spark):
     from inkloom.functions.mixing import noise_at, unit_noise
 
