@@ -23,28 +23,31 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 _PAIRS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of a task, added up as far as memory allows; a null term says that the group occurs."""
-    found: dict[tuple, tuple[Counter, Counter]] = {}
-
-    def passed_on() -> pa.RecordBatch:
-        rows = [(lang, source, None, 0, 0) for lang, source in found]
-        rows += [(lang, source, t.decode(), k, docs[t]) for (lang, source), (n, docs) in found.items() for t, k in n.items()]
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string() if c < 3 else pa.int64()) for c in range(5)],
-                                          names=["lang", "source", "term", "n", "docs"])
-
+def _counted(most: int):
+    """(lang, source, term, n, docs) of a task, added up until it holds ``most``; a null term says that the group occurs."""
     lower = LOWER.tobytes()
-    for batch in slices(batches, 2):
-        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            n, docs = found.setdefault((lang, source), (Counter(), Counter()))
-            own = Counter(TERM.findall(text.encode().translate(lower)))
-            n.update(own)
-            docs.update(own.keys())
-        if sum(len(n) for n, _ in found.values()) > HELD:
-            yield passed_on()
-    if found:
-        yield passed_on()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, tuple[Counter, Counter]] = {}
+        for batch in slices(batches, 2):
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                n, docs = found.setdefault((lang, source), (Counter(), Counter()))
+                own = Counter(TERM.findall(text.encode().translate(lower)))
+                n.update(own)
+                docs.update(own.keys())
+            if sum(len(n) for n, _ in found.values()) > most:
+                yield _counts(found)
+                found = {}
+        if found:
+            yield _counts(found)
+    return run
+
+
+def _counts(found: dict[tuple, tuple[Counter, Counter]]) -> pa.RecordBatch:
+    rows = [(lang, source, None, 0, 0) for lang, source in found]
+    rows += [(lang, source, t.decode(), k, docs[t]) for (lang, source), (n, docs) in found.items() for t, k in n.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string() if c < 3 else pa.int64()) for c in range(5)],
+                                      names=["lang", "source", "term", "n", "docs"])
 
 
 def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -52,7 +55,8 @@ def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def accumulated(source: np.ndarray, term: np.ndarray, p: np.ndarray, zero: np.ndarray, n_terms: int) -> Iterator[tuple[int, np.ndarray]]:
+def accumulated(source: np.ndarray, term: np.ndarray, p: np.ndarray, zero: np.ndarray, n_terms: int,
+                chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray]]:
     """For each source in turn, the sums over the block's terms of ``apart`` to every source.
 
     A term that neither has costs the distance of the two zero baselines. The own terms replace the own baseline and the peer's
@@ -74,8 +78,8 @@ def accumulated(source: np.ndarray, term: np.ndarray, p: np.ndarray, zero: np.nd
         length = start[term[own] + 1] - start[term[own]]
         ends = np.cumsum(length)
         at = 0
-        while at < len(own):  # the postings of some terms, about CHUNK at a time
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
+        while at < len(own):  # the postings of some terms, about ``chunk`` at a time
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, side="right")))
             n = length[at:to]
             flat = np.repeat(start[term[own[at:to]]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             h, q, mine = peer[flat], share[flat], np.repeat(p[own[at:to]], n)
@@ -84,23 +88,25 @@ def accumulated(source: np.ndarray, term: np.ndarray, p: np.ndarray, zero: np.nd
         yield g, total
 
 
-def _block(table: pa.Table) -> pa.Table:
+def _block(chunk: int):
     """Partial sums of all ordered pairs of sources of a language over one block of terms."""
-    heads = table.filter(pa.compute.is_null(table.column("term")))
-    names = heads.column("source").to_pylist()
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    names, zero = [names[i] for i in order], heads.column("p").to_numpy()[order]
-    posts = table.filter(pa.compute.is_valid(table.column("term")))
-    place = pa.compute.index_in(posts.column("source"), value_set=pa.array(names, pa.string()))
-    coded = posts.column("term").combine_chunks().dictionary_encode()
-    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    lang, out = table.column("lang")[0].as_py(), []
-    for g, total in accumulated(place.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64),
-                                posts.column("p").to_numpy(), zero, len(coded.dictionary)):
-        others = [i for i in range(len(names)) if i != g]
-        out.append(pa.table([pa.array([lang] * len(others), pa.string()), pa.array([names[g]] * len(others), pa.string()),
-                             pa.array([names[i] for i in others], pa.string()), pa.array(total[others], pa.int64())], schema=_PAIRS))
-    return pa.concat_tables(out)
+    def run(table: pa.Table) -> pa.Table:
+        heads = table.filter(pa.compute.is_null(table.column("term")))
+        names = heads.column("source").to_pylist()
+        order = sorted(range(len(names)), key=lambda i: names[i])
+        names, zero = [names[i] for i in order], heads.column("p").to_numpy()[order]
+        posts = table.filter(pa.compute.is_valid(table.column("term")))
+        place = pa.compute.index_in(posts.column("source"), value_set=pa.array(names, pa.string()))
+        coded = posts.column("term").combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        lang, out = table.column("lang")[0].as_py(), []
+        for g, total in accumulated(place.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64),
+                                    posts.column("p").to_numpy(), zero, len(coded.dictionary), chunk):
+            others = [i for i in range(len(names)) if i != g]
+            out.append(pa.table([pa.array([lang] * len(others), pa.string()), pa.array([names[g]] * len(others), pa.string()),
+                                 pa.array([names[i] for i in others], pa.string()), pa.array(total[others], pa.int64())], schema=_PAIRS))
+        return pa.concat_tables(out)
+    return run
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -131,7 +137,7 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     source = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    counts = written(source.mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    counts = written(source.mapInArrow(_counted(HELD), "lang string, source string, term string, n bigint, docs bigint")
                      .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
     kept = written(counts.where("term IS NOT NULL").groupBy("lang", "term")
                    .agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole"), F.count("*").alias("postings"))
@@ -153,7 +159,7 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
                           _share(F.lit(0), F.col("total"), F.col("terms")).alias("p"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = (shared.drop("q").unionByName(heads).repartition(tasks, "lang", "block").groupBy("lang", "block")
-             .applyInArrow(_block, "lang string, source string, item string, value bigint")
+             .applyInArrow(_block(CHUNK), "lang string, source string, item string, value bigint")
              .groupBy("lang", "source", "item").agg(F.sum("value").alias("value")))
     value = F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("p") + F.col("q"))
     terms = shared.where("p > q").select("lang", "source", F.col("term").alias("item"), value.alias("value"))

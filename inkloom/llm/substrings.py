@@ -68,18 +68,18 @@ def _digest(*parts: bytes) -> tuple[int, int]:
     return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
 
 
-def _stretches(length: int, k: int):
+def _stretches(length: int, k: int, piece: int):
     """(k-gram hash, digest of the stretch's bytes, text, first start, shape) of all starts of a text; shape is starts * 2^16 + the place of the k-gram."""
     def pieces(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        if len(raw) <= PIECE:
+        if len(raw) <= piece:
             yield 0, raw, bounds
             return
-        for at in range(0, len(raw) - length + 1, PIECE - length + 1):  # one long text: every start is in one piece
-            own = raw[at:at + PIECE]
+        for at in range(0, len(raw) - length + 1, piece - length + 1):  # one long text: every start is in one piece
+            own = raw[at:at + piece]
             yield at, own, np.array([0, len(own)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, PIECE):
+        for batch in slices(batches, 2, piece):
             whole, bounds = text_bytes(batch.column(2))
             for at, raw, own in pieces(whole, bounds):
                 first, count, place, hashes = _sampled(raw, own, length, k)
@@ -95,10 +95,10 @@ def _stretches(length: int, k: int):
     return run
 
 
-def _bodies(length: int):
+def _bodies(length: int, size: int):
     """The stretches that a text represents, with their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, BUCKET):
+        for batch in slices(batches, 0, size):
             raw, bounds = text_bytes(batch.column(0))
             raw, out = raw.tobytes(), []
             for i, wanted in enumerate(batch.column(1).to_pylist()):
@@ -254,7 +254,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digest = F.sha2(text.cast("binary"), 256)
     half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint")
     source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), half(1).alias("n1"), half(16).alias("n2"))
-    rows = written(source.select("n1", "n2", "text").mapInArrow(_stretches(length, k), STRETCH), "stretches")
+    rows = written(source.select("n1", "n2", "text").mapInArrow(_stretches(length, k, PIECE), STRETCH), "stretches")
     # All columns are fixed-size, so one hash aggregation takes them from the same row.
     classes = written(rows.groupBy("d1", "d2").agg(*(F.first(c).alias(c) for c in ("key", "n1", "n2", "start", "shape")),
                                                    F.count("*").alias("n")), "classes")
@@ -264,7 +264,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stretch = F.struct(F.when(small, _bucket(size)).otherwise(-1).alias("bucket"), "key", "d1", "d2", "n", "start", "shape")
     per_text = wanted.groupBy("n1", "n2").agg(F.collect_list(stretch).alias("wanted"))
     texts = source.groupBy("n1", "n2").agg(F.first("text").alias("text"))
-    bodies = texts.join(per_text, ["n1", "n2"]).select("text", "wanted").mapInArrow(_bodies(length), SUFFIXES)
+    bodies = texts.join(per_text, ["n1", "n2"]).select("text", "wanted").mapInArrow(_bodies(length, BUCKET), SUFFIXES)
     if wanted.where(~small).take(1):
         bodies = written(bodies, "bodies")
         hot = bodies.where("bucket < 0").select("key", "d1", "d2", "n", "shape", "body", F.lit(0).alias("lo"), F.lit(length - k).alias("hi"))
