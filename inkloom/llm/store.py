@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one run in a folder of its own. A table is dropped once what was made from it is written, and with it the
+    shuffle files of the jobs behind it: Spark removes them when nothing refers to their plans any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, new_path(spark, name)
+
+    def written(self, df: DataFrame, name: str, *done: str) -> DataFrame:
+        """The same rows, read back from a table; the tables named in ``done`` are dropped afterwards."""
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        schema = df.schema
+        del df
+        for other in done:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{other}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 0, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the string column of a slice holds about ``limit`` bytes, or one longer text."""
     for batch in batches:
