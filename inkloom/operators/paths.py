@@ -98,42 +98,73 @@ def _segments(points: DataFrame, chunk: int) -> DataFrame:
         F.col("tangent").alias("a1"), "a2")
 
 
+FANOUT_BITS = 6  # a box of the tree holds at most 64 boxes
+
+
+def _box(segs: Column) -> list[Column]:
+    side = lambda pick, of, c: pick(F.transform(segs, lambda s: of(s[f"{c}1"], s[f"{c}2"])))
+    return [side(F.array_min, F.least, "x").alias("bx0"), side(F.array_max, F.greatest, "x").alias("bx1"),
+            side(F.array_min, F.least, "y").alias("by0"), side(F.array_max, F.greatest, "y").alias("by1")]
+
+
+def _box_tree(boxes: DataFrame, levels: int) -> list[DataFrame]:
+    """Boxes (path_id, node, bx0, bx1, by0, by1) of chunks -> for each level from the bottom the nodes with their at most 64 children."""
+    tree = []
+    for _ in range(levels):
+        above = boxes.groupBy("path_id", F.shiftright("node", FANOUT_BITS).alias("node")).agg(
+            F.collect_list(F.struct("node", "bx0", "bx1", "by0", "by1")).alias("kids"), F.min("bx0").alias("bx0"),
+            F.max("bx1").alias("bx1"), F.min("by0").alias("by0"), F.max("by1").alias("by1"))
+        tree.append(above.select("path_id", "node", "kids"))
+        boxes = above.drop("kids")
+    return tree
+
+
+def tree_levels(points: DataFrame, chunk: int) -> int:
+    """Levels that bring the chunks of the longest path under one box; one number is read from the table."""
+    last = points.agg(F.max("seq")).first()[0] or 0
+    levels = 1
+    while (last // chunk) >> (FANOUT_BITS * levels):
+        levels += 1
+    return levels
+
+
 def nearest_path_angle(targets: DataFrame, points: DataFrame, base_angle=0.0, influence: float = 1.0,
-                       chunk: int = 256) -> DataFrame:
+                       chunk: int = 256, levels: int | None = None) -> DataFrame:
     """Angle at each target (path_id, point_id, x, y) taken from the nearest segment of its path.
 
-    No pairs of targets and segments are emitted. Segments are packed into arrays of ``chunk`` consecutive
-    ones with a bounding box; each target compares its distance bounds to the boxes of its path, keeps only
-    the chunks that can contain the nearest segment, and searches those arrays in place. The first of equally
-    near segments wins. Exact for any path length.
+    No pairs of targets and segments are emitted. Segments are packed into arrays of ``chunk`` consecutive ones under a tree of
+    bounding boxes with at most 64 children each. A target goes down the tree by one narrow join per level: of a box's children it
+    keeps those that are not farther than the farthest point of the best child seen so far; in the chunks that are left the arrays are
+    searched in place. So no row holds more than 64 boxes or one chunk, however long a path is. The first of equally
+    near segments wins. Exact for any path length. ``levels`` of the tree are counted from the longest path unless given.
     """
-    seg = _segments(points, chunk)
+    levels = levels or tree_levels(points, chunk)
     fields = ["seq", "x1", "y1", "x2", "y2", "a1", "a2"]
-    packed = seg.groupBy("path_id", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("segs"),
-        F.min(F.least("x1", "x2")).alias("bx0"), F.max(F.greatest("x1", "x2")).alias("bx1"),
-        F.min(F.least("y1", "y2")).alias("by0"), F.max(F.greatest("y1", "y2")).alias("by1"))
+    # Boxes are taken from the packed arrays, and null keys, which meet nothing, are left out here: so all uses of the chunks share one exchange.
+    packed = (_segments(points, chunk).where("path_id IS NOT NULL AND chunk IS NOT NULL").groupBy("path_id", "chunk")
+              .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("segs")))
     real = lambda s: ((s["x2"] - s["x1"]) * (s["x2"] - s["x1"]) + (s["y2"] - s["y1"]) * (s["y2"] - s["y1"])) >= 0.001
-    index = packed.groupBy("path_id").agg(
-        F.collect_list(F.when(F.size(F.filter("segs", real)) > 0,
-                              F.struct("chunk", "bx0", "bx1", "by0", "by1"))).alias("boxes"),
-        F.min_by(F.get("segs", F.lit(0)), "chunk").alias("head"),
-        F.max_by(F.get("segs", F.size("segs") - 1), "chunk").alias("tail"))
+    boxes = packed.where(F.exists("segs", real)).select("path_id", F.col("chunk").alias("node"), *_box(F.col("segs")))
+    ends = packed.groupBy("path_id").agg(F.min_by(F.get("segs", F.lit(0)), "chunk").alias("head"),
+                                         F.max_by(F.get("segs", F.size("segs") - 1), "chunk").alias("tail"))
     x, y = F.col("x"), F.col("y")
 
-    def far(b, pick):
-        gap_x = pick(b["bx0"] - x, x - b["bx1"]) if pick is F.greatest else F.greatest(F.abs(x - b["bx0"]), F.abs(x - b["bx1"]))
-        gap_y = pick(b["by0"] - y, y - b["by1"]) if pick is F.greatest else F.greatest(F.abs(y - b["by0"]), F.abs(y - b["by1"]))
-        gap_x, gap_y = F.greatest(gap_x, F.lit(0.0)), F.greatest(gap_y, F.lit(0.0))
+    def least_to(b):
+        gap_x, gap_y = F.greatest(b["bx0"] - x, x - b["bx1"], F.lit(0.0)), F.greatest(b["by0"] - y, y - b["by1"], F.lit(0.0))
+        return gap_x * gap_x + gap_y * gap_y
+
+    def most_to(b):
+        gap_x, gap_y = F.greatest(F.abs(x - b["bx0"]), F.abs(x - b["bx1"])), F.greatest(F.abs(y - b["by0"]), F.abs(y - b["by1"]))
         return gap_x * gap_x + gap_y * gap_y
 
-    bounded = targets.join(index, "path_id", "left").withColumn(
-        "reach", F.array_min(F.transform("boxes", lambda b: far(b, None))))
-    # The small slack keeps chunks whose bound ties with the best one up to rounding.
-    chosen = F.transform(F.filter("boxes", lambda b: far(b, F.greatest) <= F.col("reach") * (1 + 1e-9) + 1e-9),
-                         lambda b: b["chunk"])
-    asked = bounded.withColumn("chunk", F.explode_outer(chosen)).drop("boxes", "reach")
-    got = asked.join(packed.select("path_id", "chunk", "segs"), ["path_id", "chunk"], "left")
+    asked = targets.withColumns({"node": F.lit(0).cast(boxes.schema["node"].dataType), "reach": F.lit(float("inf"))})
+    for nodes in reversed(_box_tree(boxes, levels)):
+        met = asked.join(nodes, ["path_id", "node"], "left").withColumn(
+            "reach", F.least("reach", F.array_min(F.transform("kids", most_to))))
+        # The small slack keeps boxes whose bound ties with the best one up to rounding.
+        kept = F.filter("kids", lambda b: least_to(b) <= F.col("reach") * (1 + 1e-9) + 1e-9)
+        asked = met.withColumn("node", F.explode_outer(F.transform(kept, lambda b: b["node"]))).drop("kids")
+    got = asked.drop("reach").withColumnRenamed("node", "chunk").join(packed, ["path_id", "chunk"], "left")
 
     def hit(s):
         dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
@@ -143,8 +174,7 @@ def nearest_path_angle(targets: DataFrame, points: DataFrame, base_angle=0.0, in
                         s["a1"].alias("a1"), s["a2"].alias("a2"))
 
     best = F.array_min(F.transform(F.filter("segs", real), hit))
-    near = got.withColumn("best", best).groupBy("path_id", "point_id", "x", "y").agg(
-        F.min("best").alias("best"), F.first("head").alias("head"), F.first("tail").alias("tail"))
+    near = got.withColumn("best", best).groupBy("path_id", "point_id", "x", "y").agg(F.min("best").alias("best")).join(ends, "path_id", "left")
     a1, a2, t = F.coalesce("best.a1", "head.a1"), F.coalesce("best.a2", "head.a2"), F.coalesce("best.t", F.lit(0.0))
     turned = F.when(a2 - a1 > 180, a2 - 360).when(a2 - a1 < -180, a2 + 360).otherwise(a2)
     angle = a1 + t * (turned - a1)

@@ -325,12 +325,33 @@ def test_long_path_chunks_do_not_matter(spark):
     targets = spark.createDataFrame([("p", i, 13.0 * i - 60, 31.0 * (i % 20)) for i in range(40)] + [("q", 0, 1.0, 1.0), ("z", 0, 1.0, 1.0)],
                                     "path_id string, point_id int, x double, y double")
     small = key(paths.nearest_path_angle(targets, df, 20.0, 0.5, chunk=5))
+    assert small == key(paths.nearest_path_angle(targets, df, 20.0, 0.5, chunk=1, levels=3))
     assert small == key(paths.nearest_path_angle(targets, df, 20.0, 0.5, chunk=1000))
     assert len(small) == 42
     tang = {(r.path_id, r.seq): r.tangent for r in paths.path_tangents(df).collect()}
     assert all(tang["q", i] == 0 for i in range(6))
 
 
+def test_nearest_segment_of_a_path_of_a_million_points(spark):
+    import numpy as np
+
+    n = 1_000_000
+    points = spark.range(n, numPartitions=8).selectExpr(
+        "'p' AS path_id", "CAST(id AS INT) AS seq", "(id % 1000 + 0.25D) * IF((id div 1000) % 2 = 0, 1, -1) AS px", "CAST(id div 1000 AS DOUBLE) * 3 AS py")
+    spots = [("p", i, 37.0 * i - 900, 61.0 * i) for i in range(50)] + [("p", 50, 5e5, -7.0), ("q", 0, 1.0, 1.0)]
+    targets = spark.createDataFrame(spots, "path_id string, point_id int, x double, y double")
+    got = {(r.path_id, r.point_id): r.nearest for r in paths.nearest_path_angle(targets, points).collect()}
+    seq = np.arange(n)
+    x, y = (seq % 1000 + 0.25) * np.where(seq // 1000 % 2 == 0, 1, -1), seq // 1000 * 3.0
+    x1, y1, dx, dy = x[:-1], y[:-1], np.diff(x), np.diff(y)
+    for p, i, tx, ty in spots[:-1]:
+        t = np.clip(((tx - x1) * dx + (ty - y1) * dy) / (dx * dx + dy * dy + 1e-10), 0, 1)
+        assert got[p, i] == int(np.argmin(np.hypot(tx - x1 - t * dx, ty - y1 - t * dy)))
+    assert got["q", 0] is None and paths.tree_levels(points, 256) == 2 and paths.tree_levels(points, 8) == 3
+    tree = paths._box_tree(points.selectExpr("path_id", "seq AS node", "px AS bx0", "px AS bx1", "py AS by0", "py AS by1"), 2)
+    assert tree[0].select(F.max(F.size("kids"))).first()[0] == 64 and tree[1].select(F.max(F.size("kids"))).first()[0] == 64
+
+
 def test_compose_and_paper(spark):
     cov = spark.createDataFrame([("i", 1, 1, "cyan", 0, 0, 1.0), ("i", 1, 1, "black", 0, 0, 0.5)],
                                 "image_id string, w int, h int, plate string, x int, y int, cov double")
