@@ -9,6 +9,7 @@ from ..functions.fixed_values import BLOCK_FILL, CHARSETS, PLATES, STRIP_PATTERN
 from ..functions.mixing import unit_noise
 from ..functions.numeric import as_col, clamp, floor_div, int_range, round_half_even, truncate
 from ..functions.plates import plate_index
+from . import tiles
 from .dither import gaussian_blur
 
 BLOCK = ["image_id", "w", "h", "bx", "by"]
@@ -252,13 +253,9 @@ CONTOUR_CASES = {
 def iso_contours(cov: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Marching squares: contour segments per cell of a dense raster.
 
-    The right neighbour comes from a window over the line, the lower ones from a window over the column; no
-    self-join, and groups are single lines.
+    The three neighbours of a pixel come from its tile, which holds a border of one pixel: one exchange, no self-join.
     """
-    along = Window.partitionBy("image_id", "plate", "y").orderBy("x")
-    down = Window.partitionBy("image_id", "plate", "x").orderBy("y")
-    cells = cov.select("image_id", "plate", "x", "y", F.col("cov").alias("tl")).withColumn("tr", F.lead("tl").over(along))
-    cells = cells.withColumns({"bl": F.lead("tl").over(down), "br": F.lead("tr").over(down)})
+    cells = tiles.tile_map(cov, 1, tiles.corners, ["tl", "tr", "bl", "br"])
     cells = cells.where(F.col("tr").isNotNull() & F.col("bl").isNotNull() & F.col("br").isNotNull())
     bits = sum((F.when(F.col(c) > threshold, bit).otherwise(0) for c, bit in (("tl", 1), ("tr", 2), ("br", 4), ("bl", 8))),
                F.lit(0))

@@ -183,23 +183,23 @@ def blur_sql(source: str, sigma: float, out: str) -> str:
             f"JOIN {out}_v b ON b.image_id = a.image_id AND b.plate = a.plate AND b.x = a.xx AND b.y = a.y GROUP BY ALL)")
 
 
-@register("gaussian_blur", with_(*GRAY, blur_sql("cov", 1.2, "soft"),
+@register("gaussian_blur", with_(COV, blur_sql("cov", 1.2, "soft"),
                                  "SELECT image_id, x, y, plate, round(cov, 6) AS cov FROM soft"))
 def gaussian_blur(spark, sf):
-    return long(d.gaussian_blur(parts_coverage(spark, sf, grayscale=True), 1.2))
+    return long(d.gaussian_blur(parts_coverage(spark, sf), 1.2))
 
 
-@register("unsharp_sharpen", with_(*GRAY, blur_sql("cov", 1.0, "soft"), """
+@register("unsharp_sharpen", with_(COV, blur_sql("cov", 1.0, "soft"), """
 SELECT c.image_id, c.x, c.y, c.plate, round(least(1e0, greatest(0e0, c.cov + (c.cov - s.cov) * 1.5e0)), 6) AS cov
 FROM cov c JOIN soft s USING (image_id, plate, x, y)"""))
 def unsharp_sharpen(spark, sf):
-    return long(d.unsharp_sharpen(parts_coverage(spark, sf, grayscale=True), 0.5, 1.0))
+    return long(d.unsharp_sharpen(parts_coverage(spark, sf), 0.5, 1.0))
 
 
-@register("add_noise", with_(*GRAY, f"""
+@register("add_noise", with_(COV, f"""
 SELECT image_id, x, y, plate, round(least(1e0, greatest(0e0, cov + sqrt(-2e0 * ln(1e0 - {unit_noise('x', 'y', '42')})) * cos({2 * math.pi!r}e0 * {unit_noise('x', 'y', '43')}) * {0.5 * 0.3!r}e0)), 6) AS cov FROM cov"""))
 def add_noise(spark, sf):
-    return long(d.add_noise(parts_coverage(spark, sf, grayscale=True), 0.5))
+    return long(d.add_noise(parts_coverage(spark, sf), 0.5))
 
 
 _CORNER = lambda dx, dy: unit_noise(f"(x // 8 + {dx})", f"(y // 8 + {dy})", "99")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import wavefront
 from inkloom.functions.fixed_values import DIFFUSION_KERNELS, PLATES
-from inkloom.operators import blocks, compose, dither, geometry, glitch, paths, screen, separate
+from inkloom.operators import blocks, compose, dither, geometry, glitch, paths, screen, separate, tiles
 from inkloom.session import checkpoint
 
 
@@ -232,9 +232,10 @@ def test_runs_expand_to_the_mask(field):
     assert not ends & {(r.image_id, r.plate, r.y, r.x0) for r in runs}
 
 
-@pytest.mark.parametrize("sigma", [0.7, 3.0])
-def test_blur_mirrors_borders(field, sigma):
+@pytest.mark.parametrize("sigma,tile", [(0.7, 256), (3.0, 256), (0.7, 4), (1.2, 3), (3.0, 1)])
+def test_blur_mirrors_borders(field, monkeypatch, sigma, tile):
     df, grids = field
+    monkeypatch.setattr(tiles, "TILE", tile)
     r = int(4 * sigma + 0.5)
     raw = [math.exp(-0.5 * k * k / sigma**2) for k in range(-r, r + 1)]
     wt = [v / sum(raw) for v in raw]
@@ -252,6 +253,23 @@ def test_blur_mirrors_borders(field, sigma):
     same(as_grids(dither.gaussian_blur(df, sigma)), want)
 
 
+def test_wide_blur_has_one_exchange_and_no_lag(field):
+    df, _ = field
+    out = dither.unsharp_sharpen(df, 0.5, 10.0)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    planned = out._jdf.queryExecution().executedPlan().toString()
+    assert planned.count("Exchange hashpartitioning") == 1 and "lag(" not in plan and "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("tile", [256, 4, 1])
+def test_contours_do_not_depend_on_tiles(field, monkeypatch, tile):
+    df, grids = field
+    monkeypatch.setattr(tiles, "TILE", tile)
+    got = {(r.image_id, r.plate, r.x, r.y) for r in blocks.iso_contours(df).collect()}
+    inside = lambda g, x, y: sum(g[y + j][x + i] > 0.5 for j in (0, 1) for i in (0, 1)) % 4 != 0
+    assert got == {(*k, x, y) for k, g in grids.items() for y in range(len(g) - 1) for x in range(len(g[0]) - 1) if inside(g, x, y)}
+
+
 def test_noise_moments(spark):
     flat = spark.range(200).select(F.lit("i").alias("image_id"), F.lit(200).alias("w"), F.lit(200).alias("h"),
                                    F.lit("black").alias("plate"), F.col("id").cast("int").alias("y"),
