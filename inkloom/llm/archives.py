@@ -212,7 +212,8 @@ def read_archives(index: DataFrame, folder: str, id_type: str = "bigint", with_p
     read alone. Sizes and digests of stored payloads are verified. ``id_type`` is bigint or string."""
     convert, kind = (int, pa.int64()) if id_type == "bigint" else (str, pa.string())
     frames = index.select("file").distinct().mapInArrow(_frames(folder), "file string, frame int, at bigint, size bigint")
-    return frames.repartition("file", "frame").mapInArrow(_records(folder, convert, kind, with_payload), RECORD.format(id_type))
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since pointers are tiny and would be folded into one task
+    return frames.repartition(tasks, "file", "frame").mapInArrow(_records(folder, convert, kind, with_payload), RECORD.format(id_type))
 
 
 def _fetch(folder: str):

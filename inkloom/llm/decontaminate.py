@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .store import schema_of, slices
+from .store import schema_of, slices, written
 from .words import ALNUM, batch_words, text_bytes, word_spans
 
 WINDOW = 13
@@ -135,7 +135,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     characters, A-Z lowered. No shuffle: each task indexes its own rows in slices of about 8 MB of text, a longer text
     in overlapping indexes of a million symbols, so memory does not grow with a document or a group of copies.
     The alphabet of an index is the vocabulary of the test items; other words can be in no window and end a segment.
-    Test items travel in blocks of at most about 16 MB of text, one pass over the corpus per block.
+    Test items travel in blocks of at most about 16 MB of text, one pass over the corpus per block; the result is
+    written between blocks, so driver and tasks hold the windows of one block.
 
     Null and empty texts have no words, no spans and no items. Empty item texts have no windows. Items with a null id
     mark spans but are not listed. Repeated rows are judged alike, repeated items count once. Further columns are
@@ -150,6 +151,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         own = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else tests
         phrases = phrases_of([(r["item"], r["text"]) for r in own.toLocalIterator()], window)
         out = out.mapInArrow(_scan(phrases, b == 0), schema)
+        if b < blocks - 1:  # so that no plan holds the windows of two blocks
+            out = written(out, "block")
     return out
 
 

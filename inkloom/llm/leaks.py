@@ -80,10 +80,11 @@ def secrets(versions: DataFrame, ledger: str, keys: tuple[str, ...] = ("doc_id",
     storage that outlives the run; blobs scanned before, under any path, are not scanned again. Spans are leftmost and
     non-overlapping per kind, in code points: assignments with a value of 6 or more characters, access keys of 20 or more, hex
     runs of 24 or more (these are the base) and heads of private keys. Null and empty contents share the blob of the empty
-    text and have no spans; repeated rows and null keys are kept. Columns besides keys and content are ignored; a key
-    may have any name but ``spans``, ``_blob`` and ``_content``.
+    text and have no spans; repeated rows and null keys are kept. Columns besides keys and content are ignored. Keys travel
+    packed, so they may have any name; one called ``spans`` comes back as ``key_spans``.
     """
-    paths = addressed(versions.select(*keys, F.col(text_col).alias("_content")), "_content").drop("_content")
+    packed_keys = F.struct(*(F.col(f"`{k}`").alias("key_spans" if k == "spans" else k) for k in keys)).alias("keys")
+    paths = addressed(versions.select(packed_keys, F.col(text_col).alias("_content")), "_content").drop("_content")
     done = scan_unseen(versions, ledger, text_col)
     wanted = F.array(*map(F.lit, _current()))
     rule_of = F.create_map(*(F.lit(x) for kind, rule in zip(RULES, _current(), strict=True) for x in (kind, rule)))
@@ -95,7 +96,7 @@ def secrets(versions: DataFrame, ledger: str, keys: tuple[str, ...] = ("doc_id",
     ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("at"), F.array_position(order, s["kind"]).alias("k"), s.alias("s")))
     found = written(found.withColumn("spans", F.transform(F.sort_array(ranked), lambda x: x["s"])), "findings")
     out = paths.join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    return out.select(*keys, F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return out.select("keys.*", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def redacted(found: DataFrame, text_col: str = "text") -> DataFrame:

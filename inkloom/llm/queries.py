@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archives, decontaminate, divergence, flatgraph, leaks, minmax, mixing, passages, pii, spans, substrings, tokens, toxicity, whitening
@@ -58,15 +58,17 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-def _digested(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+def _digested(found: DataFrame, kinds: tuple[str, ...], *more: Column) -> DataFrame:
     return found.select("doc_id", *(spans.count_kind("spans", k).alias(f"n_{k}") for k in kinds),
-                        spans.base_digest("spans").alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"))
+                        spans.base_digest("spans").alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"), *more)
 
 
 @_query
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses, card, phone and account numbers in all documents."""
-    return _digested(pii.personal_data(_table(spark, sf_dir, "documents")), pii.KINDS[:4])
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+    scored = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["score"].cast("string")))
+    return _digested(found, pii.KINDS[:4], F.array_join(scored, ",").alias("scores"))
 
 
 @_query

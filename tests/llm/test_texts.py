@@ -57,6 +57,9 @@ def test_long_runs_take_one_pass(text):
 def test_account_numbers_and_context():
     kinds = [s[0] for s in pii.find("iban GB82 WEST 1234 5698 7654 32 ok, GB83 WEST 1234 5698 7654 32")]
     assert kinds.count("iban") == 1
+    assert list(pii.accounts("IBAN GB82 WEST 1234 5698 7654 32 OK")) == [(5, 32)]
+    assert list(pii.accounts("GB82WEST12345698765432 IS AB12 GB82 WEST 1234 5698 7654 32 DE00 GB82WEST12345698765432x")) == [(0, 22), (31, 58)]
+    assert list(pii.accounts("AA00 " * 9000)) == []
     near, far = pii.find("call +1 (743) 555-3824")[0], pii.find("sample +1 (743) 555-3824")[0]
     assert near[3] > pii.PRIOR["phone"] > far[3]
 
@@ -85,6 +88,14 @@ def test_ledger_scans_each_blob_and_rule_once(spark, frame, monkeypatch):
     assert leaks.secrets(df.limit(0), new_path(spark, "ledger")).collect() == []
 
 
+def test_keys_of_any_name(frame, spark):
+    df = frame([(1, "x token: abcdef123"), (2, None)]).selectExpr("doc_id AS _blob", "lang AS _content", "source AS spans", "n_chars AS blob", "text")
+    out = leaks.secrets(df, new_path(spark, "ledger"), keys=("_blob", "_content", "spans", "blob"))
+    assert {(r["_blob"], r["_content"], r["key_spans"], r["blob"], len(r["spans"])) for r in out.collect()} == {(1, "en", "s", 18, 1), (2, "en", "s", 0, 0)}
+    clash = frame([(1, "mail a@b.co"), (2, None)]).selectExpr("*", "1 AS spans", "2 AS kind", "3 AS score")
+    assert sorted((r["doc_id"], len(r["spans"])) for r in pii.personal_data(clash).collect()) == [(1, 1), (2, 0)]
+
+
 def test_redaction(frame, spark):
     assert spans.redact("ab", []) == "ab"
     assert spans.redact("0123456789", [{"kind": "a", "start": 1, "stop": 5}, {"kind": "b", "start": 3, "stop": 7},
