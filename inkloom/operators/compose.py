@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import PLATES
@@ -33,13 +33,15 @@ def layers_on_base(layers: DataFrame, pixels: DataFrame) -> DataFrame:
     """Visible layer pixels scaled, faded by opacity and placed around the centre of the base frame.
 
     ``layers``: image_id, z, w, h, visible, scale_pct, opacity, offset_x, offset_y. The base frame is the
-    first visible layer. ``pixels``: image_id, z, x, y, r, g, b, a. Only the narrow layer table is joined.
+    first visible layer. ``pixels``: image_id, z, x, y, r, g, b, a. Only the narrow layer table is joined. ``place`` numbers the
+    visible layers of an image from the bottom, from 0.
     """
     shown = layers.where("visible")
     base = shown.groupBy("image_id").agg(F.min_by(F.struct("w", "h"), "z").alias("base"))
     scale = F.greatest(F.lit(0.01), F.col("scale_pct") / F.lit(100.0))
+    place = (F.row_number().over(Window.partitionBy("image_id").orderBy("z")) - 1).alias("place")
     heads = shown.join(base, "image_id").select(
-        "image_id", "z", "opacity", "offset_x", "offset_y", F.col("w").alias("lw"), F.col("h").alias("lh"),
+        "image_id", "z", place, "opacity", "offset_x", "offset_y", F.col("w").alias("lw"), F.col("h").alias("lh"),
         F.col("base.w").alias("w"), F.col("base.h").alias("h"),
         F.greatest(F.lit(1), truncate(F.col("w") * scale)).alias("tw"),
         F.greatest(F.lit(1), truncate(F.col("h") * scale)).alias("th"))
@@ -51,26 +53,40 @@ def layers_on_base(layers: DataFrame, pixels: DataFrame) -> DataFrame:
         "image_id", "w", "h",
         (F.col("kx") + F.floor((F.col("w") - F.col("tw")) / 2) + F.col("offset_x")).cast("int").alias("x"),
         (F.col("ky") + F.floor((F.col("h") - F.col("th")) / 2) + F.col("offset_y")).cast("int").alias("y"),
-        "z", "r", "g", "b", truncate(F.col("a") * F.col("opacity")).cast("int").alias("a"))
+        "z", "place", "r", "g", "b", truncate(F.col("a") * F.col("opacity")).cast("int").alias("a"))
     return out.where(F.col("x").between(0, F.col("w") - 1) & F.col("y").between(0, F.col("h") - 1))
 
 
-def flatten_layers(layers: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Ordered source-over of the layers at every pixel; the group is the stack of one pixel."""
-    px = layers_on_base(layers, pixels)
-    stack = F.sort_array(F.collect_list(F.struct("z", "r", "g", "b", "a")))
+SLOT_BITS = 2  # a step composites runs of four neighbouring layers
 
-    def over(under, top):
-        own = top["a"] / F.lit(255.0)
-        kept = under["a"] * (F.lit(1.0) - own)
-        alpha = own + kept
-        mix = lambda c: F.when(alpha > 0, (top[c] * own + under[c] * kept) / alpha).otherwise(0.0)
-        return F.struct(*[mix(c).alias(c) for c in "rgb"], alpha.alias("a"))
 
-    start = F.struct(*[F.lit(0.0).alias(c) for c in "rgba"])
-    flat = px.groupBy(*FRAME).agg(F.aggregate(stack, start, over).alias("s"))
-    return flat.select(*FRAME, *[F.round(F.col(f"s.{c}"), 6).alias(c) for c in "rgb"],
-                       F.round(F.col("s.a") * 255, 6).alias("a"))
+def _composited(px: DataFrame) -> DataFrame:
+    """One row per pixel and run of four neighbouring layers, source-over in premultiplied form; runs are numbered like layers."""
+    run, slot = F.shiftright("place", SLOT_BITS), F.col("place").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    slots = [[F.coalesce(F.max(F.when(slot == k, F.col(c))), F.lit(0.0)).alias(f"{c}{k}") for c in "rgba"] for k in range(1 << SLOT_BITS)]
+    wide = px.groupBy(*FRAME, run.alias("place")).agg(*[c for own in slots for c in own])
+    for k in range(1, 1 << SLOT_BITS):  # every layer over what lies under it, in place of the lowest
+        wide = wide.withColumns({f"{c}0": F.col(f"{c}{k}") + F.col(f"{c}0") * (F.lit(1.0) - F.col(f"a{k}")) for c in "rgba"})
+    return wide.select(*FRAME, "place", *[F.col(f"{c}0").alias(c) for c in "rgba"])
+
+
+def flatten_layers(layers: DataFrame, pixels: DataFrame, most: int | None = None) -> DataFrame:
+    """Ordered source-over of the layers at every pixel.
+
+    In premultiplied form source-over is associative, so runs of four neighbouring layers become one row, then runs of runs: plain
+    aggregates with a buffer of fixed size, in tasks before the exchange as well, and no list of layers at any pixel. ``most``
+    is the largest number of visible layers of an image; unless given, that number is read from the layer table. With more than four,
+    pixels are dealt out once and the further steps stay in their tasks.
+    """
+    most = most or layers.where("visible").groupBy("image_id").count().agg(F.max("count")).first()[0] or 1
+    px = layers_on_base(layers, pixels).withColumn("a", F.col("a") / F.lit(255.0)).withColumns({c: F.col(c) * F.col("a") for c in "rgb"})
+    steps = max(1, -(-(most - 1).bit_length() // SLOT_BITS))
+    if steps > 1:
+        px = px.repartition(*FRAME)
+    for _ in range(steps):
+        px = _composited(px)
+    value = lambda c: F.when(F.col("a") > 0, F.col(c) / F.col("a")).otherwise(0.0)
+    return px.select(*FRAME, *[F.round(value(c), 6).alias(c) for c in "rgb"], F.round(F.col("a") * 255, 6).alias("a"))
 
 
 def merge_layer_plates(layer_cov: DataFrame) -> DataFrame:

@@ -370,6 +370,36 @@ def test_nearest_segment_of_a_path_of_a_million_points(spark):
     assert tree[0].select(F.max(F.size("kids"))).first()[0] == 64 and tree[1].select(F.max(F.size("kids"))).first()[0] == 64
 
 
+@pytest.mark.parametrize("count", [1, 3, 4, 5, 17])
+def test_flattened_layers_equal_a_fold(spark, count):
+    rng = random.Random(count)
+    heads = [("i", 7 * z, 6, 5, z % 4 != 1, 100, rng.choice([1.0, 0.5]), z % 2, 0) for z in range(count)]
+    pixels = {(z, x, y): (*(rng.randrange(256) for _ in "rgb"), rng.choice([0, 90, 255])) for z in range(count) for x in range(6) for y in range(5)
+              if rng.random() < 0.8}
+    layers = spark.createDataFrame(heads, "image_id string, z int, w int, h int, visible boolean, scale_pct int, opacity double, offset_x int, offset_y int")
+    df = spark.createDataFrame([("i", 7 * z, x, y, *v) for (z, x, y), v in pixels.items()],
+                               "image_id string, z int, x int, y int, r int, g int, b int, a int").repartition(4)
+    want = {}
+    for z, (_, _, w, _, visible, _, opacity, dx, _) in enumerate(heads):
+        for (k, x, y), (*rgb, a) in pixels.items() if visible else ():
+            if k == z and x + dx < w:
+                *under, low = want.get((x + dx, y), (0.0, 0.0, 0.0, 0.0))
+                own = int(a * opacity) / 255
+                alpha = own + low * (1 - own)
+                want[x + dx, y] = (*((t * own + u * low * (1 - own)) / alpha if alpha else 0.0 for t, u in zip(rgb, under)), alpha)
+    got = {(r.x, r.y): (r.r, r.g, r.b, r.a / 255) for r in compose.flatten_layers(layers, df).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_flattening_collects_no_lists(spark):
+    from inkloom.plans.tables import layer_headers, layer_pixels
+
+    sf = "/root/testdata/sf0.001"
+    out = compose.flatten_layers(layer_headers(spark, sf), layer_pixels(spark, sf), most=3)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan and "aggregate(" not in plan
+
+
 def test_compose_and_paper(spark):
     cov = spark.createDataFrame([("i", 1, 1, "cyan", 0, 0, 1.0), ("i", 1, 1, "black", 0, 0, 0.5)],
                                 "image_id string, w int, h int, plate string, x int, y int, cov double")
