@@ -8,7 +8,7 @@ from ..functions.fixed_values import REFUSALS
 from ..sources import images, projects, sinks
 from .fixture_sql import COV, EVENT_RASTER, JOB_PLATES, SHIP, with_
 from .registry import register
-from .tables import jobs, parts_coverage, part_headers, raster_events, raster_ship, read
+from .tables import parts_coverage, part_headers, raster_events, raster_ship, read, ticket_jobs
 
 
 def file_headers(spark, sf):
@@ -130,30 +130,51 @@ PLATES_TEXT = "CASE WHEN grayscale THEN 'black' ELSE 'cyan,magenta,yellow,black'
 CLEAN = "lower(regexp_replace(regexp_replace({0}, '\\.[^.]+$', ''), '[^a-zA-Z0-9_-]+', '-', 'g'))"
 
 
-@register("job_manifest", with_(JOB_PLATES, f"""
+TICKETS = JOB_PLATES + """,
+tickets AS (SELECT * REPLACE (CASE WHEN job_id % 13 = 0 THEN 'custom' ELSE dot_shape END AS dot_shape),
+  CASE WHEN job_id % 13 = 0 THEN 'Mark ' || job_id || '.svg' END AS custom_shape,
+  CASE WHEN job_id % 4 <> 0 THEN 1 + (job_id % 9) * 0.5e0 ELSE 1e0 END AS stroke_width,
+  CASE WHEN job_id % 5 <> 0 THEN CAST(60 + job_id % 7 * 30 AS INT) ELSE 120 END AS registration_size,
+  CASE WHEN job_id % 6 <> 0 THEN CAST(90 + job_id % 3 * 15 AS INT) ELSE 120 END AS registration_offset,
+  CASE WHEN job_id % 7 <> 0 THEN 0.5e0 + job_id % 4 ELSE 2e0 END AS registration_weight,
+  CASE WHEN job_id % 3 = 1 THEN 'centered' ELSE 'corners' END AS registration_mode,
+  CASE WHEN job_id % 10 = 3 THEN 'cross-' || job_id || '.svg' END AS registration_shape FROM loaded)"""
+NUMBER = lambda c: f"regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')"
+
+
+@register("job_manifest", with_(TICKETS, f"""
 SELECT job_id, source_name AS source, {CLEAN.format('source_name')} || CASE WHEN grayscale THEN '-K' ELSE '-CMYK' END || '-plates.zip' AS package,
-  {PLATES_TEXT} AS plates, sheet_id, orientation, scale_pct, registration, sheet_w AS width, sheet_h AS height, 240 AS dpi,
-  marks AS estimated_marks_per_plate, worst_plate, worst_angle FROM loaded"""))
+  {PLATES_TEXT} AS plates, sheet_id, orientation, scale_pct, mirror, mirror_direction, dot_shape, custom_shape, cell_size, stroke_width,
+  a0 AS angle_c, a1 AS angle_m, a2 AS angle_y, a3 AS angle_k, hide_bits % 2 = 0 AS shows_c, (hide_bits >> 1) % 2 = 0 AS shows_m,
+  (hide_bits >> 2) % 2 = 0 AS shows_y, (hide_bits >> 3) % 2 = 0 AS shows_k, invert, grayscale,
+  registration, registration_size, registration_offset, registration_weight, registration_shape, registration_mode,
+  sheet_w AS width, sheet_h AS height, 240 AS dpi, marks AS estimated_marks_per_plate, worst_plate, worst_angle FROM tickets"""))
 def job_manifest(spark, sf):
-    return sinks.job_manifest(jobs(spark, sf))
+    made = sinks.job_manifest(ticket_jobs(spark, sf)).select("*", "document.*", "settings.*", "output.*").drop("document", "settings", "output")
+    short = {"cyan": "c", "magenta": "m", "yellow": "y", "black": "k"}
+    return made.select("*", *[F.col(f"angles.{p}").alias(f"angle_{k}") for p, k in short.items()],
+                       *[F.col(f"visible.{p}").alias(f"shows_{k}") for p, k in short.items()]).drop("angles", "visible")
 
 
-@register("job_ticket", with_(JOB_PLATES, """,
+@register("job_ticket", with_(TICKETS, f""",
 lists AS (SELECT job_id, string_agg(short || ' ' || CAST(angle AS INT) || '°', ' · ' ORDER BY i) AS angles,
                  string_agg(short, ', ' ORDER BY i) FILTER (shown) AS enabled FROM job_plates GROUP BY 1)
 SELECT job_id, concat_ws(chr(10), 'PRINT JOB TICKET', 'Artwork: ' || source_name, 'Source: ' || src_w || ' × ' || src_h || 'px',
   'Sheet: ' || sheet_label, 'Orientation: ' || CASE orientation WHEN 'portrait' THEN 'Portrait' ELSE 'Landscape' END,
   'Output dimensions: ' || sheet_w || ' × ' || sheet_h || 'px', 'Resolution: 240 DPI', 'Scale: ' || scale_pct || '%',
   'Mirror: ' || CASE WHEN NOT mirror THEN 'Off' WHEN mirror_direction = 'horizontal' THEN 'Horizontal' ELSE 'Vertical' END,
-  'Dot: ' || dot_shape, 'Color mode: ' || CASE WHEN grayscale THEN 'Grayscale (K)' ELSE 'CMYK' END, 'Outline stroke: 1px',
+  'Dot: ' || dot_shape, 'Custom SVG: ' || custom_shape || ' (stretched to square)',
+  'Color mode: ' || CASE WHEN grayscale THEN 'Grayscale (K)' ELSE 'CMYK' END, 'Outline stroke: ' || {NUMBER('stroke_width')} || 'px',
   'Cell size: ' || CAST(cell_size AS INT) || 'px', 'Angles: ' || angles, 'Enabled plates: ' || coalesce(enabled, 'None'),
-  'Registration marks: ' || CASE WHEN registration THEN 'Included' ELSE 'Off' END, 'Registration size: 120px',
-  'Registration offset: 120px', 'Registration weight: 2px', 'Registration mode: Four corners',
-  'Estimated screen load: ' || format('{:,}', marks) || ' marks/plate' || CASE WHEN worst_plate IS NULL THEN ''
+  'Registration marks: ' || CASE WHEN registration THEN 'Included' ELSE 'Off' END, 'Registration size: ' || registration_size || 'px',
+  'Registration offset: ' || registration_offset || 'px', 'Registration weight: ' || {NUMBER('registration_weight')} || 'px',
+  'Registration mode: ' || CASE registration_mode WHEN 'centered' THEN 'Top/bottom centered' ELSE 'Four corners' END,
+  'Registration SVG: ' || registration_shape,
+  'Estimated screen load: ' || format('{{:,}}', marks) || ' marks/plate' || CASE WHEN worst_plate IS NULL THEN ''
     ELSE ' (' || upper(CASE worst_plate WHEN 'black' THEN 'k' ELSE worst_plate[1] END) || ' at ' || CAST(worst_angle AS INT) || '°)' END) AS ticket
-FROM loaded JOIN lists USING (job_id)"""))
+FROM tickets JOIN lists USING (job_id)"""))
 def job_ticket(spark, sf):
-    return sinks.job_ticket(jobs(spark, sf))
+    return sinks.job_ticket(ticket_jobs(spark, sf))
 
 
 @register("clean_name", f"""

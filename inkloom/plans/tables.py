@@ -106,6 +106,20 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
         F.when(cust % 2 == 0, "horizontal").otherwise("vertical").alias("mirror_direction"))
 
 
+def ticket_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Print jobs with outline, registration and custom shape fields; some of them are left open."""
+    key = F.col("job_id")
+    open_ = lambda n, value: F.when(key % n != 0, value)
+    return jobs(spark, sf).withColumns({
+        "dot_shape": F.when(key % 13 == 0, "custom").otherwise(F.col("dot_shape")),
+        "custom_shape": F.when(key % 13 == 0, F.concat(F.lit("Mark "), key.cast("string"), F.lit(".svg"))),
+        "stroke_width": open_(4, 1 + (key % 9) * F.lit(0.5)),
+        "registration_size": open_(5, (60 + key % 7 * 30).cast("int")), "registration_offset": open_(6, (90 + key % 3 * 15).cast("int")),
+        "registration_weight": open_(7, F.lit(0.5) + key % 4),
+        "registration_mode": F.when(key % 3 == 1, "centered").otherwise("corners"),
+        "registration_shape": F.when(key % 10 == 3, F.concat(F.lit("cross-"), key.cast("string"), F.lit(".svg")))})
+
+
 def layer_headers(spark: SparkSession, sf: str) -> DataFrame:
     """Three stacked layers per part; layer 1 is hidden on odd parts."""
     heads = part_headers(spark, sf).select("image_id", "w", "h")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import DPI, PLATES, PLATE_SHORT, SHEETS
+from ..functions.fixed_values import DPI, JOB_DEFAULTS, PLATES, PLATE_SHORT, SHEETS
 from ..functions.plates import short_name
 from ..operators import preflight
 
@@ -127,17 +127,27 @@ def plate_file_name(source="source_name", plate="plate") -> Column:
     return F.concat(clean_name(F.col(source)), F.lit("-"), short_name(plate), F.lit("-plate.png"))
 
 
+def _field(jobs: DataFrame, name: str) -> Column:
+    """A job column, or its default where it is null or the table lacks it."""
+    default = F.lit(JOB_DEFAULTS[name]) if JOB_DEFAULTS[name] is not None else F.lit(None).cast("string")
+    return F.coalesce(F.col(name), default) if name in jobs.columns else default
+
+
 def job_manifest(jobs: DataFrame) -> DataFrame:
-    """Manifest columns: plates, output size, resolution and load estimate of each job."""
+    """Manifest of each job: source and package, ``document``, ``settings``, registration and ``output`` groups as structs."""
     loaded = preflight.screen_load(jobs)
+    field = lambda name: _field(loaded, name)
     plates = F.when(F.col("grayscale"), F.array(F.lit("black"))).otherwise(F.array(*[F.lit(p) for p in PLATES]))
     package = F.concat(clean_name(F.col("source_name")), F.when(F.col("grayscale"), "-K").otherwise("-CMYK"),
                        F.lit("-plates.zip"))
     return loaded.select(
-        "job_id", F.col("source_name").alias("source"), package.alias("package"),
-        F.array_join(plates, ",").alias("plates"), "sheet_id", "orientation", "scale_pct", "registration",
-        F.col("sheet_w").alias("width"), F.col("sheet_h").alias("height"), F.lit(DPI).alias("dpi"),
-        F.col("marks").alias("estimated_marks_per_plate"), "worst_plate", "worst_angle")
+        "job_id", F.col("source_name").alias("source"), package.alias("package"), F.array_join(plates, ",").alias("plates"),
+        F.struct("sheet_id", "orientation", "scale_pct", "mirror", "mirror_direction").alias("document"),
+        F.struct("dot_shape", field("custom_shape").alias("custom_shape"), "cell_size", field("stroke_width").alias("stroke_width"), "angles",
+                 "visible", "invert", "grayscale").alias("settings"),
+        "registration", *[field(f"registration_{n}").alias(f"registration_{n}") for n in ("size", "offset", "weight", "shape", "mode")],
+        F.struct(F.col("sheet_w").alias("width"), F.col("sheet_h").alias("height"), F.lit(DPI).alias("dpi"),
+                 F.col("marks").alias("estimated_marks_per_plate"), "worst_plate", "worst_angle").alias("output"))
 
 
 def write_manifest(jobs: DataFrame, path: str) -> None:
@@ -159,13 +169,15 @@ def as_text(value) -> Column:
 
 
 def job_ticket(jobs: DataFrame, product: str = "PRINT") -> DataFrame:
-    """Readable ticket text, one per job."""
+    """Readable ticket text, one per job. Fields that the table lacks or leaves open print their defaults; lines of shapes
+    appear only where a job has one."""
     loaded = preflight.screen_load(jobs)
     labels = F.create_map(*[F.lit(v) for s in SHEETS for v in (s[0], s[1])])
     plates = preflight.job_plates()
     shown = F.filter(plates, lambda p: p["visible"])
     short = F.create_map(*[F.lit(v) for kv in PLATE_SHORT.items() for v in kv])
     enabled = F.array_join(F.transform(shown, lambda p: short[p["plate"]]), ", ")
+    field = lambda name: _field(loaded, name)
     angles = F.array_join(F.transform(plates, lambda p: F.concat(
         short[p["plate"]], F.lit(" "), plain_number(p["angle"]), F.lit("°"))), " · ")
     load = F.concat(F.lit("Estimated screen load: "), F.format_number("marks", 0), F.lit(" marks/plate"),
@@ -184,13 +196,15 @@ def job_ticket(jobs: DataFrame, product: str = "PRINT") -> DataFrame:
         F.concat(F.lit("Scale: "), as_text("scale_pct"), F.lit("%")),
         F.concat(F.lit("Mirror: "), F.when(F.col("mirror"), title_case(F.col("mirror_direction"))).otherwise("Off")),
         F.concat(F.lit("Dot: "), "dot_shape"),
+        F.when(F.col("dot_shape") == "custom", F.concat(F.lit("Custom SVG: "), field("custom_shape"), F.lit(" (stretched to square)"))),
         F.concat(F.lit("Color mode: "), F.when(F.col("grayscale"), "Grayscale (K)").otherwise("CMYK")),
-        F.lit("Outline stroke: 1px"),
+        F.concat(F.lit("Outline stroke: "), plain_number(field("stroke_width")), pixel),
         F.concat(F.lit("Cell size: "), plain_number("cell_size"), pixel),
         F.concat(F.lit("Angles: "), angles),
         F.concat(F.lit("Enabled plates: "), F.when(enabled == "", "None").otherwise(enabled)),
         F.concat(F.lit("Registration marks: "), F.when(F.col("registration"), "Included").otherwise("Off")),
-        F.lit("Registration size: 120px"), F.lit("Registration offset: 120px"),
-        F.lit("Registration weight: 2px"), F.lit("Registration mode: Four corners"),
+        *[F.concat(F.lit(f"Registration {n}: "), plain_number(field(f"registration_{n}")), pixel) for n in ("size", "offset", "weight")],
+        F.concat(F.lit("Registration mode: "), F.when(field("registration_mode") == "centered", "Top/bottom centered").otherwise("Four corners")),
+        F.concat(F.lit("Registration SVG: "), field("registration_shape")),
         load)
-    return loaded.select("job_id", F.array_join(lines, "\n").alias("ticket"))
+    return loaded.select("job_id", F.array_join(F.array_compact(lines), "\n").alias("ticket"))

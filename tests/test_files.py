@@ -133,7 +133,9 @@ def test_clean_job_has_nothing_to_review(spark, tmp_path):
     assert values[4].endswith("estimated marks/plate (K at 45°)")
     sinks.write_manifest(df, f"{tmp_path}/manifest")
     doc = json.loads(spark.read.text(f"{tmp_path}/manifest").first().value)
-    assert doc["package"] == "my-art-final-CMYK-plates.zip" and doc["width"] == 2640 and doc["dpi"] == 240
+    assert doc["package"] == "my-art-final-CMYK-plates.zip" and doc["output"]["width"] == 2640 and doc["output"]["dpi"] == 240
+    assert doc["settings"]["stroke_width"] == 1 and doc["settings"]["angles"]["black"] == 45 and doc["registration_size"] == 120
+    assert doc["settings"]["custom_shape"] is None and doc["registration_mode"] == "corners"
 
 
 def test_every_check_fires(spark):
@@ -154,6 +156,18 @@ def test_grayscale_uses_black_only(spark):
     assert "Color mode: Grayscale (K)" in text and "Angles: K 45°" in text and "Enabled plates: K" in text
 
 
+def test_ticket_prints_what_the_job_holds(spark):
+    plain = sinks.job_ticket(job(spark)).first().ticket.split("\n")
+    assert len(plain) == 21 and "Outline stroke: 1px" in plain and "Registration mode: Four corners" in plain
+    full = job(spark).withColumns({"stroke_width": F.lit(2.5), "registration_size": F.lit(90), "registration_offset": F.lit(75),
+                                   "registration_weight": F.lit(3.0), "registration_mode": F.lit("centered"), "dot_shape": F.lit("custom"),
+                                   "custom_shape": F.lit("star.svg"), "registration_shape": F.lit("mark.svg")})
+    lines = sinks.job_ticket(full).first().ticket.split("\n")
+    assert len(lines) == 23 and {"Outline stroke: 2.5px", "Registration size: 90px", "Registration offset: 75px", "Registration weight: 3px",
+                                 "Registration mode: Top/bottom centered", "Custom SVG: star.svg (stretched to square)",
+                                 "Registration SVG: mark.svg"} <= set(lines)
+
+
 GOOD = {"cellSize": 12, "opacity": 4, "invert": False, "dotShape": "round",
         "angles": {"cyan": 15, "magenta": 75, "yellow": 0, "black": 375},
         "visible": {"cyan": True, "magenta": True, "yellow": True, "black": True}}
