@@ -96,3 +96,34 @@ def plate_stats(cov: DataFrame, ink_above: float = 0.0) -> DataFrame:
         F.sum("px").alias("pixels"), F.sum("ink").alias("ink_pixels"),
         F.round(F.sum("total") / F.sum("px"), 6).alias("mean_cov"),
         F.countDistinct("level").alias("levels"))
+
+
+LEVEL_BITS, SPREAD_SIZE = 14, 400  # accuracy of the sketches: about 0.8 % for many levels (few are exact), about 0.7 % of rank
+
+
+def plate_sketches(cov: DataFrame, ink_above: float = 0.0) -> DataFrame:
+    """One mergeable row per image and plate: counts, and sketches of the levels (coverage at six decimals) and of their distribution.
+
+    Stored once per day of images, totals over any set of days and keys come from these rows alone (see ``merged_sketches``).
+    """
+    level = F.round(F.col("cov") * 1_000_000).cast("bigint")
+    return cov.groupBy("image_id", "plate").agg(
+        F.lit(1).cast("bigint").alias("images"), F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("cov") > ink_above).alias("ink_pixels"),
+        F.sum("cov").alias("total"), F.hll_sketch_agg(level, LEVEL_BITS).alias("levels"),
+        F.kll_sketch_agg_double("cov", SPREAD_SIZE).alias("spread"))
+
+
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``plate_sketches``, or of this function, added up by the keys; the result can be stored and merged again."""
+    return sketches.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("images", "pixels", "ink_pixels", "total")],
+        F.hll_union_agg("levels").alias("levels"), F.kll_merge_agg_double("spread", SPREAD_SIZE).alias("spread"))
+
+
+def sketch_report(sketches: DataFrame, *shares: float) -> DataFrame:
+    """What sketches say: counts, mean coverage, number of levels, and the coverage below which the given shares of pixels lie."""
+    held = ("images", "pixels", "ink_pixels", "total", "levels", "spread")
+    keys = [c for c in sketches.columns if c not in held]
+    at = [F.kll_sketch_get_quantile_double("spread", F.lit(float(q))).alias(f"cov_{round(q * 100)}") for q in shares]
+    return sketches.select(*keys, "images", "pixels", "ink_pixels", F.round(F.col("total") / F.col("pixels"), 6).alias("mean_cov"),
+                           F.hll_sketch_estimate("levels").alias("levels"), *at)

@@ -164,3 +164,11 @@ SELECT plate, image_id, CAST(count(*) AS BIGINT) AS pixels, CAST(count(*) FILTER
 FROM cov GROUP BY ROLLUP (plate, image_id)"""))
 def plate_stats(spark, sf):
     return s.plate_stats(parts_coverage(spark, sf))
+
+
+@register("plate_sketches", with_(COV, """
+SELECT plate, count(DISTINCT image_id) AS images, CAST(count(*) AS BIGINT) AS pixels, CAST(count(*) FILTER (cov > 0) AS BIGINT) AS ink_pixels,
+       round(avg(cov), 6) AS mean_cov, count(DISTINCT CAST(round(cov * 1000000) AS BIGINT)) AS levels
+FROM cov GROUP BY plate"""))
+def plate_sketches(spark, sf):
+    return s.sketch_report(s.merged_sketches(s.plate_sketches(parts_coverage(spark, sf)), "plate"))

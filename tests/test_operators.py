@@ -407,6 +407,24 @@ def test_compose_and_paper(spark):
     assert (r.r, r.g, r.b) == (0, 127, 127)
 
 
+def test_sketches_of_days_add_up_to_the_corpus(spark):
+    rows = spark.range(60_000).selectExpr("CAST(id % 40 AS STRING) AS image_id", "IF(id % 3 = 0, 'cyan', 'black') AS plate",
+                                          "CAST(pmod(xxhash64(id), 100003) AS DOUBLE) / 100003 * IF(id % 5 = 0, 0, 1) AS cov")
+    days = [separate.plate_sketches(rows.where(f"CAST(image_id AS INT) % 3 = {d}")) for d in range(3)]
+    stored = separate.merged_sketches(days[0].unionByName(days[1]), "plate")
+    total = separate.merged_sketches(stored.unionByName(separate.merged_sketches(days[2], "plate")), "plate")
+    got = {r.plate: r for r in separate.sketch_report(total, 0.5, 0.9).collect()}
+    exact = rows.groupBy("plate").agg(F.count("*").alias("n"), F.count_if(F.col("cov") > 0).alias("ink"), F.avg("cov").alias("mean"),
+                                      F.countDistinct(F.round("cov", 6)).alias("levels"), F.collect_list("cov").alias("all"))
+    for r in exact.collect():
+        s = got[r.plate]
+        assert (s.pixels, s.ink_pixels, s.mean_cov) == (r.n, r.ink, pytest.approx(r["mean"], abs=1e-6))
+        assert abs(s.levels / r.levels - 1) < 0.03
+        for share, value in ((0.5, s.cov_50), (0.9, s.cov_90)):
+            below, upto = sum(v < value for v in r["all"]) / r.n, sum(v <= value for v in r["all"]) / r.n
+            assert below - 0.02 <= share <= upto + 0.02
+
+
 def test_plate_stats_totals(field):
     df, grids = field
     rows = {(r.plate, r.image_id): r for r in separate.plate_stats(df).collect()}
