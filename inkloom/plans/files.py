@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import REFUSALS
+from ..functions.fixed_values import PLATES, REFUSALS
+from ..operators.dither import coalesce_runs
+from ..operators.screen import registration_marks
 from ..sources import images, projects, sinks
 from .fixture_sql import COV, EVENT_RASTER, JOB_PLATES, SHIP, with_
 from .registry import register
@@ -126,6 +128,31 @@ def svg_marks(spark, sf):
     return shaped_marks(spark, sf).select("image_id", "plate", "u_idx", "v_idx", sinks.mark_fragment().alias("fragment"))
 
 
+DOT_SYMBOL = '<svg viewBox="0 0 2 2"><path d="M 0 0 L 2 1 L 0 2 Z"/></svg>'
+_REG = lambda d: f"CASE WHEN k % 2 = 0 THEN {d} ELSE {{}} - {d} END"
+
+
+@register("svg_documents", with_(COV, f""",
+heads2 AS (SELECT DISTINCT image_id, plate, w, h, CASE WHEN image_id % 3 = 0 THEN '<symbol id="registration-shape" viewBox="0 0 2 2"><path d="M 0 0 L 2 1 L 0 2 Z"/></symbol>' ELSE '' END AS sym FROM cov),
+isl AS (SELECT image_id, plate, x, y, x - row_number() OVER (PARTITION BY image_id, plate, y ORDER BY x) AS g FROM cov WHERE cov >= 0.5),
+runs AS (SELECT image_id, plate, y, min(x) AS x0, count(*) AS n FROM isl GROUP BY image_id, plate, y, g),
+regs AS (SELECT *, CAST(unnest(range(4)) AS INT) AS k FROM heads2),
+spots AS (SELECT *, {_REG('14e0').format('w')} AS px, CASE WHEN k < 2 THEN 14e0 ELSE h - 14e0 END AS py FROM regs)
+SELECT image_id, plate, 0 AS part, 0 AS a, 0 AS b, '<svg xmlns="http://www.w3.org/2000/svg" width="' || printf('%.4f', w / 240e0) || 'in" height="' || printf('%.4f', h / 240e0)
+  || 'in" viewBox="0 0 ' || w || ' ' || h || '"><defs>' || sym || '</defs><g fill="#000000" stroke="none">' AS line FROM heads2
+UNION ALL SELECT image_id, plate, 1, y, x0, '<rect x="' || {_n('x0')} || '" y="' || {_n('y')} || '" width="' || {_n('n + 0.25e0')} || '" height="1.2500"/>' FROM runs
+UNION ALL SELECT image_id, plate, 2, 0, 0, '</g>' FROM heads2
+UNION ALL SELECT image_id, plate, 2, 1, 0, CASE WHEN sym = '' THEN '<g fill="none" stroke="#000000" stroke-width="1.0000">' ELSE '<g>' END FROM heads2
+UNION ALL SELECT image_id, plate, 3, k, 0, '<g opacity="0.7">' || CASE WHEN sym = '' THEN '<circle cx="' || {_n('px')} || '" cy="' || {_n('py')} || '" r="' || {_n('7 * 0.58e0')} || '"/><path d="M ' || {_n('px - 7')} || ' ' || {_n('py')}
+  || ' h 14.0000 M ' || {_n('px')} || ' ' || {_n('py - 7')} || ' v 14.0000"/>' ELSE '<use href="#registration-shape" x="' || {_n('px - 3.5e0')} || '" y="' || {_n('py - 3.5e0')} || '" width="7.0000" height="7.0000"/>' END || '</g>' FROM spots
+UNION ALL SELECT image_id, plate, 4, 1, 0, '</g>' FROM heads2 UNION ALL SELECT image_id, plate, 5, 0, 0, '</svg>' FROM heads2"""))
+def svg_documents(spark, sf):
+    cov = parts_coverage(spark, sf)
+    heads = part_headers(spark, sf).select("image_id", "w", "h", F.explode(F.array(*map(F.lit, PLATES))).alias("plate"))
+    heads = heads.withColumn("registration_symbol", F.when(F.col("image_id") % 3 == 0, DOT_SYMBOL))
+    return sinks.svg_lines(None, heads, registration_marks(heads.drop("registration_symbol")), coalesce_runs(cov))
+
+
 PLATES_TEXT = "CASE WHEN grayscale THEN 'black' ELSE 'cyan,magenta,yellow,black' END"
 CLEAN = "lower(regexp_replace(regexp_replace({0}, '\\.[^.]+$', ''), '[^a-zA-Z0-9_-]+', '-', 'g'))"
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import DPI, JOB_DEFAULTS, PLATES, PLATE_SHORT, SHEETS
+from ..functions.numeric import as_col
 from ..functions.plates import short_name
 from ..operators import preflight
 
@@ -21,8 +22,9 @@ def number_text(value) -> Column:
     return F.format_string("%.4f", F.round(value, 4) + F.lit(0.0))
 
 
-def mark_fragment(shape="shape", cx="cx", cy="cy", size="size", stroke: float = 1.0) -> Column:
-    """Vector element for one mark."""
+def mark_fragment(shape="shape", cx="cx", cy="cy", size="size", stroke: float | Column = 1.0) -> Column:
+    """Vector element for one mark; rings are drawn with the stroke, a number or a column."""
+    stroke = as_col(stroke).cast("double")
     x, y, d = F.col(cx), F.col(cy), F.col(size)
     r, n = d / 2, number_text
     cat = F.concat
@@ -39,28 +41,40 @@ def mark_fragment(shape="shape", cx="cx", cy="cy", size="size", stroke: float =
     bar = d * 0.14
     disc = cat(lit('<circle cx="'), n(x), lit('" cy="'), n(y), lit('" r="'), n(r), lit('"/>'))
     ring = cat(lit('<circle cx="'), n(x), lit('" cy="'), n(y), lit('" r="'), n(F.greatest(lit(0.0), r - stroke / 2)),
-               lit('" fill="none" stroke="#000000" stroke-width="'), n(lit(float(stroke))), lit('"/>'))
+               lit('" fill="none" stroke="#000000" stroke-width="'), n(stroke), lit('"/>'))
     diamond = path("M ", n(x), " ", n(y - r), " L ", n(x + r), " ", n(y), " L ", n(x), " ", n(y + r), " L ",
                    n(x - r), " ", n(y), " Z")
     triangle = path("M ", n(x), " ", n(y - r), " L ", n(x + r), " ", n(y + r), " L ", n(x - r), " ", n(y + r), " Z")
     cross = path("M ", n(x - bar), " ", n(y - r), " H ", n(x + bar), " V ", n(y + r), " H ", n(x - bar), " Z M ",
                  n(x - r), " ", n(y - bar), " H ", n(x + r), " V ", n(y + bar), " H ", n(x - r), " Z")
-    use = cat(lit('<use href="#dot-shape" x="'), n(x - r), lit('" y="'), n(y - r), lit('" width="'), n(d),
-              lit('" height="'), n(d), lit('"/>'))
+    use = use_fragment("dot-shape", cx, cy, size)
     s = F.col(shape)
     return (F.when(s == "square", rect(x - r, y - r, d, d))
             .when(s == "diamond", diamond).when(s == "triangle", triangle).when(s == "cross", cross)
             .when(s == "line", rect(x - r, y - d * 0.16, d, d * 0.32, d * 0.16))
-            .when((s == "circle-outline") & (lit(float(stroke)) < r), ring)
+            .when((s == "circle-outline") & (stroke < r), ring)
             .when(s == "custom", use).otherwise(disc))
 
 
-def run_fragment(x="x0", y="y", length="length", pixel: float = 1.0) -> Column:
+def run_fragment(x="x0", y="y", length="length", pixel: float | Column = 1.0) -> Column:
     """Rectangle for a horizontal ink run, widened by the quarter-pixel overlap."""
-    n = number_text
+    n, pixel = number_text, as_col(pixel).cast("double")
     return F.concat(F.lit('<rect x="'), n(F.col(x) * pixel), F.lit('" y="'), n(F.col(y) * pixel),
                     F.lit('" width="'), n(F.col(length) * pixel + 0.25), F.lit('" height="'),
-                    n(F.lit(pixel + 0.25)), F.lit('"/>'))
+                    n(pixel + 0.25), F.lit('"/>'))
+
+
+def symbol(document: str, name: str) -> Column:
+    """A whole vector document as a symbol that marks refer to; empty where there is none."""
+    opened = F.regexp_replace(F.trim(document), r"^<svg\b", f'<symbol id="{name}"')
+    return F.coalesce(F.regexp_replace(opened, r"</svg>$", "</symbol>"), F.lit(""))
+
+
+def use_fragment(name: str, x="x", y="y", size="size") -> Column:
+    """A reference to a symbol, centred at (x, y)."""
+    n, s = number_text, F.col(size)
+    return F.concat(F.lit(f'<use href="#{name}" x="'), n(F.col(x) - s / 2), F.lit('" y="'), n(F.col(y) - s / 2),
+                    F.lit('" width="'), n(s), F.lit('" height="'), n(s), F.lit('"/>'))
 
 
 def registration_fragment(x="x", y="y", size="size") -> Column:
@@ -70,40 +84,46 @@ def registration_fragment(x="x", y="y", size="size") -> Column:
                     F.lit(" "), n(cy - s), F.lit(" v "), n(2 * s), F.lit('"/></g>'))
 
 
-def svg_header(w="w", h="h") -> Column:
+def svg_header(w="w", h="h", symbols: Column | None = None) -> Column:
+    """Opening of a vector file: size in inches, the symbols that it refers to, and the group of its marks."""
     inches = lambda c: F.format_string("%.4f", F.col(c) / F.lit(float(DPI)))
     return F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), inches(w), F.lit('in" height="'),
                     inches(h), F.lit('in" viewBox="0 0 '), F.col(w).cast("string"), F.lit(" "),
-                    F.col(h).cast("string"), F.lit('"><g fill="#000000" stroke="none">'))
+                    F.col(h).cast("string"), F.lit('"><defs>'), symbols if symbols is not None else F.lit(""),
+                    F.lit('</defs><g fill="#000000" stroke="none">'))
 
 
-def svg_lines(marks: DataFrame, headers: DataFrame, registration: DataFrame | None = None) -> DataFrame:
-    """Header, marks, registration and footer as text lines with a sort position per plate.
+def svg_lines(marks: DataFrame | None, headers: DataFrame, registration: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Header, marks or runs, registration and footer as text lines with a sort position per plate.
 
-    ``headers`` has one row per (image_id, plate) with w and h, so a plate without marks still gets its
-    file. Rows carry ``part`` (order within the plate) and are written by write_plate_svg.
+    ``headers`` has one row per (image_id, plate) with w and h, so a plate without marks still gets its file, and may hold
+    ``dot_symbol`` and ``registration_symbol``, whole vector documents: they become the symbols that custom marks and registration marks
+    refer to, once per file. ``marks`` may hold ``stroke``, the width of rings. ``runs`` are those of ``coalesce_runs``, in pixels
+    of ``pixel`` width (1 unless the column is there). Rows carry ``part`` (order within the plate) and are written by write_plate_svg.
     """
     keys = ["image_id", "plate"]
-    head = headers.select(*keys, F.lit(0).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"),
-                          svg_header().alias("line"))
-    body = marks.select(*keys, F.lit(1).alias("part"), F.col("u_idx").alias("a"), F.col("v_idx").alias("b"),
-                        mark_fragment().alias("line"))
-    out = head.unionByName(body)
-    close = F.lit("</g>")
+    held = lambda df, name: df is not None and name in df.columns
+    symbols = [symbol(f"{n}_symbol", i) for n, i in (("dot", "dot-shape"), ("registration", "registration-shape")) if held(headers, f"{n}_symbol")]
+    row = lambda df, part, a, b, line: df.select(*keys, F.lit(part).alias("part"), as_col(a).cast("int").alias("a"),
+                                                 as_col(b).cast("int").alias("b"), as_col(line).alias("line"))
+    out = row(headers, 0, 0, 0, svg_header(symbols=F.concat(*symbols) if symbols else None))
+    if marks is not None:
+        stroke = F.col("stroke") if held(marks, "stroke") else 1.0
+        out = out.unionByName(row(marks, 1, F.col("u_idx"), F.col("v_idx"), mark_fragment(stroke=stroke)))
+    if runs is not None:
+        pixel = F.col("pixel") if held(runs, "pixel") else F.lit(1.0)
+        out = out.unionByName(row(runs, 1, F.col("y"), F.col("x0"), run_fragment(pixel=pixel)))
     if registration is not None:
-        regs = registration.select(*keys, F.lit(3).alias("part"), F.col("mark").alias("a"), F.lit(0).alias("b"),
-                                   registration_fragment().alias("line"))
-        opened = registration.where(F.col("mark") == 0).select(
-            *keys, F.lit(2).alias("part"), F.lit(1).alias("a"), F.lit(0).alias("b"),
-            F.concat(F.lit('<g fill="none" stroke="#000000" stroke-width="'), number_text(F.col("weight")),
-                     F.lit('">')).alias("line"))
-        ended = opened.select(*keys, F.lit(4).alias("part"), "a", "b", close.alias("line"))
-        out = out.unionByName(regs).unionByName(opened).unionByName(ended)
-    marks_end = headers.select(*keys, F.lit(2).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"),
-                               close.alias("line"))
-    foot = headers.select(*keys, F.lit(5).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"),
-                          F.lit("</svg>").alias("line"))
-    return out.unionByName(marks_end).unionByName(foot)
+        own = registration.withColumn("custom", F.lit(False))
+        if held(headers, "registration_symbol"):
+            own = registration.join(headers.select(*keys, F.col("registration_symbol").isNotNull().alias("custom")), keys)
+        used = F.concat(F.lit('<g opacity="0.7">'), use_fragment("registration-shape"), F.lit("</g>"))
+        opened = own.where(F.col("mark") == 0)
+        drawn = F.concat(F.lit('<g fill="none" stroke="#000000" stroke-width="'), number_text(F.col("weight")), F.lit('">'))
+        out = (out.unionByName(row(own, 3, F.col("mark"), 0, F.when(F.col("custom"), used).otherwise(registration_fragment())))
+               .unionByName(row(opened, 2, 1, 0, F.when(F.col("custom"), "<g>").otherwise(drawn)))
+               .unionByName(row(opened, 4, 1, 0, "</g>")))
+    return out.unionByName(row(headers, 2, 0, 0, "</g>")).unionByName(row(headers, 5, 0, 0, "</svg>"))
 
 
 def write_plate_svg(lines: DataFrame, path: str) -> None:

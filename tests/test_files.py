@@ -106,6 +106,28 @@ def test_vector_files_hold_every_mark(spark, tmp_path):
     assert spark.read.text(f"{out}/image_id=i/plate=black").count() == 3 + 2 + 4 + 1 - 1
 
 
+def test_vector_files_resolve_their_references(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    head = spark.createDataFrame([("i", "cyan", 48, 24, "<svg viewBox='0 0 1 1'><path d='M 0 0 h 1'/></svg>", None), ("i", "black", 48, 24, None, "<svg><g/></svg>")],
+                                 "image_id string, plate string, w int, h int, dot_symbol string, registration_symbol string")
+    marks = spark.createDataFrame([("i", "cyan", 0, 0, 4.0, 5.0, 3.0, "custom", 2.5), ("i", "cyan", 0, 1, 9.0, 5.0, 8.0, "circle-outline", 2.5)],
+                                  "image_id string, plate string, u_idx int, v_idx int, cx double, cy double, size double, shape string, stroke double")
+    runs = spark.createDataFrame([("i", "black", 3, 2, 5)], "image_id string, plate string, y int, x0 int, length int")
+    regs = screen.registration_marks(head.select("image_id", "plate", "w", "h"))
+    sinks.write_plate_svg(sinks.svg_lines(marks, head, regs, runs), f"{tmp_path}/svg")
+    seen = {}
+    for plate in ("cyan", "black"):
+        text = "".join(r.value for r in spark.read.text(f"{tmp_path}/svg/image_id=i/plate={plate}").collect())
+        root = ET.fromstring(text)
+        ids = {e.get("id") for e in root.iter() if e.get("id")}
+        used = [e.get("href")[1:] for e in root.iter() if e.tag.endswith("use")]
+        assert set(used) <= ids
+        seen[plate] = (ids, len(used), text)
+    assert seen["cyan"][:2] == ({"dot-shape"}, 1) and seen["black"][:2] == ({"registration-shape"}, 4)
+    assert 'stroke-width="2.5000"' in seen["cyan"][2] and '<rect x="2.0000" y="3.0000" width="5.2500" height="1.2500"/>' in seen["black"][2]
+
+
 def test_plate_package_and_manifest(spark, art, tmp_path):
     cov = separate.coverage(images.scan_images(spark, art))
     sinks.write_plate_package(cov, f"{tmp_path}/plates")
