@@ -92,6 +92,15 @@ def screen_lattice_desktop(spark, sf):
     return point(sc.screen_lattice_desktop(screen_headers(spark, sf)))
 
 
+@register("bumped_lattice", with_(PLATE_DIM, PRESET_DIM, PARTS, HEADERS.replace("scr AS (", "fine AS ("), f"""
+scr AS (SELECT * REPLACE (CASE WHEN marks > 40 THEN cell * sqrt(marks / 40e0) ELSE cell END AS cell)
+        FROM (SELECT *, {marks_of('w', 'h', 'cell', 'angle')} AS marks FROM fine))""", DESK, f"SELECT {POINT} FROM desk"))
+def bumped_lattice(spark, sf):
+    heads = screen_headers(spark, sf)
+    coarse = heads.withColumn("cell", sc.bump_cell(F.col("w"), F.col("h"), F.col("cell"), F.col("angle"), 40))
+    return point(sc.screen_lattice_desktop(coarse))
+
+
 @register("sample_coverage", with_(*COV_BASE, WEB, BOUNDS, SAMPLED, f"SELECT {POINT}, round(cov, 6) AS cov FROM sampled"))
 def sample_coverage(spark, sf):
     return point(sampled(spark, sf), six(F.col("cov")).alias("cov"))
