@@ -210,11 +210,23 @@ f AS (SELECT job_id, plate, sheet_w AS w, sheet_h AS h, CAST(greatest(7, {half_u
 SELECT job_id, plate, CAST(m AS INT) AS mark, CASE WHEN m % 2 = 0 THEN o ELSE w - o END AS x, CASE WHEN m < 2 THEN o ELSE h - o END AS y,
        size, 1e0 AS weight FROM f, (SELECT unnest(range(4)) AS m)"""))
 def registration_marks(spark, sf):
+    return sc.registration_marks(registered_frames(spark, sf)).drop("w", "h")
+
+
+def registered_frames(spark, sf):
     from ..operators.preflight import job_plates
     j = sheet_dims(jobs(spark, sf)).where("registration")
-    frames = j.select("job_id", F.col("sheet_w").alias("w"), F.col("sheet_h").alias("h"),
-                      F.explode(F.transform(job_plates(), lambda p: p["plate"])).alias("plate"))
-    return sc.registration_marks(frames).drop("w", "h")
+    return j.select("job_id", F.col("sheet_w").alias("w"), F.col("sheet_h").alias("h"),
+                    F.explode(F.transform(job_plates(), lambda p: p["plate"])).alias("plate"))
+
+
+@register("registration_marks_desktop", with_(JOB_PLATES, """,
+f AS (SELECT job_id, plate, sheet_w AS w, sheet_h AS h, CAST(60 + job_id % 80 AS DOUBLE) AS size, CAST(90 + job_id % 40 AS DOUBLE) AS o FROM job_plates WHERE registration)
+SELECT job_id, plate, CAST(m AS INT) AS mark, CASE WHEN m IN (0, 3) THEN o ELSE w - o END AS x, CASE WHEN m < 2 THEN o ELSE h - o END AS y,
+       size, greatest(1e0, round_even(greatest(2e0, round_even(size * 0.06e0, 0)) * 1.5e0, 0)) AS weight FROM f, (SELECT unnest(range(4)) AS m)"""))
+def registration_marks_desktop(spark, sf):
+    marks = sc.registration_marks(registered_frames(spark, sf), size=60 + F.col("job_id") % 80, offset=90 + F.col("job_id") % 40, weight=1.5, variant="desktop")
+    return marks.drop("w", "h")
 
 
 @register("displace_plate", with_(COV, """
