@@ -1,6 +1,7 @@
 """Personal data, secrets, toxicity, tokens, decontamination and mixing against brute force and at the edges."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -114,6 +115,34 @@ def test_fold_and_lexicon():
     assert lexicon.score("an 1diot") > 0.5 > lexicon.score("trash can") == lexicon.score(None) == lexicon.score("")
 
 
+def plain_total(lexicon, folded):
+    """Weights by looking for every term at every place."""
+    phrases = [toxicity.fold(p) for p in lexicon.exceptions]
+    excused = [(i, i + len(p) - 1) for p in phrases for i in range(len(folded)) if folded.startswith(p, i)]
+    met = {}
+    for i in range(len(folded)):
+        here = [(w, t) for t, w in lexicon.weights.items() if folded.startswith(t, i)]
+        if here and not any(a <= i < b for a, b in excused):
+            met[max(here)] = met.get(max(here), 0) + 1
+    return sum(w * (1 + math.log(n)) for (w, _), n in met.items())
+
+
+def test_automaton_equals_plain_search():
+    rng = random.Random(21)
+    lexicon = toxicity.Lexicon({" tra": 1.5, " trash": 3.0, " trash ": 2.5, " clown": 2.0, " clo": 2.0, " scum ": 4.0, " loser": 1.0})
+    pieces = ["trash", "TRASH", "tr4sh", "can", "bin", "take out the", "clown", "fish", "cl0wns", "pond", "scum", "sсum", "sore loser", "board game", "x", ", ", "!", "\n", "é"]
+    seen = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(0, 14)))
+        want = plain_total(lexicon, toxicity.fold(text))
+        assert lexicon.total(toxicity.fold(text)) == pytest.approx(want), text
+        x, y = math.log1p(want), min(20.0, 100 * want / (toxicity.fold(text).count(" ") or 1))
+        a, b, c = lexicon.coefficients
+        assert lexicon.score(text) == pytest.approx(1 / (1 + math.exp(-(a + b * x + c * y))))
+        seen += want > 0
+    assert seen > 1000
+
+
 def test_learned_lexicon_finds_held_out_rows(spark, frame):
     rng = random.Random(1)
     word = lambda: noise(rng, ["ka", "lo", "mi", "ter", "on"], 3)
