@@ -14,18 +14,20 @@ from .preflight import estimate_grid_points
 PI = 3.141592653589793
 
 
-def _lattice(headers: DataFrame, n_u: Column, n_v: Column) -> DataFrame:
-    """Explode the two lattice axes. The half-expanded axis is spread out, so one huge sheet uses many tasks."""
+def _lattice(headers: DataFrame, n_u: Column, n_v: Column, spread: bool) -> DataFrame:
+    """Explode the two lattice axes. With ``spread`` the half-expanded axis is dealt out, so one huge sheet uses many tasks; without
+    it points stay in the tasks of their headers, as fits many small sheets (see ``deal_sheets``)."""
     rows = headers.withColumns({"n_v": n_v, "u_idx": F.explode(int_range(n_u))})
-    return fan_out(rows).withColumn("v_idx", F.explode(int_range(F.col("n_v")))).drop("n_v")
+    return (fan_out(rows) if spread else rows).withColumn("v_idx", F.explode(int_range(F.col("n_v")))).drop("n_v")
 
 
 def with_bounds(headers: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Attach content bounds to lattice headers (narrow tables), so marks are cut before any pixel join."""
-    return headers.join(bounds.select("image_id", "min_x", "min_y", "max_x", "max_y"), "image_id")
+    """Attach content bounds to lattice headers (narrow tables), so marks are cut before any pixel join. Bounds have a row
+    per image, so they are not broadcast."""
+    return headers.join(bounds.select("image_id", "min_x", "min_y", "max_x", "max_y").hint("merge"), "image_id")
 
 
-def screen_lattice(headers: DataFrame) -> DataFrame:
+def screen_lattice(headers: DataFrame, spread: bool = True) -> DataFrame:
     """Rotated lattice centred on the frame, kept within one cell of it.
 
     ``headers``: image_id, plate, w, h (output size), sw, sh (coverage size), cell, angle and optionally the
@@ -35,7 +37,7 @@ def screen_lattice(headers: DataFrame) -> DataFrame:
     count = F.floor(half * 2 / F.col("cell")) + 1
     theta = radians(F.col("angle"))
     heads = headers.withColumns({"half": half, "cos_t": F.cos(theta), "sin_t": F.sin(theta)})
-    grid = _lattice(heads, count, count)
+    grid = _lattice(heads, count, count, spread)
     u = -F.col("half") + F.col("u_idx") * F.col("cell")
     v = -F.col("half") + F.col("v_idx") * F.col("cell")
     grid = grid.withColumns({
@@ -51,7 +53,7 @@ def screen_lattice(headers: DataFrame) -> DataFrame:
     return grid.where(keep).drop("half", "cos_t", "sin_t", "min_x", "min_y", "max_x", "max_y")
 
 
-def screen_lattice_desktop(headers: DataFrame) -> DataFrame:
+def screen_lattice_desktop(headers: DataFrame, spread: bool = True) -> DataFrame:
     """Cell-centred lattice over the rotated bounding box, only points inside the frame."""
     theta = radians(F.col("angle"))
     heads = headers.withColumns({"cos_t": F.cos(theta), "sin_t": F.sin(theta)})
@@ -59,7 +61,7 @@ def screen_lattice_desktop(headers: DataFrame) -> DataFrame:
     heads = heads.withColumns({"eff_w": F.col("w") * c + F.col("h") * s, "eff_h": F.col("w") * s + F.col("h") * c})
     size = F.greatest(F.lit(1e-6), F.col("cell"))
     steps = lambda e: F.greatest(F.lit(1), F.ceil(F.col(e) / size))
-    grid = _lattice(heads, steps("eff_w"), steps("eff_h"))
+    grid = _lattice(heads, steps("eff_w"), steps("eff_h"), spread)
     u = -F.col("eff_w") / 2 + (F.col("u_idx") + F.lit(0.5)) * F.col("cell")
     v = -F.col("eff_h") / 2 + (F.col("v_idx") + F.lit(0.5)) * F.col("cell")
     grid = grid.withColumns({
@@ -185,8 +187,9 @@ def displace_plate(cov: DataFrame, dx, dy) -> DataFrame:
 def splat_marks(marks: DataFrame, value: str | None = None) -> DataFrame:
     """Rasterise discs given by cx, cy and radius: hard edges, overlaps combined by the maximum.
 
-    Each mark emits its own spans (rows, then columns), partial aggregation merges overlaps before the
-    exchange, and the key contains the pixel.
+    Each mark emits its own spans, one per row. Without ``value`` ink is 1 everywhere: a span is cut into words of 64 pixels, the words of a
+    row are united bit by bit, and only united words are expanded to pixels, so what is aggregated and exchanged is a word per row and
+    mark. With ``value`` partial aggregation merges overlapping pixels before the exchange, and the key contains the pixel.
     """
     diameter = F.greatest(F.lit(1.0), round_half_even(F.col("radius") * 2))
     reach = F.when(diameter <= 2, 0).otherwise(F.floor(diameter / 2)).cast("int")
@@ -195,18 +198,37 @@ def splat_marks(marks: DataFrame, value: str | None = None) -> DataFrame:
                         round_half_even(F.col("cy")).cast("int").alias("py"), reach.alias("reach"), ink.alias("ink"))
     rows = rows.withColumn("dy", F.explode(F.sequence(-F.col("reach"), F.col("reach"))))
     span = F.floor(F.sqrt((F.col("reach") * F.col("reach") - F.col("dy") * F.col("dy")).cast("double"))).cast("int")
-    rows = rows.withColumn("span", span).withColumn("dx", F.explode(F.sequence(-F.col("span"), F.col("span"))))
+    rows = rows.withColumn("span", span)
+    if value is None:
+        return _united_spans(rows.select("image_id", "plate", "w", "h", (F.col("py") + F.col("dy")).alias("y"),
+                                         F.greatest(F.lit(0), F.col("px") - F.col("span")).alias("low"),
+                                         F.least(F.col("w") - 1, F.col("px") + F.col("span")).alias("high")))
+    rows = rows.withColumn("dx", F.explode(F.sequence(-F.col("span"), F.col("span"))))
     cells = rows.select("image_id", "plate", "w", "h", (F.col("px") + F.col("dx")).alias("x"),
                         (F.col("py") + F.col("dy")).alias("y"), "ink")
     cells = cells.where((F.col("x") >= 0) & (F.col("x") < F.col("w")) & (F.col("y") >= 0) & (F.col("y") < F.col("h")))
     return cells.groupBy("image_id", "plate", "w", "h", "x", "y").agg(F.max("ink").alias("cov"))
 
 
-def moire_swatch(headers: DataFrame, level: float = 0.60) -> DataFrame:
+def _united_spans(spans: DataFrame) -> DataFrame:
+    """Pixels of the union of spans (y, low .. high) that start and end within the frame's width."""
+    inside = spans.where((F.col("low") <= F.col("high")) & F.col("y").between(0, F.col("h") - 1))
+    words = inside.withColumn("word", F.explode(F.sequence(F.shiftright("low", 6), F.shiftright("high", 6))))
+    first, last = F.greatest(F.lit(0), F.col("low") - F.col("word") * 64), F.least(F.lit(63), F.col("high") - F.col("word") * 64)
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (63 - last + first).cast("int"))
+    words = words.withColumn("ones", F.call_function("shiftleft", ones, first.cast("int")))
+    united = words.groupBy("image_id", "plate", "w", "h", "y", "word").agg(F.bit_or("ones").alias("ones"))
+    cells = united.withColumn("bit", F.explode(F.sequence(F.lit(0), F.least(F.lit(63), F.col("w") - 1 - F.col("word") * 64))))
+    lit = F.call_function("shiftright", F.col("ones"), F.col("bit")).bitwiseAND(F.lit(1)) == 1
+    return cells.where(lit).select("image_id", "plate", "w", "h", (F.col("word") * 64 + F.col("bit")).cast("int").alias("x"), "y",
+                                   F.lit(1.0).alias("cov"))
+
+
+def moire_swatch(headers: DataFrame, level: float = 0.60, spread: bool = True) -> DataFrame:
     """A flat field screened through every plate and composed to colour: shows interference of angles."""
     from .compose import compose_cmyk
 
-    flat = screen_lattice_desktop(headers).withColumn("cov", F.lit(level))
+    flat = screen_lattice_desktop(headers, spread).withColumn("cov", F.lit(level))
     return compose_cmyk(splat_marks(dot_size_desktop(flat)))
 
 

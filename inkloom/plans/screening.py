@@ -10,6 +10,7 @@ from ..functions.plates import plate_index
 from ..operators import screen as sc
 from ..operators.geometry import sheet_dims
 from ..operators.separate import content_bounds
+from ..session import deal_sheets
 from .fixture_sql import (COV, JOBS, JOB_PLATES, LUM, PARTS, PLATE_DIM, PRESET_DIM, half_up, marks_of, unit_noise,
                           with_)
 from .registry import register
@@ -18,7 +19,7 @@ from .tables import jobs, part_headers, parts_coverage, raster_parts
 
 def screen_headers(spark, sf):
     """Lattice headers: each part printed at three times its size, cell 4..6, angles from its preset."""
-    heads = part_headers(spark, sf)
+    heads = deal_sheets(part_headers(spark, sf))
     preset = F.array(*[F.array(*[F.lit(a) for a in p[1:]]) for p in ANGLE_PRESETS])
     heads = heads.select("image_id", F.col("w").alias("sw"), F.col("h").alias("sh"), (F.col("w") * 3).alias("w"),
                          (F.col("h") * 3).alias("h"), (4 + F.col("image_id") % 3).cast("double").alias("cell"),
@@ -68,7 +69,7 @@ def point(df, *more):
 def sampled(spark, sf, inked=False):
     """Sampled marks; with ``inked`` only those with any coverage (the others never print)."""
     px = raster_parts(spark, sf)
-    marks = sc.screen_lattice(sc.with_bounds(screen_headers(spark, sf), content_bounds(px)))
+    marks = sc.screen_lattice(sc.with_bounds(screen_headers(spark, sf), content_bounds(px)), spread=False)
     cov = parts_coverage(spark, sf)
     return sc.sample_coverage(marks, cov.where(F.col("cov") > 0) if inked else cov)
 
@@ -76,7 +77,7 @@ def sampled(spark, sf, inked=False):
 def sampled_desktop(spark, sf):
     """Desktop lattice over the enlarged frame, sampled from coverage of the same enlargement."""
     cov = parts_coverage(spark, sf)
-    marks = sc.screen_lattice_desktop(screen_headers(spark, sf))
+    marks = sc.screen_lattice_desktop(screen_headers(spark, sf), spread=False)
     at = marks.withColumns({"bx": F.col("cx"), "by": F.col("cy"), "cx": F.col("cx") / 3, "cy": F.col("cy") / 3})
     got = sc.sample_coverage(at, cov, variant="desktop")
     return got.withColumns({"cx": F.col("bx"), "cy": F.col("by")}).drop("bx", "by")
@@ -84,12 +85,12 @@ def sampled_desktop(spark, sf):
 
 @register("screen_lattice", with_(*BASE, WEB, f"SELECT {POINT} FROM web"))
 def screen_lattice(spark, sf):
-    return point(sc.screen_lattice(screen_headers(spark, sf)))
+    return point(sc.screen_lattice(screen_headers(spark, sf), spread=False))
 
 
 @register("screen_lattice_desktop", with_(*BASE, DESK, f"SELECT {POINT} FROM desk"))
 def screen_lattice_desktop(spark, sf):
-    return point(sc.screen_lattice_desktop(screen_headers(spark, sf)))
+    return point(sc.screen_lattice_desktop(screen_headers(spark, sf), spread=False))
 
 
 @register("bumped_lattice", with_(PLATE_DIM, PRESET_DIM, PARTS, HEADERS.replace("scr AS (", "fine AS ("), f"""
@@ -98,7 +99,7 @@ scr AS (SELECT * REPLACE (CASE WHEN marks > 40 THEN cell * sqrt(marks / 40e0) EL
 def bumped_lattice(spark, sf):
     heads = screen_headers(spark, sf)
     coarse = heads.withColumn("cell", sc.bump_cell(F.col("w"), F.col("h"), F.col("cell"), F.col("angle"), 40))
-    return point(sc.screen_lattice_desktop(coarse))
+    return point(sc.screen_lattice_desktop(coarse, spread=False))
 
 
 @register("sample_coverage", with_(*COV_BASE, WEB, BOUNDS, SAMPLED, f"SELECT {POINT}, round(cov, 6) AS cov FROM sampled"))
@@ -177,7 +178,7 @@ k AS (SELECT *, CAST(least(w, h) AS DOUBLE) / greatest(2, CAST(trunc(least(w, h)
 o AS (SELECT *, ({_smooth('fx', 'fy', 'sp', '1234')} * 2 - 1) * 6e0 AS off FROM k)
 SELECT image_id, plate, u_idx, v_idx, round(least(w - 1e0, greatest(0e0, cx + off)), 6) AS cx, round(least(h - 1e0, greatest(0e0, cy + off)), 6) AS cy FROM o"""))
 def warp_lattice(spark, sf):
-    return point(sc.warp_lattice(sc.screen_lattice_desktop(screen_headers(spark, sf)), 6.0))
+    return point(sc.warp_lattice(sc.screen_lattice_desktop(screen_headers(spark, sf), spread=False), 6.0))
 
 
 SPLAT = """disc AS (SELECT image_id, plate, w, h, CAST(round_even(cx, 0) AS INT) AS px, CAST(round_even(cy, 0) AS INT) AS py,
@@ -201,7 +202,7 @@ px AS (SELECT image_id, x, y, max(CAST(plate = 'cyan' AS INT)) AS c, max(CAST(pl
               max(CAST(plate = 'yellow' AS INT)) AS ye, max(CAST(plate = 'black' AS INT)) AS k FROM splat GROUP BY ALL)
 SELECT image_id, x, y, (1 - c) * (1 - k) * 255 AS r, (1 - m) * (1 - k) * 255 AS g, (1 - ye) * (1 - k) * 255 AS b FROM px"""))
 def moire_swatch(spark, sf):
-    return sc.moire_swatch(screen_headers(spark, sf)).drop("w", "h")
+    return sc.moire_swatch(screen_headers(spark, sf), spread=False).drop("w", "h")
 
 
 @register("registration_marks", with_(JOB_PLATES, f""",
