@@ -37,11 +37,11 @@ def layers_on_base(layers: DataFrame, pixels: DataFrame) -> DataFrame:
     visible layers of an image from the bottom, from 0.
     """
     shown = layers.where("visible")
-    base = shown.groupBy("image_id").agg(F.min_by(F.struct("w", "h"), "z").alias("base"))
+    stack = Window.partitionBy("image_id").orderBy("z")
+    base = F.first(F.struct("w", "h")).over(stack)
     scale = F.greatest(F.lit(0.01), F.col("scale_pct") / F.lit(100.0))
-    place = (F.row_number().over(Window.partitionBy("image_id").orderBy("z")) - 1).alias("place")
-    heads = shown.join(base, "image_id").select(
-        "image_id", "z", place, "opacity", "offset_x", "offset_y", F.col("w").alias("lw"), F.col("h").alias("lh"),
+    heads = shown.withColumns({"base": base, "place": F.row_number().over(stack) - 1}).select(
+        "image_id", "z", "place", "opacity", "offset_x", "offset_y", F.col("w").alias("lw"), F.col("h").alias("lh"),
         F.col("base.w").alias("w"), F.col("base.h").alias("h"),
         F.greatest(F.lit(1), truncate(F.col("w") * scale)).alias("tw"),
         F.greatest(F.lit(1), truncate(F.col("h") * scale)).alias("th"))
