@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import PLATES, REFUSALS
 from ..operators.dither import coalesce_runs
 from ..operators.screen import registration_marks
+from ..session import deal_sheets
 from ..sources import images, projects, sinks
 from .fixture_sql import COV, EVENT_RASTER, JOB_PLATES, SHIP, with_
 from .registry import register
@@ -148,7 +149,7 @@ UNION ALL SELECT image_id, plate, 3, k, 0, '<g opacity="0.7">' || CASE WHEN sym
 UNION ALL SELECT image_id, plate, 4, 1, 0, '</g>' FROM heads2 UNION ALL SELECT image_id, plate, 5, 0, 0, '</svg>' FROM heads2"""))
 def svg_documents(spark, sf):
     cov = parts_coverage(spark, sf)
-    heads = part_headers(spark, sf).select("image_id", "w", "h", F.explode(F.array(*map(F.lit, PLATES))).alias("plate"))
+    heads = deal_sheets(part_headers(spark, sf)).select("image_id", "w", "h", F.explode(F.array(*map(F.lit, PLATES))).alias("plate"))
     heads = heads.withColumn("registration_symbol", F.when(F.col("image_id") % 3 == 0, DOT_SYMBOL))
     return sinks.svg_lines(None, heads, registration_marks(heads.drop("registration_symbol")), coalesce_runs(cov))
 

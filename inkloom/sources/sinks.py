@@ -18,8 +18,11 @@ def clean_name(name) -> Column:
 
 
 def number_text(value) -> Column:
-    """A coordinate with four decimals."""
-    return F.format_string("%.4f", F.round(value, 4) + F.lit(0.0))
+    """A coordinate with four decimals, below 10^11: ten-thousandths as an integer, which takes a fraction of the time of a format string."""
+    value = as_col(value).cast("double")
+    parts = F.floor(F.abs(value) * 10000 + 0.5)
+    sign = F.when((value < 0) & (parts > 0), "-").otherwise("")
+    return F.concat(sign, F.floor(parts / 10000).cast("string"), F.lit("."), F.substring((parts % 10000 + 10000).cast("string"), 2, 4))
 
 
 def mark_fragment(shape="shape", cx="cx", cy="cy", size="size", stroke: float | Column = 1.0) -> Column:
@@ -116,7 +119,7 @@ def svg_lines(marks: DataFrame | None, headers: DataFrame, registration: DataFra
     if registration is not None:
         own = registration.withColumn("custom", F.lit(False))
         if held(headers, "registration_symbol"):
-            own = registration.join(headers.select(*keys, F.col("registration_symbol").isNotNull().alias("custom")), keys)
+            own = registration.join(headers.select(*keys, F.col("registration_symbol").isNotNull().alias("custom")).hint("merge"), keys)
         used = F.concat(F.lit('<g opacity="0.7">'), use_fragment("registration-shape"), F.lit("</g>"))
         opened = own.where(F.col("mark") == 0)
         drawn = F.concat(F.lit('<g fill="none" stroke="#000000" stroke-width="'), number_text(F.col("weight")), F.lit('">'))
