@@ -12,17 +12,18 @@ from ..functions.numeric import floor_div
 
 TILE = 256  # side of a tile, unless the reach is longer
 FRAME = ["image_id", "w", "h", "plate"]
-HELD = 1 << 20  # results held by a task before they are passed on
+HELD = 1 << 20  # pixels of a stack of tiles
 
-#: dense block, origin (y, x) of the block, core ((y0, y1), (x0, x1)), frame (h, w) -> one array of the core's shape per output
+#: stack of dense blocks, origin (y, x) of the blocks, core ((y0, y1), (x0, x1)), frame (h, w) -> one stack of the core's shape per output
 Work = Callable
 
 
 def tile_map(cov: DataFrame, reach: int, work: Work, outputs: list[str]) -> DataFrame:
     """Apply ``work`` to every tile of a dense raster; each output is a column of doubles beside ``image_id, w, h, plate, x, y``.
 
-    A pixel goes to its tile and to those within ``reach`` of it, which is the only exchange. A task takes its tiles one by one from
-    a sorted (spillable) stream, so what it holds is one tile with its border, whatever the frame. A missing pixel
+    A pixel goes to its tile and to those within ``reach`` of it. A tile is one row, a list of its pixels in any order, which is the only
+    exchange; none is needed where pixels of an image already lie together. Tiles of the same shape are worked on as one stack, about
+    ``HELD`` pixels at a time, so many small sheets cost no step each and a task holds little, whatever the frame. A missing pixel
     counts as 0 and is filled in. nan in an output means that there is no value.
     """
     side = max(TILE, reach)
@@ -33,13 +34,14 @@ def tile_map(cov: DataFrame, reach: int, work: Work, outputs: list[str]) -> Data
 
     spread = cov.select(*FRAME, "x", "y", "cov", places(F.col("y"), F.col("h")).alias("ty"))
     keys = [*FRAME, "ty", "tx"]
-    ordered = spread.withColumn("tx", places(F.col("x"), F.col("w"))).select(*keys, "x", "y", "cov").repartition(*keys).sortWithinPartitions(*keys)
+    packed = spread.withColumn("tx", places(F.col("x"), F.col("w"))).groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "cov")).alias("px"))
     kinds = dict(cov.dtypes)
-    done = ordered.mapInArrow(_tiles(side, reach, work, outputs), f"image_id {kinds['image_id']}, w int, h int, plate string, ty int, tx int, "
-                              + ", ".join(f"{o} array<double>" for o in outputs))
+    done = packed.mapInArrow(_tiles(side, reach, work, outputs), f"image_id {kinds['image_id']}, w int, h int, plate string, ty int, tx int, "
+                             + ", ".join(f"{o} array<double>" for o in outputs))
     width = F.least(F.lit(side), F.col("w") - F.col("tx") * side)
-    cells = done.select(*keys, F.posexplode(F.arrays_zip(*outputs)).alias("at", "v"))
-    value = lambda o: F.when(~F.isnan(F.col(f"v.{o}")), F.col(f"v.{o}")).alias(o)
+    cells = done.select(*keys, *outputs[1:], F.posexplode(outputs[0]).alias("at", outputs[0]))
+    cells = cells.withColumns({o: F.get(o, F.col("at")) for o in outputs[1:]}) if outputs[1:] else cells
+    value = lambda o: F.when(~F.isnan(o), F.col(o)).alias(o)
     return cells.select(*FRAME, (F.col("tx") * side + F.col("at") % width).cast("int").alias("x"),
                         (F.col("ty") * side + floor_div(F.col("at"), width)).cast("int").alias("y"), *map(value, outputs))
 
@@ -49,46 +51,32 @@ def _tiles(side: int, reach: int, work: Work, outputs: list[str]):
         import numpy as np
         import pyarrow as pa
 
-        done: list[tuple] = []
-
-        def finish(key, pieces):
-            _, w, h, _, ty, tx = key
-            core = [(t * side, min(n, (t + 1) * side)) for t, n in ((ty, h), (tx, w))]
-            (ya, yb), (xa, xb) = ((max(0, lo - reach), min(n, hi + reach)) for (lo, hi), n in zip(core, (h, w), strict=True))
-            block = np.zeros((yb - ya, xb - xa))
-            for x, y, cov in pieces:
-                block[y - ya, x - xa] = cov
-            done.append((key, [np.ascontiguousarray(o).ravel() for o in work(block, (ya, xa), core, (h, w))]))
-
-        def passed_on():
-            columns = [pa.array([k[c] for k, _ in done], kinds[c]) for c in range(6)]
-            for o in range(len(outputs)):
-                ends = np.cumsum([0, *(len(v[o]) for _, v in done)])
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([v[o] for _, v in done]))))
-            done.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["image_id", "w", "h", "plate", "ty", "tx", *outputs])
-
-        key, pieces, kinds = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            kinds = [batch.schema.types[c] for c in range(6)]
-            codes = np.stack([batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in range(6)])
-            cuts = np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(0)) + 1
-            x, y, cov = (batch.column(c).to_numpy(zero_copy_only=False) for c in (6, 7, 8))
-            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                own = tuple(batch.column(c)[int(lo)].as_py() for c in range(6))
-                if own != key and pieces:
-                    finish(key, pieces)
-                    pieces = []
-                key = own
-                pieces.append((x[lo:hi], y[lo:hi], cov[lo:hi]))
-            if sum(len(v[0]) for _, v in done) > HELD:
-                yield passed_on()
-        if pieces:
-            finish(key, pieces)
-        if done:
-            yield passed_on()
+            shapes = np.stack([batch.column(c).to_numpy() for c in (1, 2, 4, 5)], axis=1)
+            alike = np.lexsort(shapes.T)
+            batch, shapes = batch.take(pa.array(alike)), shapes[alike]
+            count = batch.column(6).value_lengths().to_numpy()
+            start = np.cumsum([0, *count])
+            px = batch.column(6).flatten()
+            x, y, cov = (px.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            cuts = np.flatnonzero((shapes[1:] != shapes[:-1]).any(1)) + 1
+            for first, last in zip([0, *cuts], [*cuts, len(shapes)], strict=True):
+                if first == last:
+                    continue
+                w, h, ty, tx = map(int, shapes[first])
+                core = [(t * side, min(n, (t + 1) * side)) for t, n in ((ty, h), (tx, w))]
+                (ya, yb), (xa, xb) = ((max(0, lo - reach), min(n, hi + reach)) for (lo, hi), n in zip(core, (h, w), strict=True))
+                step = max(1, HELD // ((yb - ya) * (xb - xa)))
+                for lo in range(int(first), int(last), step):
+                    hi = min(int(last), lo + step)
+                    own = slice(start[lo], start[hi])
+                    blocks = np.zeros((hi - lo, yb - ya, xb - xa))
+                    blocks[np.repeat(np.arange(hi - lo), count[lo:hi]), y[own] - ya, x[own] - xa] = cov[own]
+                    columns = [batch.column(c).slice(lo, hi - lo) for c in range(6)]
+                    for o in work(blocks, (ya, xa), core, (h, w)):
+                        ends = np.arange(hi - lo + 1) * (o.size // (hi - lo))
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(o).ravel())))
+                    yield pa.RecordBatch.from_arrays(columns, names=["image_id", "w", "h", "plate", "ty", "tx", *outputs])
     return run
 
 
@@ -108,11 +96,11 @@ def blurred(sigma: float) -> tuple[int, Work]:
 
     def work(block, origin, core, frame):
         (y0, y1), (x0, x1) = core
-        plain = block[y0 - origin[0]:y1 - origin[0], x0 - origin[1]:x1 - origin[1]]
-        wide = block[mirrored(y0 - radius, y1 + radius, frame[0]) - origin[0]]
-        down = sum(wide[k:k + y1 - y0] * v for k, v in enumerate(weights))
-        wide = down[:, mirrored(x0 - radius, x1 + radius, frame[1]) - origin[1]]
-        return sum(wide[:, k:k + x1 - x0] * v for k, v in enumerate(weights)), plain
+        plain = block[..., y0 - origin[0]:y1 - origin[0], x0 - origin[1]:x1 - origin[1]]
+        wide = block[..., mirrored(y0 - radius, y1 + radius, frame[0]) - origin[0], :]
+        down = sum(wide[..., k:k + y1 - y0, :] * v for k, v in enumerate(weights))
+        wide = down[..., mirrored(x0 - radius, x1 + radius, frame[1]) - origin[1]]
+        return sum(wide[..., k:k + x1 - x0] * v for k, v in enumerate(weights)), plain
     return radius, work
 
 
@@ -121,7 +109,7 @@ def corners(block, origin, core, frame):
     import numpy as np
 
     (y0, y1), (x0, x1) = core
-    padded = np.full((y1 - y0 + 1, x1 - x0 + 1), np.nan)
-    own = block[y0 - origin[0]:y1 - origin[0] + 1, x0 - origin[1]:x1 - origin[1] + 1]
-    padded[:own.shape[0], :own.shape[1]] = own
-    return padded[:-1, :-1], padded[:-1, 1:], padded[1:, :-1], padded[1:, 1:]
+    padded = np.full((*block.shape[:-2], y1 - y0 + 1, x1 - x0 + 1), np.nan)
+    own = block[..., y0 - origin[0]:y1 - origin[0] + 1, x0 - origin[1]:x1 - origin[1] + 1]
+    padded[..., :own.shape[-2], :own.shape[-1]] = own
+    return padded[..., :-1, :-1], padded[..., :-1, 1:], padded[..., 1:, :-1], padded[..., 1:, 1:]
