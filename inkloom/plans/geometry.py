@@ -88,7 +88,8 @@ FROM asked a LEFT JOIN parts p ON p.image_id = a.image_id AND a.inside
  AND p.x = CAST(floor((kx + 0.5e0) * a.w / art_w) AS INT) AND p.y = CAST(floor((ky + 0.5e0) * a.h / art_h) AS INT)
 """))
 def place_artwork(spark, sf):
-    return g.place_artwork(raster_parts(spark, sf), part_frames(spark, sf)).select("image_id", "x", "y", "r", "g", "b")
+    frames = part_frames(spark, sf).hint("shuffle_hash")  # a row per part: too many to broadcast
+    return g.place_artwork(raster_parts(spark, sf), frames).select("image_id", "x", "y", "r", "g", "b")
 
 
 @register("upscale_nearest", with_(PARTS, """,
