@@ -139,7 +139,7 @@ _SWAY = f"sin(x * {math.cos(math.pi / 6)!r}e0 + y * {math.sin(math.pi / 6)!r}e0)
     even_kernel([w / _WEB_SUM for _, _, w in _WEB]), _WEB, 3, 0.9, serpentine=True)))
 def error_diffusion(spark, sf):
     return long(d.error_diffusion(parts_coverage(spark, sf), "jarvis-judice-ninke", 4, 0.9, "tilt", 0.5, bias=0.4,
-                                  bias_angle=30, broken=0.5, overflow=0.5, reset=0.9, bleed=0.3))
+                                  bias_angle=30, broken=0.5, overflow=0.5, reset=0.9, bleed=0.3, spread=False))
 
 
 _STUCKI = DIFFUSION_KERNELS["stucki"][0]
@@ -150,7 +150,7 @@ _NARROW = "SELECT *, CAST(CAST(cov AS FLOAT) AS DOUBLE) AS base FROM cov"
 @register("error_diffusion_desktop", with_(COV, *scan_sql(
     _NARROW, even_kernel([w / sum(_STUCKI_RAW) for w in _STUCKI_RAW]), _STUCKI, 3, 0.9)))
 def error_diffusion_desktop(spark, sf):
-    return long(d.error_diffusion_desktop(parts_coverage(spark, sf), "stucki", 4, 0.9, "circuit", 0.4))
+    return long(d.error_diffusion_desktop(parts_coverage(spark, sf), "stucki", 4, 0.9, "circuit", 0.4, spread=False))
 
 
 _ATKINSON = DIFFUSION_KERNELS["atkinson"][0]
@@ -167,7 +167,7 @@ _DAMAGED = f"""SELECT plate, list(v / total ORDER BY k) AS ws FROM (SELECT *, su
                                                    wiped=f"y >= 2 AND y < h - 2 AND {unit_noise('y', 'i', '77')} < 0.8e0 / 10")))
 def glitch_diffusion(spark, sf):
     return long(d.glitch_diffusion(parts_coverage(spark, sf), "atkinson", 4, 0.8, broken=0.4, bias=0.5, bias_angle=60,
-                                   overflow=0.3, reset=0.8))
+                                   overflow=0.3, reset=0.8, spread=False))
 
 
 def blur_sql(source: str, sigma: float, out: str) -> str:

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
-from inkloom.operators import screen
+from inkloom.operators import dither, screen
 from inkloom.sources import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,23 @@ def test_coordinates_as_text(spark):
     got = [r[0] for r in df.select(sinks.number_text(df.v)).collect()]
     assert got == ["0.0000", "0.0000", "1.0000", "-1.5000", "0.0000", "0.0000", "0.0001", "-0.0001", "12.3457", "-12.3457", "10.0000", "16384.0000", "99999.9999"]
     assert "format_string" not in df.select(sinks.number_text(df.v))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
+@pytest.mark.parametrize("name", ["error_diffusion", "error_diffusion_desktop", "glitch_diffusion"])
+def test_diffusion_exchanges_headers_only(spark, name):
+    moved = [line for line in plan_of(spark, name).splitlines() if "Exchange" in line]
+    assert moved and all(re.search(r"hashpartitioning\(image_id#\d+L, \d+\), REPARTITION_BY_NUM", m) for m in moved), moved
+
+
+def test_stacked_plates_equal_scanned_ones(spark):
+    sizes = [(1, 1), (7, 5), (5, 7), (7, 5), (30, 20)]
+    px = [(i, w, h, plate, x, y, (i * 7 + x * 13 + y * 29 + len(plate)) % 97 / 96) for i, (w, h) in enumerate(sizes)
+          for plate in ("cyan", "black") for x in range(w) for y in range(h)]
+    df = spark.createDataFrame(px, "image_id long, w int, h int, plate string, x int, y int, cov double").repartition(3, "image_id")
+    for run in (lambda s: dither.error_diffusion(df, "stucki", 5, 0.9, "tilt", 0.5, spread=s),
+                lambda s: dither.error_diffusion_desktop(df, "stucki", 4, 0.9, "circuit", 0.4, spread=s),
+                lambda s: dither.glitch_diffusion(df, broken=0.6, bias=0.5, bias_angle=60, overflow=0.3, reset=0.9, spread=s)):
+        whole, lines = run(False), run(True)
+        assert whole.dtypes == lines.dtypes
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, lines.collect())) and whole.count() == len(px)
