@@ -208,3 +208,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(not leaks.find(r["text"] or "") and (r["text"] == texts[r["doc_id"]] or "[" in r["text"]) for r in seen[4].collect())
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, whole)) == sorted(map(str, seen[5].collect()))
+
+
+def test_rounds_over_few_links_write_few_files(spark, monkeypatch):
+    """A round's tables hold a file per ROWS rows that they can have, however many partitions a shuffle has."""
+    files, plain = {}, graphs.written
+
+    def counted(df, name):
+        table = plain(df, name)
+        files.setdefault(name, []).append(len(table.inputFiles()))
+        return table
+    monkeypatch.setattr(graphs, "written", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(i, i - 1) for i in range(1, 60) if i % 20], "a int, b int")
+        out = {r["node"]: r["component"] for r in graphs.components(links).collect()}
+        few = files.copy()
+        monkeypatch.setattr(graphs, "ROWS", 20)
+        files.clear()
+        assert {r["node"]: r["component"] for r in graphs.components(links).collect()} == out
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out == {i: i - i % 20 for i in range(60)}
+    assert max(few["least"]) == 1 and max(few["links"][1:]) == 1
+    assert max(files["least"]) > 1 and max(files["links"][1:]) > 1
